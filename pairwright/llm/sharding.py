@@ -8,8 +8,10 @@ its share of the groups into blocks of fixed capacity, best fit decreasing; the
 the blocks, whose number is bounded by total size / block size plus the number of tasks, into
 shards of fixed capacity the same way. Blocks that no shard has room for go to the emptiest one.
 
-A group larger than a block is split by a hash of its rows into pieces of about a block, since no
-law of equal sizes could hold with a third of all rows in one group.
+A group larger than a block skips the first level: its rows are dealt by a hash into pieces of about
+a block, so that no task holds it whole, and its pieces move as one item of the second level. Only
+a group above the capacity of a shard is divided, into as few items as hold it, since no law of
+equal sizes could hold with a third of all rows in one group.
 
 Defined cases: a null text has 16 bytes, checksum 0, and is grouped with empty texts; repeated rows
 are placed each; equal sizes pack in the order of their text's digest; an empty table gives no
@@ -119,19 +121,43 @@ def _pack_partition(batches: Iterator[pa.RecordBatch], capacity: int) -> Iterato
     for batch in batches:
         cols: list[list[int]] = [[], [], [], [], []]
         for r in batch.to_pylist():
-            got = tree.take(r["bytes"])
-            left, name = got or (max(capacity, r["bytes"]), opened)
-            opened += got is None
-            if left > r["bytes"]:
-                tree.insert(left - r["bytes"], name)
+            if r["fixed"] is not None:
+                name = r["fixed"]
+            else:
+                got = tree.take(r["bytes"])
+                left, bin_ = got or (max(capacity, r["bytes"]), opened)
+                opened += got is None
+                if left > r["bytes"]:
+                    tree.insert(left - r["bytes"], bin_)
+                name = part + bin_
             start = filled.get(name, 0)
             filled[name] = start + len(r["rows"])
             for k, x in enumerate(r["rows"]):
-                for c, v in zip(cols, (part + name, x["doc_id"], x["size"], x["text_crc32"], start + k), strict=True):
+                for c, v in zip(cols, (name, x["doc_id"], x["size"], x["text_crc32"], start + k), strict=True):
                     c.append(v)
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["block", "doc_id", "size", "text_crc32", "slot_in_block"])
 
 
+def _items(blocks: list[tuple[int, int, int]], group_of: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[int, int, int]]]]:
+    """(bytes, blocks) in falling order of bytes: a block, or the pieces of a large group as far as a shard holds them."""
+    out, grouped = [], {}
+    for b in sorted(blocks):
+        if b[0] in group_of:
+            grouped.setdefault(group_of[b[0]], []).append(b)
+        else:
+            out.append((b[1], [b]))
+    for members in grouped.values():
+        item, size = [], 0
+        for b in members:
+            if item and size + b[1] > capacity:
+                out.append((size, item))
+                item, size = [], 0
+            item.append(b)
+            size += b[1]
+        out.append((size, item))
+    return sorted(out, key=lambda x: (-x[0], x[1][0]))
+
+
 def shard_documents(docs: DataFrame, n_shards: int = 40, blocks_per_shard: int = 128, max_block_bytes: int = 256 << 20) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot (gapless in each shard), grown_shard (null: the law isn't ``key``)."""
     spark = docs.sparkSession
@@ -143,19 +169,26 @@ def shard_documents(docs: DataFrame, n_shards: int = 40, blocks_per_shard: int =
     base = staged(base, "shard-rows")
     total = base.agg(F.sum("size")).first()[0] or 0
     block = max(1, min(total // (n_shards * blocks_per_shard), max_block_bytes))
-    # At most total / block groups are larger than a block, so this side of the join is bounded.
+    # At most total / block groups are larger than a block: few enough for the driver and for a broadcast.
     large = base.groupBy("key").agg(F.sum("size").alias("t"), F.count(F.lit(1)).alias("n")).where((F.col("t") > block) & (F.col("n") > 1))
-    large = large.select("key", F.ceil(F.col("t") / block).alias("pieces"))
-    salted = base.join(F.broadcast(large), "key", "left").withColumn("piece", F.coalesce(F.pmod(F.xxhash64("row"), F.col("pieces")), F.lit(0).cast("long")))
-    units = salted.groupBy("key", "piece").agg(F.sum("size").alias("bytes"), F.array_sort(F.collect_list(F.struct("doc_id", "size", "text_crc32"))).alias("rows"))
-    units = units.sortWithinPartitions(F.desc("bytes"), "key", "piece").select("bytes", "rows")
+    pieces, before, group_of = [], 1, {}
+    for r in sorted(large.collect(), key=lambda r: bytes(r["key"])):
+        n = -(-r["t"] // block)
+        pieces.append((bytes(r["key"]), n, before))
+        group_of |= dict.fromkeys(range(-before - n + 1, -before + 1), before)
+        before += n
+    known = spark.createDataFrame(pieces, "key binary, pieces long, before long")
+    salted = base.join(F.broadcast(known), "key", "left").withColumn("fixed", -F.col("before") - F.pmod(F.xxhash64("row"), F.col("pieces")))
+    units = salted.groupBy("key", "fixed").agg(F.sum("size").alias("bytes"), F.array_sort(F.collect_list(F.struct("doc_id", "size", "text_crc32"))).alias("rows"))
+    units = units.sortWithinPartitions(F.desc("bytes"), "key", "fixed").select("bytes", "fixed", "rows")
     packed = staged(units.mapInArrow(lambda it: _pack_partition(it, block), _PACKED), "shard-blocks")
     blocks = packed.groupBy("block").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).collect()
-    blocks = sorted(((b["bytes"], b["block"], b["n"]) for b in blocks), key=lambda b: (-b[0], b[1]))
+    items = _items([(b["block"], b["bytes"], b["n"]) for b in blocks], group_of, -(-total // n_shards))
     used, placed = [0] * n_shards, []
-    for (_, name, n), shard in zip(blocks, _level([b[0] for b in blocks], n_shards), strict=True):
-        placed.append((name, shard, used[shard]))
-        used[shard] += n
+    for (_, members), shard in zip(items, _level([i[0] for i in items], n_shards), strict=True):
+        for name, _, n in members:
+            placed.append((name, shard, used[shard]))
+            used[shard] += n
     places = spark.createDataFrame(placed, "block long, shard int, before long")
     out = packed.join(F.broadcast(places), "block")
     return out.select(
