@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, linededup, sharding, warc
+from . import chat, linededup, quality, sentencepiece, sharding, warc
 from .common import table
 
 
@@ -35,8 +35,18 @@ def op5_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), "text")
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece.encode_documents(table(spark, sf_dir, "documents"))
+
+
+def op8_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.score_documents(table(spark, sf_dir, "documents"))
+    base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return out.select(*base, "n_tokens", *quality.MEASURES, "rejected_by")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_reassembly, op3_prefix_targets, op4_best_fit_shards, op5_line_windows)}
+    return {f.__name__: f for f in (op1_warc_reassembly, op3_prefix_targets, op4_best_fit_shards, op5_line_windows, op6_sentencepiece, op8_fertility)}
 
 
 _B32 = " || ".join(
