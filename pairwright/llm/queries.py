@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, linededup, quality, sentencepiece, sharding, warc
+from . import chat, decontam, linededup, quality, sentencepiece, sharding, warc
 from .common import table
 
 
@@ -39,6 +39,10 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece.encode_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_array_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=8, min_items=2)
+
+
 def op8_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.score_documents(table(spark, sf_dir, "documents"))
     base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
@@ -46,7 +50,7 @@ def op8_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_reassembly, op3_prefix_targets, op4_best_fit_shards, op5_line_windows, op6_sentencepiece, op8_fertility)}
+    return {f.__name__: f for f in (op1_warc_reassembly, op3_prefix_targets, op4_best_fit_shards, op5_line_windows, op6_sentencepiece, op7_suffix_array_decontamination, op8_fertility)}
 
 
 _B32 = " || ".join(
@@ -90,5 +94,21 @@ SELECT d.doc_id, coalesce(len(ls), 0)::BIGINT AS n_lines, (coalesce(len(ls), 0)
 FROM d LEFT JOIN k USING (rid)"""
 
 
+_LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS7 = "regexp_extract_all(" + _LOW.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP7 = f"""
+WITH it AS (SELECT coalesce(item_id::VARCHAR, 'null') AS item, {_WORDS7} AS ws FROM benchmark),
+win AS (SELECT DISTINCT item, least(8, len(ws)) AS w, ws[p : p + least(8, len(ws)) - 1] AS g FROM it, unnest(range(1, len(ws) - least(8, len(ws)) + 2)) t(p) WHERE len(ws) > 0),
+d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS7} AS ws FROM documents),
+grams AS (SELECT rid, p, l.w, ws[p : p + l.w - 1] AS g FROM d, (SELECT DISTINCT w FROM win) l, unnest(range(1, len(ws) - l.w + 2)) t(p)),
+occ AS (SELECT rid, p, grams.w, item FROM grams JOIN win ON grams.w = win.w AND grams.g = win.g),
+hit AS (SELECT rid, count(DISTINCT p + k) AS n_hit FROM occ, range(8) r(k) WHERE k < w GROUP BY rid),
+its AS (SELECT rid, count(*) AS n, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT rid, item FROM occ) GROUP BY rid)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n, 0)::BIGINT AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256, coalesce(n, 0) >= 2 AS contaminated
+FROM d LEFT JOIN hit USING (rid) LEFT JOIN its USING (rid)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_reassembly": OP1, "op3_prefix_targets": OP3, "op5_line_windows": OP5}
+    return {"op1_warc_reassembly": OP1, "op3_prefix_targets": OP3, "op5_line_windows": OP5, "op7_suffix_array_decontamination": OP7}
