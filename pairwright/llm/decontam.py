@@ -133,13 +133,15 @@ class Shard:
         known = self.seq > 0
         stop = np.flatnonzero(~known)
         here = np.flatnonzero(known)
-        run = stop[np.searchsorted(stop, here)] - here
-        self.sa = self._sort(here[run >= bench.least])
+        after = np.searchsorted(stop, here)
+        left = stop[after] - here
+        whole = stop[after] - np.where(after > 0, stop[np.maximum(after - 1, 0)], -1) - 1
+        self.sa = self._sort(here[left >= bench.least], here[whole >= bench.least])
 
-    def _sort(self, here: np.ndarray) -> np.ndarray:
-        """Prefix doubling up to the longest item: ranks of the first 2, 4, 8, ... words."""
+    def _sort(self, here: np.ndarray, active: np.ndarray) -> np.ndarray:
+        """Prefix doubling up to the longest item: ranks of the first 2, 4, 8, ... words. ``active``: ``here`` and the ends of its runs."""
         rank = self.seq.copy()
-        depth, active = 1, np.flatnonzero(self.seq > 0)  # also suffixes that aren't kept but follow kept ones
+        depth = 1
         while depth < self.bench.longest and active.size:
             nxt = np.minimum(active + depth, len(rank) - 1)
             key = rank[active] * (int(rank.max()) + 1) + rank[nxt]
