@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, linededup, quality, sentencepiece, sharding, warc
+from . import chat, decontam, linededup, neardup, quality, sentencepiece, sharding, warc
 from .common import table
 
 
@@ -49,8 +49,12 @@ def op8_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*base, "n_tokens", *quality.MEASURES, "rejected_by")
 
 
+def op9_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.cluster(table(spark, sf_dir, "documents"), words=2, percent=80)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_reassembly, op3_prefix_targets, op4_best_fit_shards, op5_line_windows, op6_sentencepiece, op7_suffix_array_decontamination, op8_fertility)}
+    return {f.__name__: f for f in (op1_warc_reassembly, op3_prefix_targets, op4_best_fit_shards, op5_line_windows, op6_sentencepiece, op7_suffix_array_decontamination, op8_fertility, op9_lsh_forest)}
 
 
 _B32 = " || ".join(
