@@ -8,8 +8,10 @@ members are compared completely. Neighbours whose one-bit sketches are close are
 
 Candidates are confirmed on full shingle sets in rounds: first the best of each document, whose links
 already join most components, then four times as many, until no candidate has its ends in two
-components. A second look at crowded regions follows, among neighbours of different components only,
-until nothing new is found, so a crowded region can't hide a link behind copies already linked.
+components. A second look at crowded regions follows: full sets of each row outside the largest
+component of its region are compared with those of all other rows of the region, so that a crowded
+region can't hide a link behind copies that are linked already. (A region whose sets exceed
+``RANGE_BYTES`` is dealt to several tasks in its order, and rows are compared within those.)
 
 All of it is distributed: the orders are dealt by range over (prefix, deeper values, id), which splits
 regions of any size; what lies across the edge of two ranges is compared too. Components come from
@@ -39,6 +41,7 @@ TREES, DEPTH, NEAR, BITS = 32, 4, 16, 128
 #: Sketches of similarity 0.8 differ in 12.8 of 128 bits on average; more than this many, less than once in 10**7.
 FAR = 34
 ONE_TASK = 500_000
+RANGE_BYTES = 64 << 20
 MAX_BROADCAST_IDS = 2_000_000
 _U = np.uint64
 _P = 0x9E3779B97F4A7C15
@@ -169,6 +172,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
 
 # -- the forest ------------------------------------------------------------------------------
 
+_ORDER = ["key", "deeper", "sketch_a", "sketch_b", "id"]
 _ENTRY = "key long, deeper long, sketch_a long, sketch_b long, id long, comp long"
 
 
@@ -190,35 +194,21 @@ def _differ(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.bitwise_count(p[:, 0] ^ q[:, 0]).astype(np.int32) + np.bitwise_count(p[:, 1] ^ q[:, 1])
 
 
-def _neighbours(rows: np.ndarray, apart: bool) -> np.ndarray:
-    """(a, b, bits that differ) of neighbours in one region; ``apart``: of different components only, looking past runs of one."""
-    found = []
-    key, sketch, ids, comp = rows[:, 0], rows[:, 2:4].view(np.uint64), rows[:, 4], rows[:, 5]
-    n = len(rows)
-    if apart and n:
-        # The next row that begins another component's run; a region of one component has none inside.
-        turn = np.flatnonzero(np.concatenate([comp[1:] != comp[:-1], [True]])) + 1
-        nxt = turn[np.searchsorted(turn, np.arange(n), side="right")]
-    at = np.arange(n)
+def _neighbours(rows: np.ndarray) -> np.ndarray:
+    """(a, b, bits that differ) of neighbours in one region whose sketches are close."""
+    found = [np.zeros((0, 3), np.int64)]
+    key, sketch, ids = rows[:, 0], rows[:, 2:4].view(np.uint64), rows[:, 4]
     for step in range(1, NEAR + 1):
-        to = at + step if not apart else (nxt[at] if step == 1 else to + 1)
-        ok = to < n
-        i, j = at[ok], to[ok]
-        keep = key[i] == key[j]
-        if apart:
-            at, to = i[keep], j[keep]
-            i, j = at, to
-            keep = comp[i] != comp[j]
-        i, j = i[keep], j[keep]
-        if not i.size and not apart:
+        i = np.flatnonzero(key[step:] == key[:-step])
+        if not i.size:
             break
-        d = _differ(sketch[i], sketch[j])
-        near = d <= FAR
+        d = _differ(sketch[i], sketch[i + step])
+        near, j = d <= FAR, i + step
         found.append(np.stack([np.minimum(ids[i], ids[j])[near], np.maximum(ids[i], ids[j])[near], d[near]], 1))
-    return np.concatenate(found) if found else np.zeros((0, 3), np.int64)
+    return np.concatenate(found)
 
 
-def _scan(batches: Iterator[pa.RecordBatch], apart: bool) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Neighbours within a range of the order, and the rows at its edges (edge 0: first, 1: last)."""
     part = TaskContext.get().partitionId()
     names = [x.split()[0] for x in _PAIR.split(", ")]
@@ -243,27 +233,26 @@ def _scan(batches: Iterator[pa.RecordBatch], apart: bool) -> Iterator[pa.RecordB
             head = rows[:NEAR] if head is None else np.concatenate([head, rows])[:NEAR]
         rows = np.concatenate([kept, rows])
         # ``kept`` is compared with itself again; equal pairs fall away later.
-        yield pairs(_neighbours(rows, apart))
+        yield pairs(_neighbours(rows))
         kept = rows[-NEAR:]
     if head is not None:
         yield edges(head, 0)
         yield edges(kept, 1)
 
 
-def candidates(entries: DataFrame, apart: bool = False) -> DataFrame:
+def candidates(entries: DataFrame) -> DataFrame:
     """Distinct pairs (a < b) of neighbours with close sketches, and the bits that differ; staged."""
     spark = entries.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = ["key", "deeper", "sketch_a", "sketch_b", "id"]
-    ranged = entries.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    out = staged(ranged.mapInArrow(lambda it: _scan(it, apart), _PAIR), "neighbours")
+    ranged = entries.repartitionByRange(n, *_ORDER).sortWithinPartitions(*_ORDER)
+    out = staged(ranged.mapInArrow(_scan, _PAIR), "neighbours")
     # At most 2 * NEAR rows for each range, whatever the number of documents.
     edge = out.where("edge is not null").select("part", "edge", *[f"e_{x.split()[0]}" for x in _ENTRY.split(", ")]).collect()
     across = []
     parts = sorted({r["part"] for r in edge})
     rows = {(p, k): np.array(sorted(tuple(r)[2:] for r in edge if r["part"] == p and r["edge"] == k), np.int64).reshape(-1, 6) for p in parts for k in (0, 1)}
     for p, q in zip(parts, parts[1:], strict=False):
-        across += _neighbours(np.concatenate([rows[p, 1], rows[q, 0]]), apart).tolist()
+        across += _neighbours(np.concatenate([rows[p, 1], rows[q, 0]])).tolist()
     pairs = out.where("edge is null").select("a", "b", "differ")
     if across:
         pairs = pairs.unionByName(spark.createDataFrame(across, "a long, b long, differ long").withColumn("differ", F.col("differ").cast("int")))
@@ -327,6 +316,51 @@ def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([root(x) for x in ids], pa.int64())], names=["id", "comp"])
 
 
+def _apart_links(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Links between rows outside the largest component of their region and rows of other components: the first to each component."""
+    key, ids, comp, items = [], [], [], []
+    for b in batches:
+        key.append(b.column("key").to_numpy())
+        ids.append(b.column("id").to_numpy())
+        comp.append(b.column("comp").to_numpy())
+        items += [np.frombuffer(x.as_buffer(), np.uint64) for x in b.column("items")]
+    found: set[tuple[int, int, int, int]] = set()
+    if key:
+        key, ids, comp = (np.concatenate(x) for x in (key, ids, comp))
+        cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+        for lo, hi in zip(cut.tolist(), cut[1:].tolist(), strict=False):
+            names, back, n = np.unique(comp[lo:hi], return_inverse=True, return_counts=True)
+            if len(names) == 1:
+                continue
+            size = np.array([len(x) for x in items[lo:hi]])
+            starts = np.cumsum(size) - size
+            distinct, codes = np.unique(np.concatenate(items[lo:hi]), return_inverse=True)
+            mark = np.zeros(len(distinct), np.int64)
+            for o in np.flatnonzero(back != n.argmax()).tolist():
+                own = codes[starts[o] : starts[o] + size[o]]
+                mark[own] = 1
+                inter = np.add.reduceat(mark[codes], starts)
+                mark[own] = 0
+                hit = np.flatnonzero((100 * inter >= percent * (size + size[o] - inter)) & (back != back[o]))
+                for h in dict(zip(back[hit][::-1].tolist(), hit[::-1].tolist(), strict=True)).values():
+                    found.add((int(ids[lo + o]), int(ids[lo + h]), int(comp[lo + o]), int(comp[lo + h])))
+    rows = np.array(sorted(found), np.int64).reshape(-1, 4)
+    yield pa.RecordBatch.from_arrays([pa.array(rows[:, k]) for k in range(4)], names=["a", "b", "c_a", "c_b"])
+
+
+def second_look(docs: DataFrame, crowded: DataFrame, comp: DataFrame, words: int, percent: int) -> DataFrame:
+    """a, b, c_a, c_b: links between components of ``comp`` inside crowded regions; staged. ``crowded``: their forest entries."""
+    now = crowded.drop("comp").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    now = staged(now.select(*_ORDER, "comp"), "crowded")
+    mixed = now.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
+    now = staged(now.join(mixed, "key", "left_semi").select(*_ORDER, "comp"), "mixed")
+    sets = staged(full_sets(docs, staged(now.select("id").distinct(), "involved"), words).dropDuplicates(["id"]), "sets")
+    whole = now.join(sets, "id")
+    n = 1 + (whole.agg(F.sum(F.octet_length("items"))).first()[0] or 0) // RANGE_BYTES
+    ranged = whole.repartitionByRange(n, *_ORDER).sortWithinPartitions(*_ORDER).select("key", "id", "comp", "items")
+    return staged(ranged.mapInArrow(lambda it: _apart_links(it, percent), "a long, b long, c_a long, c_b long"), "apart")
+
+
 def components(links: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     """id, comp (least id of its component) for every end of ``links`` (a, b; staged)."""
     if links.count() <= one_task:
@@ -378,27 +412,20 @@ def cluster(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     crowded = staged(entries.join(crowded, "key", "left_semi"), "crowded")
     comp = spark.createDataFrame([], "id long, comp long")
     pairs = candidates(entries)
-    known, most = pairs, 1
-    while not pairs.isEmpty():
+    most = 1
+    if not pairs.isEmpty():
         ids = staged(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "involved")
         sets = staged(full_sets(docs, ids, words).dropDuplicates(["id"]), "sets")
-        while not pairs.isEmpty():
-            # A document has at most 2 * NEAR * TREES candidates, so these windows are small.
-            ends = pairs.select("a", "b", "differ", F.explode(F.array("a", "b")).alias("own"))
-            rank = F.row_number().over(Window.partitionBy("own").orderBy("differ", "a", "b"))
-            chosen = staged(ends.withColumn("rank", rank).where(F.col("rank") <= most).select("a", "b").distinct(), "chosen")
-            links = confirm(chosen, sets, percent)
-            comp = _merged(comp, _across(links, comp))
-            pairs = staged(_across(pairs.join(chosen, ["a", "b"], "left_anti"), comp).select("a", "b", "differ"), "apart")
-            most *= 4
-        if crowded.isEmpty():
-            break
-        now = crowded.drop("comp").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        mixed = now.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-        now = staged(now.join(mixed, "key", "left_semi").select(*[x.split()[0] for x in _ENTRY.split(", ")]), "mixed")
-        pairs = candidates(now, apart=True).join(known.select("a", "b"), ["a", "b"], "left_anti")
-        pairs, most = staged(pairs, "candidates"), 4
-        known = known.unionByName(pairs)
+    while not pairs.isEmpty():
+        # A document has at most 2 * NEAR * TREES candidates, so these windows are small.
+        ends = pairs.select("a", "b", "differ", F.explode(F.array("a", "b")).alias("own"))
+        rank = F.row_number().over(Window.partitionBy("own").orderBy("differ", "a", "b"))
+        chosen = staged(ends.withColumn("rank", rank).where(F.col("rank") <= most).select("a", "b").distinct(), "chosen")
+        comp = _merged(comp, _across(confirm(chosen, sets, percent), comp))
+        pairs = staged(_across(pairs.join(chosen, ["a", "b"], "left_anti"), comp).select("a", "b", "differ"), "apart")
+        most *= 4
+    if not crowded.isEmpty():
+        comp = _merged(comp, second_look(docs, crowded, comp, words, percent))
     classes = classes.join(comp.withColumnRenamed("id", "rep"), "rep", "left")
     out = signed.select("doc_id", *same).join(classes, same, "left")
     own = F.when(F.col("n_shingles") > 0, F.coalesce("comp", "rep")).otherwise(F.col("doc_id"))
