@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, linededup, neardup, quality, sentencepiece, sharding, warc
+from . import chat, decontam, linededup, neardup, quality, recompression, sentencepiece, sharding, warc
 from .common import table
 
 
@@ -53,8 +53,13 @@ def op9_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.cluster(table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op10_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = recompression.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), window=20)
+    return out.select("doc_id", F.col("__n_words").alias("n_words"), F.col("__n_removed").alias("n_removed"), F.sha2("__kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_reassembly, op3_prefix_targets, op4_best_fit_shards, op5_line_windows, op6_sentencepiece, op7_suffix_array_decontamination, op8_fertility, op9_lsh_forest)}
+    return {f.__name__: f for f in (op1_warc_reassembly, op3_prefix_targets, op4_best_fit_shards, op5_line_windows, op6_sentencepiece, op7_suffix_array_decontamination, op8_fertility, op9_lsh_forest, op10_recompression)}
 
 
 _B32 = " || ".join(
