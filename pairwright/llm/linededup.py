@@ -70,3 +70,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     out = both.withColumns({"__n_lines": size("__lines"), "__n_removed": size("__lines") - size("__kept")})
     out = out.withColumn("text", F.when(starts.isNull(), F.col("text")).otherwise(F.array_join("__kept", "\n")))
     return out.select(*docs.columns, "__n_lines", "__n_removed")
+
+
+def drop_repeated_lines(docs: DataFrame) -> DataFrame:
+    """``docs``, all columns, with the kept lines as text (and n_chars, if there is one, as its length)."""
+    out = dedup_lines(docs).select(*docs.columns)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -437,7 +437,10 @@ def dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
 
     Rows that repeat a kept doc_id go but for one.
     """
-    kept = cluster(docs, words, percent).where("kept").select(F.col("doc_id").alias("__id"), F.col("n_shingles").alias("__n")).distinct()
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["__id"]))
+    kept = staged(cluster(docs, words, percent).where("kept").select(F.col("doc_id").alias("__id"), F.col("n_shingles").alias("__n")), "kept")
+    several = kept.where("__n > 0").groupBy("__id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if several.isEmpty():
+        return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__id"]), "left_semi")
+    out = docs.join(kept.groupBy("__id").agg(F.max("__n").alias("__n")), docs["doc_id"].eqNullSafe(F.col("__id")))
     some = out.where("__n > 0").dropDuplicates(["doc_id"])
     return some.unionByName(out.where("__n = 0")).select(*docs.columns)

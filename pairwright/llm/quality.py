@@ -3,7 +3,8 @@
 Public vocabularies measure each whole text: characters per token under two vocabularies (a
 SentencePiece BPE with byte fallback and a byte-level BPE), the share of byte-fallback tokens, and
 the entropy of the tokens. A document is rejected where a measure leaves the band of its language
-(or, with no language given, of its script), on the side that the measure's rule names.
+(or, with no language given, of its script), on the side that the measure's rule names, or where
+characters per token and entropy are both low, though each within its band (``joint``).
 
 Words are runs of ``[^\\x20\\x09-\\x0D]+``; each is tokenised with its leading space. Bands are
 ``median -+ reach * IQR`` of all documents of the group, from exact counts of binned values, so they
@@ -41,9 +42,11 @@ MEASURES = {
     "entropy_ratio": (1024, "low", 0.06),
 }
 REACH = 4.0
+#: Measures that junk lowers together: the sum of their distances below the median, in IQRs, has a bound of its own.
+JOINT, JOINT_REACH = ("chars_per_byte_bpe", "entropy_ratio"), 4.5
 _words = re.compile(r"[^ \t-\r]+").findall
 _SCHEMA = (
-    "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
+    "doc_id long, lang string, text_hash long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
     "n_tokens long, script string, chars_per_piece double, chars_per_byte_bpe double, byte_share double, entropy_ratio double"
 )
 _SCRIPTS = [("han", r"[㐀-鿿豈-﫿]"), ("kana", r"[぀-ヿ]"), ("hangul", r"[가-힯]"), ("cyrillic", r"[Ѐ-ӿ]"), ("arabic", r"[؀-ۿ]"), ("greek", r"[Ͱ-Ͽ]"), ("devanagari", r"[ऀ-ॿ]")]
@@ -166,7 +169,7 @@ class Measurer:
 
 
 def measure(docs: DataFrame, model_path: str = MODEL_PATH, ranks_path: str = RANKS_PATH) -> DataFrame:
-    """doc_id, lang, base counts and fertility measures of each row, in one pass without shuffle."""
+    """doc_id, lang, text_hash, base counts and fertility measures of each row, in one pass without shuffle."""
     model, ranks = (docs.sparkSession.sparkContext.broadcast(read_model(p)) for p in (model_path, ranks_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,9 +179,9 @@ def measure(docs: DataFrame, model_path: str = MODEL_PATH, ranks_path: str = RAN
             for start, texts in slices(batch.column("text")):
                 cols = of(texts)
                 arrays = [pa.array(c, from_pandas=True) for c in cols]
-                yield pa.RecordBatch.from_arrays([batch.column(c).slice(start, len(texts)) for c in ("doc_id", "lang")] + arrays, names=names)
+                yield pa.RecordBatch.from_arrays([batch.column(c).slice(start, len(texts)) for c in ("doc_id", "lang", "text_hash")] + arrays, names=names)
 
-    return docs.select("doc_id", "lang", "text").mapInArrow(run, _SCHEMA)
+    return docs.select("doc_id", "lang", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, _SCHEMA)
 
 
 def _groups(m: DataFrame) -> DataFrame:
@@ -188,7 +191,7 @@ def _groups(m: DataFrame) -> DataFrame:
 
 
 def bands(measured: DataFrame, reach: float = REACH, min_group: int = 50, min_words: int = 50) -> DataFrame:
-    """grp, size_class, measure, low, high; grp ``*`` holds for groups that are too small."""
+    """grp, size_class, measure, low, high, mid, unit; grp ``*`` holds for groups that are too small."""
     own = _groups(measured).where(F.col("n_words") >= min_words)
     each = [
         F.named_struct(
@@ -205,8 +208,9 @@ def bands(measured: DataFrame, reach: float = REACH, min_group: int = 50, min_wo
     counts = counts.withColumns({"upto": upto, "total": F.sum("n").over(Window.partitionBy(*key))})
     quant = lambda q: F.min(F.when(F.col("upto") >= F.col("total") * q, (F.col("bin") + 0.5) / F.col("bins")))
     out = counts.groupBy(*key).agg(F.max("total").alias("total"), F.max("least").alias("least"), quant(0.25).alias("q1"), quant(0.5).alias("q2"), quant(0.75).alias("q3"))
+    unit = F.greatest(F.col("least") / REACH, F.col("q3") - F.col("q1"))
     half = F.greatest(F.col("least"), reach * (F.col("q3") - F.col("q1")))
-    return out.where(F.col("total") >= min_group).select(*key, (F.col("q2") - half).alias("low"), (F.col("q2") + half).alias("high"))
+    return out.where(F.col("total") >= min_group).select(*key, (F.col("q2") - half).alias("low"), (F.col("q2") + half).alias("high"), F.col("q2").alias("mid"), unit.alias("unit"))
 
 
 def _outside(bounds: Column, k: str, of: Column) -> Column:
@@ -223,12 +227,12 @@ def _outside(bounds: Column, k: str, of: Column) -> Column:
 def judge(measured: DataFrame, reach: float = REACH, min_group: int = 50, min_words: int = 50) -> DataFrame:
     """``measured`` (a staged table: it is read twice) with base_failed, rejected_by (array of measures) and kept."""
     all_bands = bands(measured, reach, min_group, min_words)
-    bound = F.struct("size_class", "measure", "low", "high")
+    bound = F.struct("size_class", "measure", "low", "high", "mid", "unit")
     per = all_bands.groupBy("grp").agg(F.collect_list(bound).alias("bounds"))
     own = _groups(measured)
     default = per.where("grp = '*'").select(F.col("bounds").alias("common"))
     own = own.join(per, "grp", "left").join(F.broadcast(default.limit(1)), F.lit(True), "left")
-    rejected = []
+    rejected, below = [], F.lit(0.0)
     for k in MEASURES:
         def pick(from_: str, k: str = k) -> Column:
             fit = F.filter(from_, lambda b: (b["measure"] == k) & (b["size_class"] == F.col("size_class")))
@@ -236,6 +240,9 @@ def judge(measured: DataFrame, reach: float = REACH, min_group: int = 50, min_wo
 
         bounds = F.coalesce(pick("bounds"), pick("common"))
         rejected.append(F.when(_outside(bounds, k, F.col(k)), F.lit(k)))
+        if k in JOINT:
+            below = below + F.greatest(F.lit(0.0), (bounds["mid"] - F.col(k)) / bounds["unit"])
+    rejected.append(F.when(below > JOINT_REACH, F.lit("joint")))
     own = own.withColumn("rejected_by", F.array_compact(F.array(*rejected)))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     own = own.withColumn("base_failed", failed)
@@ -245,3 +252,9 @@ def judge(measured: DataFrame, reach: float = REACH, min_group: int = 50, min_wo
 def score_documents(docs: DataFrame, **kw) -> DataFrame:
     """All measures and the verdict of each row of ``docs``."""
     return judge(staged(measure(docs), "fertility"), **kw)
+
+
+def keep_documents(docs: DataFrame, **kw) -> DataFrame:
+    """The rows of ``docs``, all columns, that the rules keep."""
+    good = score_documents(docs, **kw).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
+    return docs.join(good, docs["doc_id"].eqNullSafe(good["__id"]) & (F.xxhash64(docs["text"]) == good["__hash"]), "left_semi")
