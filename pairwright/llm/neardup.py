@@ -3,8 +3,9 @@
 Documents are sets of word shingles. Rows of equal sets form a class, represented by its least
 doc_id; the forest holds representatives alone. Each tree orders them by its own sequence of minhash
 values. A region is a run with a common prefix of ``DEPTH`` values; inside it deeper values sort on, so
-that in crowded regions neighbours share the longest prefixes, while regions of up to ``NEAR + 1``
-members are compared completely. Neighbours whose one-bit sketches are close are candidates.
+that in crowded regions those next to each other, which are compared, share the longest prefixes, while
+regions of up to ``NEAR + 1`` members are compared completely. Neighbours whose one-bit sketches are close
+are candidates.
 
 Candidates are confirmed on full shingle sets in rounds: first the best of each document, whose links
 already join most components, then four times as many, until no candidate has its ends in two
@@ -197,9 +198,14 @@ def _differ(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 def _neighbours(rows: np.ndarray) -> np.ndarray:
     """(a, b, bits that differ) of neighbours in one region whose sketches are close."""
     found = [np.zeros((0, 3), np.int64)]
+    if not len(rows):
+        return found[0]
     key, sketch, ids = rows[:, 0], rows[:, 2:4].view(np.uint64), rows[:, 4]
+    cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+    small = np.repeat(np.diff(cut) <= NEAR + 1, np.diff(cut))
     for step in range(1, NEAR + 1):
-        i = np.flatnonzero(key[step:] == key[:-step])
+        # Of crowded regions, which get a second look, those next to each other alone.
+        i = np.flatnonzero((key[step:] == key[:-step]) & (small[step:] | (step == 1)))
         if not i.size:
             break
         d = _differ(sketch[i], sketch[i + step])
