@@ -51,9 +51,10 @@ def later_windows(docs: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with text replaced by the kept lines, and __n_lines, __n_removed (0 for null texts)."""
     found = later_windows(docs)
+    found = found.select(F.col("d").alias("__d"), F.col("th").alias("__found"), F.col("starts").alias("__starts"))
     own = docs.withColumn("__th", F.xxhash64("text"))
-    both = own.join(found, own["doc_id"].eqNullSafe(found["d"]) & (own["__th"] == found["th"]), "left")
-    lines, starts, m = F.col("__lines"), F.col("starts"), F.size("starts")
+    both = own.join(found, own["doc_id"].eqNullSafe(found["__d"]) & (own["__th"] == found["__found"]), "left")
+    lines, starts, m = F.col("__lines"), F.col("__starts"), F.size("__starts")
     both = both.withColumn("__lines", _lines(F.col("text")))
     gaps = F.transform(
         F.sequence(F.lit(0), m),
