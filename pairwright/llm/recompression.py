@@ -43,6 +43,8 @@ ROUNDS = "rpppp"
 #: What windows go by, the first that a window holds: symbols after so many rounds whose names end in so many 0 bits.
 LEVELS = ((5, 0), (3, 0), (1, 0), (0, 0))
 MAX_SENT_BYTES = 24 << 20
+#: Text that a task holds as symbols at once, unless one document is longer: about 100 bytes of arrays for each of text.
+SLICE_BYTES = 1 << 20
 _U = np.uint64
 _P1, _P2, _P3 = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93), _U(0xC2B2AE3D27D4EB4F)
 _words = re.compile(r"[^ \t-\r]+").findall
@@ -153,7 +155,7 @@ _ANCHORED = "d long, t int, n_words long, names array<long>, codes array<long>,
 
 def _anchor_batches(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for start, texts in slices(batch.column("text"), 8 << 20):
+        for start, texts in slices(batch.column("text"), SLICE_BYTES):
             (doc, level, at, name, before, behind), _, counts = anchors([x or "" for x in texts], window)
             cut = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(texts)))]).astype(np.int32)
             code = (at.astype(np.int64) << 2) | level
@@ -202,7 +204,7 @@ def _spread(runs: np.ndarray) -> np.ndarray:
 def _window_batches(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """128-bit name and place (rank of the document, start) of each candidate window."""
     for batch in batches:
-        for start, texts in slices(batch.column("text"), 4 << 20):
+        for start, texts in slices(batch.column("text"), SLICE_BYTES):
             h, counts = word_hashes([x or "" for x in texts], lower=False)
             base = np.cumsum(counts) - counts
             at, place = [], []
