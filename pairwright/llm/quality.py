@@ -13,8 +13,9 @@ per length class (powers of two of the token count): entropy grows with length,
 more, so that a short clean text with a long number or address in it stays.
 
 Defined cases: a null text has no words; a text of no words has null measures and is rejected by the
-base rule; a null or empty language is grouped by script; groups of fewer than ``min_group`` documents
-use the band of all documents of their length; repeated rows count each; an empty table gives no rows.
+base rule; a null or empty language is grouped by script; where fewer than ``min_group`` documents of a group
+have a length, its band over all lengths holds (not for entropy), then that of all documents of the
+length, then that of all documents; repeated rows count each; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -42,6 +43,8 @@ MEASURES = {
     "entropy_ratio": (1024, "low", 0.06),
 }
 REACH = 4.0
+#: The length class that stands for all lengths.
+ANY_SIZE = -1
 #: Measures that junk lowers together: the sum of their distances below the median, in IQRs, has a bound of its own.
 JOINT, JOINT_REACH = ("chars_per_byte_bpe", "entropy_ratio"), 4.5
 _words = re.compile(r"[^ \t-\r]+").findall
@@ -201,6 +204,7 @@ def bands(measured: DataFrame, reach: float = REACH, min_group: int = 50, min_wo
         for k, (bins, _, least) in MEASURES.items()
     ]
     rows = own.select(F.explode(F.array(F.col("grp"), F.lit("*"))).alias("grp"), F.array(*each).alias("m")).select("grp", F.explode("m").alias("m")).select("grp", "m.*")
+    rows = rows.withColumn("size_class", F.explode(F.array(F.col("size_class"), F.lit(ANY_SIZE))))
     # At most a few thousand bins a group: what follows sees counts, not documents.
     counts = rows.where("bin is not null").groupBy("grp", "measure", "size_class", "bin", "bins", "least").agg(F.count(F.lit(1)).alias("n"))
     key = ["grp", "measure", "size_class"]
@@ -234,11 +238,15 @@ def judge(measured: DataFrame, reach: float = REACH, min_group: int = 50, min_wo
     own = own.join(per, "grp", "left").join(F.broadcast(default.limit(1)), F.lit(True), "left")
     rejected, below = [], F.lit(0.0)
     for k in MEASURES:
-        def pick(from_: str, k: str = k) -> Column:
-            fit = F.filter(from_, lambda b: (b["measure"] == k) & (b["size_class"] == F.col("size_class")))
+        def pick(from_: str, size: Column, k: str = k) -> Column:
+            fit = F.filter(from_, lambda b: (b["measure"] == k) & (b["size_class"] == size))
             return F.get(fit, F.lit(0))
 
-        bounds = F.coalesce(pick("bounds"), pick("common"))
+        own_size, any_size = F.col("size_class"), F.lit(ANY_SIZE)
+        if k == "entropy_ratio":
+            bounds = F.coalesce(pick("bounds", own_size), pick("common", own_size))
+        else:
+            bounds = F.coalesce(pick("bounds", own_size), pick("bounds", any_size), pick("common", own_size), pick("common", any_size))
         rejected.append(F.when(_outside(bounds, k, F.col(k)), F.lit(k)))
         if k in JOINT:
             below = below + F.greatest(F.lit(0.0), (bounds["mid"] - F.col(k)) / bounds["unit"])
