@@ -12,14 +12,14 @@ def fe_interaction(scores: DataFrame, unit: str, system: str, a: str, b: str, fa
     With every (unit, system) scored by both judges the dummy-variable fit reduces to means of
     d = b - a inside and outside the family, and its clustered variance to sums by unit: two small aggregations.
     """
-    d = scores.select(unit, system, F.col(system).isin(family).cast("double").alias("f"), (F.col(b) - F.col(a)).alias("d"))
+    d = scores.select(F.col(unit).alias("__unit"), F.col(system).alias("__system"), F.col(system).isin(family).cast("double").alias("f"), (F.col(b) - F.col(a)).alias("d"))
     whole = d.agg(
         F.avg(F.when(F.col("f") == 1, F.col("d"))).alias("inside"), F.avg(F.when(F.col("f") == 0, F.col("d"))).alias("outside"), F.avg("f").alias("share"),
-        F.count(F.lit(1)).alias("cells"), F.count_distinct(system).alias("s"), F.count_distinct(unit).alias("r"),
+        F.count(F.lit(1)).alias("cells"), F.count_distinct("__system").alias("s"), F.count_distinct("__unit").alias("r"),
     )
     each = d.crossJoin(F.broadcast(whole))  # one row
     resid = F.col("d") - F.col("outside") - (F.col("inside") - F.col("outside")) * F.col("f")
-    u = each.groupBy(unit).agg(F.sum(0.5 * (F.col("f") - F.col("share")) * resid).alias("u")).agg(F.sum(F.col("u") * F.col("u")).alias("uu"))
+    u = each.groupBy("__unit").agg(F.sum(0.5 * (F.col("f") - F.col("share")) * resid).alias("u")).agg(F.sum(F.col("u") * F.col("u")).alias("uu"))
     out = whole.crossJoin(u)
     r, s = F.col("r").cast("double"), F.col("s").cast("double")
     spread = 0.5 * F.col("cells") * F.col("share") * (1 - F.col("share"))
@@ -30,13 +30,13 @@ def fe_interaction(scores: DataFrame, unit: str, system: str, a: str, b: str, fa
 
 def fe_slope(scores: DataFrame, unit: str, system: str, y: str, x: str) -> DataFrame:
     """Slope of y on x with unit and system effects (balanced panel: double demeaning), CR1 errors by unit."""
-    own = scores.select(unit, system, F.col(y).cast("double").alias("y"), F.col(x).cast("double").alias("x"))
-    by_unit = own.groupBy(unit).agg(F.avg("y").alias("yu"), F.avg("x").alias("xu"))
-    by_system = own.groupBy(system).agg(F.avg("y").alias("ys"), F.avg("x").alias("xs"))
-    whole = own.agg(F.avg("y").alias("ya"), F.avg("x").alias("xa"), F.count(F.lit(1)).alias("n"), F.count_distinct(unit).alias("r"), F.count_distinct(system).alias("s"))
-    d = own.join(by_unit, unit).join(by_system, system).crossJoin(F.broadcast(whole))  # one row
-    d = d.select(unit, (F.col("y") - F.col("yu") - F.col("ys") + F.col("ya")).alias("y"), (F.col("x") - F.col("xu") - F.col("xs") + F.col("xa")).alias("x"))
-    per = d.groupBy(unit).agg(F.sum(F.col("x") * F.col("y")).alias("xy"), F.sum(F.col("x") * F.col("x")).alias("xx"))
+    own = scores.select(F.col(unit).alias("__unit"), F.col(system).alias("__system"), F.col(y).cast("double").alias("y"), F.col(x).cast("double").alias("x"))
+    by_unit = own.groupBy("__unit").agg(F.avg("y").alias("yu"), F.avg("x").alias("xu"))
+    by_system = own.groupBy("__system").agg(F.avg("y").alias("ys"), F.avg("x").alias("xs"))
+    whole = own.agg(F.avg("y").alias("ya"), F.avg("x").alias("xa"), F.count(F.lit(1)).alias("n"), F.count_distinct("__unit").alias("r"), F.count_distinct("__system").alias("s"))
+    d = own.join(by_unit, "__unit").join(by_system, "__system").crossJoin(F.broadcast(whole))  # one row
+    d = d.select("__unit", (F.col("y") - F.col("yu") - F.col("ys") + F.col("ya")).alias("y"), (F.col("x") - F.col("xu") - F.col("xs") + F.col("xa")).alias("x"))
+    per = d.groupBy("__unit").agg(F.sum(F.col("x") * F.col("y")).alias("xy"), F.sum(F.col("x") * F.col("x")).alias("xx"))
     fit = per.agg((F.sum("xy") / F.sum("xx")).alias("b"), F.sum("xx").alias("sxx"))
     meat = per.crossJoin(F.broadcast(fit)).agg(F.sum(F.pow(F.col("xy") - F.col("b") * F.col("xx"), F.lit(2))).alias("m"))
     out = fit.crossJoin(meat).crossJoin(whole)

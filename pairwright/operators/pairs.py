@@ -97,7 +97,8 @@ def extremes(rows: DataFrame, by: list[str], name: str, value: str, tolerance: f
 
 
 def pearson(x: Column, y: Column) -> Column:
-    return F.when((F.stddev_pop(x) > 0) & (F.stddev_pop(y) > 0), F.corr(x, y))
+    """Null where a side is constant; ``corr`` itself would fail there."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
 def correlations(rows: DataFrame, by: list[str], x: str, y: str, key: str) -> DataFrame:
@@ -105,12 +106,12 @@ def correlations(rows: DataFrame, by: list[str], x: str, y: str, key: str) -> Da
 
     tau-b compares the rows of a group in pairs: groups of panel size (hundreds of items).
     """
-    own = rows.select(*by, key, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    ranked = average_ranks(average_ranks(own, by, "x").withColumnRenamed("avg_rank", "rx"), by, "y").withColumnRenamed("avg_rank", "ry")
-    plain = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), pearson(F.col("x"), F.col("y")).alias("pearson"), pearson(F.col("rx"), F.col("ry")).alias("spearman"))
-    a, b = own.select(*by, *[F.col(c).alias(f"{c}1") for c in (key, "x", "y")]), own.select(*by, *[F.col(c).alias(f"{c}2") for c in (key, "x", "y")])
-    two = a.join(b, by).where(F.col(f"{key}1") < F.col(f"{key}2"))
-    sx, sy = F.signum(F.col("x1") - F.col("x2")), F.signum(F.col("y1") - F.col("y2"))
+    own = rows.select(*by, F.col(key).alias("__key"), F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"))
+    ranked = average_ranks(average_ranks(own, by, "__x").withColumnRenamed("avg_rank", "rx"), by, "__y").withColumnRenamed("avg_rank", "ry")
+    plain = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), pearson(F.col("__x"), F.col("__y")).alias("pearson"), pearson(F.col("rx"), F.col("ry")).alias("spearman"))
+    a, b = (own.select(*by, *[F.col(c).alias(f"{c}{k}") for c in ("__key", "__x", "__y")]) for k in (1, 2))
+    two = a.join(b, by).where("__key1 < __key2")
+    sx, sy = F.signum(F.col("__x1") - F.col("__x2")), F.signum(F.col("__y1") - F.col("__y2"))
     tau = two.groupBy(*by).agg(F.sum(sx * sy).alias("s"), F.sum(sx * sx).alias("nx"), F.sum(sy * sy).alias("ny"))
     tau = tau.select(*by, F.when((F.col("nx") > 0) & (F.col("ny") > 0), F.col("s") / F.sqrt(F.col("nx") * F.col("ny"))).alias("kendall"))
     return plain.join(tau, by, "left")

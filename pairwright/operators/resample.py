@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import hash_rank_key
+from .pairs import pearson
 
 
 def numbered(blocks: DataFrame, order: str) -> DataFrame:
@@ -47,8 +48,8 @@ def hash_permutation(pairs: DataFrame, unit: str, x: str, y: str, n_draws: int,
     each = spark.range(n_draws).select(F.col("id").alias("draw")).join(F.broadcast(own.select("block", "y")), how="cross")  # draws times units
     order = F.row_number().over(Window.partitionBy("draw").orderBy(hash_rank_key(seed, F.col("draw"), F.col("block")), "block")) - 1
     moved = each.select("draw", "y", order.alias("block")).join(own.select("block", "x"), "block")
-    r = moved.groupBy("draw").agg(F.corr("x", "y").alias("r"))
-    point = own.agg(F.count(F.lit(1)).alias("n"), F.corr("x", "y").alias("estimate"))
+    r = moved.groupBy("draw").agg(pearson(F.col("x"), F.col("y")).alias("r"))
+    point = own.agg(F.count(F.lit(1)).alias("n"), pearson(F.col("x"), F.col("y")).alias("estimate"))
     out = r.crossJoin(F.broadcast(point)).groupBy("n", "estimate").agg(F.count("r").alias("n_valid"), F.count(F.when(F.abs("r") >= F.abs("estimate") - 1e-12, 1)).alias("extreme"))
     return out.select("n", "estimate", "n_valid", ((F.col("extreme") + 1) / (F.col("n_valid") + 1)).alias("p_perm"))
 
