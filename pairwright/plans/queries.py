@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ngram, report, special, ter
 from ..functions import text as t
-from ..operators import gates, judge, latest, models, pairs, providers, resample, sampling, summary
+from ..operators import gates, judge, latest, models, pairs, providers, resample, sampling, scoring, stages, summary
 from . import inputs as i
 from .inputs import ATT, DIMS, PAIR, PANEL, RATE, rounded
 
@@ -680,3 +680,99 @@ def s_stream_attempts(spark, d):
     run = q.trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.parquet(f"{name}/state/v{(run.lastProgress or {'batchId': 0})['batchId']}")
+
+
+# -- stages and bundles ----------------------------------------------------------------------
+
+
+def _pair_log(spark, d):
+    """Text pairs as a log of outputs and its manifest."""
+    p = i.pairs(spark, d).withColumn("record_id", F.concat_ws("-", "conv_id", "turn"))
+    bad = F.col("conv_id") % 7 == 0
+    out = p.select(
+        F.col("system").alias("system_id"), "record_id", F.col("conv_id").alias("seq"), F.when(bad, "error").otherwise("ok").alias("status"), F.when(bad, "").otherwise(F.col("h")).alias("output_text"),
+        F.when(bad, "broken").otherwise("").alias("error"), F.lit("v1").alias("prompt_version"), F.lit(0.5).alias("latency_seconds"),
+    )
+    return out, p.select("record_id", F.col("system").alias("source_id"), F.lit("x").alias("source"), F.col("r").alias("reference"))
+
+
+@query()
+def a_score_systems(spark, d):
+    outputs, manifest = _pair_log(spark, d)
+    return rounded(scoring.score_systems(scoring.score_rows(outputs, manifest).persist(), 1.0))
+
+
+@query(f"""WITH {PAIR} SELECT system AS system_id, count(*) AS n, count(*) FILTER (conv_id % 7 <> 0) AS n_ok, NULL::DOUBLE AS semantic, 'semantic is not available: no model is installed' AS semantic_error, 'learned is not in profile semantic' AS learned_error FROM pair GROUP BY system""")
+def t_model_profile(spark, d):
+    p, _ = _pair_log(spark, d)
+    rows = scoring.model_scores(p.select("system_id", "status", F.lit("x").alias("source"), F.col("output_text").alias("hypothesis"), F.lit("y").alias("reference")), "semantic", None)
+    rows = rows.withColumn("learned_error", F.lit("learned is not in profile semantic"))
+    return rows.groupBy("system_id").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("status") == "ok", 1)).alias("n_ok"), F.max("semantic").alias("semantic"), F.max("semantic_error").alias("semantic_error"), F.max("learned_error").alias("learned_error"))
+
+
+@query(f"""WITH {ATT}, {PANEL}, x AS (SELECT system_id, record_id, c = 1 AND ok AS whole FROM (SELECT system_id, record_id, count(*) AS c, max_by({_OK}, seq) AS ok FROM att GROUP BY ALL))
+SELECT 'incomplete_systems' AS "check", count(DISTINCT system_id) FILTER (NOT whole) AS n FROM x UNION ALL SELECT 'system_count', 1 UNION ALL SELECT 'score_not_finite', count(*) FILTER (user_id % 10 = 0 AND user_id % 6 <> 5) FROM panel
+UNION ALL SELECT 'missing_keys', count(*) FILTER (user_id % 6 = 5) FROM panel UNION ALL SELECT 'unexpected_keys', 0""")
+def q_stage_gate(spark, d):
+    a = i.attempts(spark, d)
+    s = i.panel(spark, d).where("user_id % 6 <> 5").select(F.col("event_type").alias("system_id"), F.col("user_id").alias("record_id"), F.when(F.col("user_id") % 10 == 0, float("nan")).otherwise(F.col("a")).alias("score"))
+    return stages.stage_gate(a, s, a.select("record_id"), a.select("system_id").distinct(), 3)
+
+
+@query(f"""WITH {ATT}, {PANEL}, m AS (SELECT user_id AS record_id, event_type AS system_id FROM panel WHERE NOT (user_id % 9 = 4 AND event_type = 'view') AND user_id % 8 <> 3), good AS (SELECT DISTINCT record_id, system_id FROM att WHERE {_OK})
+SELECT 'not_a_bijection' AS "check", count(DISTINCT record_id) FILTER (record_id % 9 = 4) AS n FROM m UNION ALL SELECT 'output_not_ok', count(*) FROM (SELECT * FROM m ANTI JOIN good USING (record_id, system_id)) UNION ALL SELECT 'missing_keys', count(DISTINCT user_id) FILTER (user_id % 8 = 3) FROM panel UNION ALL SELECT 'unexpected_keys', 0""")
+def q_mapping(spark, d):
+    m = sampling.hash_letters(i.panel(spark, d).select(F.col("user_id").alias("record_id"), F.col("event_type").alias("system_id")), "record_id", "system_id", 3).withColumnRenamed("letter", "candidate_id")
+    m = m.where("NOT (record_id % 9 = 4 AND system_id = 'view') AND record_id % 8 <> 3")
+    return stages.mapping_faults(m, i.panel(spark, d).select(F.col("user_id").alias("record_id")), i.attempts(spark, d), 5)
+
+
+@query(f"""WITH {PANEL}, c AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_type) AS k, least(10.0, floor(a / 5) / 2)::DOUBLE AS form, row_number() OVER (PARTITION BY user_id ORDER BY -a, event_type) AS rk FROM panel),
+x AS (SELECT CASE WHEN user_id % 3 = 0 THEN 'p' ELSE 'q' END AS source, event_type AS system_id, form, 10.0::DOUBLE - form AS sense, 5.0::DOUBLE AS average_score, rk::DOUBLE AS rank_position FROM c),
+p AS (SELECT source, system_id, count(*) AS n, avg(form) AS form, avg(sense) AS sense, avg(average_score) AS average_score, avg(rank_position) AS rank_position FROM x GROUP BY ALL)
+SELECT source, system_id, n, round(form, 8) AS form, round(sense, 8) AS sense, round(average_score, 8) AS average_score, round(rank_position, 8) AS rank_position FROM p UNION ALL SELECT 'overall', system_id, sum(n)::BIGINT, round(avg(form), 8), round(avg(sense), 8), round(avg(average_score), 8), round(avg(rank_position), 8) FROM p GROUP BY system_id""")
+def a_judge_summary(spark, d):
+    a = i.answers(spark, d)
+    mapping = a.select("user_id", F.explode("mapping").alias("m")).select("user_id", "m.candidate_id", "m.system_id")
+    rows = judge.explode_scores(judge.parse(a, "raw"), "user_id", mapping, ["form", "sense"]).withColumn("source", F.when(F.col("user_id") % 3 == 0, "p").otherwise("q"))
+    return rounded(summary.macro_average(rows, "source", "system_id", ["form", "sense", "average_score", "rank_position"], ["p", "q"]))
+
+
+@query(f"""WITH {PANEL} SELECT user_id, string_agg('Candidate ' || chr((64 + k)::INT) || ':' || chr(10) || event_type, chr(10) || chr(10) ORDER BY k) AS candidates FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_type) AS k FROM panel) GROUP BY user_id""")
+def p_judge_prompt(spark, d):
+    k = F.row_number().over(Window.partitionBy("user_id").orderBy("event_type"))  # a record has five systems
+    p = i.panel(spark, d).select("user_id", "event_type", F.chr(F.lit(64) + k).alias("letter"))
+    return judge.prompt(p, "user_id", "letter", "event_type")
+
+
+@query(f"""WITH {PAIRED_SQL}, e AS (SELECT family, count(*) AS n, avg(x) AS nt, avg(y) AS t, avg(y - x) AS delta FROM prs WHERE user_id % 10 <> 3 GROUP BY family) SELECT family, n, round(nt, 8) AS mean_x, round(t, 8) AS mean_y, round(delta, 8) AS delta FROM e""")
+def i_small_source_exclusion(spark, d):
+    own = pairs.families(i.panel(spark, d).where("user_id % 10 <> 3"), "user_id", "event_type", "a", FAMILIES)
+    return rounded(pairs.effects(own, ["family"]).select("family", "n", "mean_x", "mean_y", "delta"))
+
+
+@query(f"""WITH {PANEL}, prs AS (SELECT j AS judge, family, x.user_id, CASE j WHEN 'a' THEN x.a ELSE x.b END AS x, CASE j WHEN 'a' THEN y.a ELSE y.b END AS y FROM (VALUES ('one', 'view', 'click'), ('two', 'signup', 'purchase')) fam(family, sx, sy), (VALUES ('a'), ('b')) js(j), panel x, panel y WHERE x.event_type = sx AND y.event_type = sy AND y.user_id = x.user_id),
+e AS (SELECT judge, family, count(*) AS n, avg(y - x) AS delta, {_DZ.format(d='(y - x)')} FROM prs GROUP BY judge, family)
+SELECT judge, family, n, round(delta, 8) AS delta, dz, dz_status, CASE WHEN max(sign(delta)) OVER w = 0 AND min(sign(delta)) OVER w = 0 THEN 'both_tie' WHEN count(*) FILTER (delta = 0) OVER w > 0 THEN 'one_tie' WHEN max(sign(delta)) OVER w = min(sign(delta)) OVER w THEN 'same' ELSE 'opposite' END AS agreement FROM e WINDOW w AS (PARTITION BY family)""")
+def i_within_family(spark, d):
+    long = i.panel(spark, d).select("user_id", "event_type", F.explode(F.array(F.struct(F.lit("a").alias("judge"), F.col("a").alias("v")), F.struct(F.lit("b").alias("judge"), F.col("b").alias("v")))).alias("j"))
+    long = long.select(F.concat_ws(":", "j.judge", F.col("user_id").cast("string")).alias("unit"), "event_type", "j.v")
+    e = pairs.families(long, "unit", "event_type", "v", FAMILIES).withColumn("judge", F.substring("unit", 1, 1))
+    e = pairs.effects(e, ["judge", "family"]).select("judge", "family", "n", "delta", "dz", "dz_status")
+    w, sign = Window.partitionBy("family"), F.signum("delta")  # a family has a row per judge
+    ties = F.sum((F.col("delta") == 0).cast("int")).over(w)
+    return rounded(e.withColumn("agreement", F.when(ties == 2, "both_tie").when(ties == 1, "one_tie").when(F.max(sign).over(w) == F.min(sign).over(w), "same").otherwise("opposite")))
+
+
+@query(f"""WITH {PANEL}, pd AS (SELECT x.user_id, x.event_type || '-' || y.event_type AS pair, y.a - x.a AS da, y.b - x.b AS db FROM panel x JOIN panel y ON x.user_id = y.user_id AND x.event_type < y.event_type),
+m AS (SELECT event_type, avg(a) AS a, avg(b) AS b FROM panel GROUP BY event_type)
+SELECT 'pooled' AS analysis, 'all' AS name, count(*) AS n, round(corr(a, b), 8) AS pearson FROM panel UNION ALL SELECT 'per_system', event_type, count(*), round(corr(a, b), 8) FROM panel GROUP BY event_type
+UNION ALL SELECT 'paired_delta', pair, count(*), round(corr(da, db), 8) FROM pd GROUP BY pair UNION ALL SELECT 'system_means', 'all', count(*), round(corr(a, b), 8) FROM m""")
+def i_alignment(spark, d):
+    p = i.panel(spark, d)
+    other = p.select("user_id", F.col("event_type").alias("o"), F.col("a").alias("oa"), F.col("b").alias("ob"))
+    delta = p.join(other, "user_id").where("event_type < o").select(F.concat_ws("-", "event_type", "o").alias("name"), (F.col("oa") - F.col("a")).alias("a"), (F.col("ob") - F.col("b")).alias("b"))  # five systems a user
+    means = p.groupBy("event_type").agg(F.avg("a").alias("a"), F.avg("b").alias("b"))
+    parts = [("pooled", p.withColumn("name", F.lit("all"))), ("per_system", p.withColumn("name", F.col("event_type"))), ("paired_delta", delta), ("system_means", means.withColumn("name", F.lit("all")))]
+    out = [x.groupBy("name").agg(F.count(F.lit(1)).alias("n"), pairs.pearson(F.col("a"), F.col("b")).alias("pearson")).select(F.lit(k).alias("analysis"), "name", "n", "pearson") for k, x in parts]
+    return rounded(gates.union(*out))

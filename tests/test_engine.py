@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pairwright.functions import ngram, report, special, ter
 from pairwright.functions import text as t
-from pairwright.operators import gates, judge, latest, models, pairs, providers, resample, sampling, summary
+from pairwright.operators import gates, judge, latest, models, pairs, providers, resample, sampling, scoring, stages, summary
 from pairwright.sources import files
 from pairwright.streaming import attempts as stream
 
@@ -295,3 +295,41 @@ def test_stream(spark, tmp_path):
     assert run() == {(1, 1, "a"), (2, 2, "b")}
     rows([(1, 3, "c"), (2, 1, "old")]).write.mode("append").parquet(log)
     assert run() == {(1, 3, "c"), (2, 2, "b")}
+
+
+def test_scoring(spark):
+    outputs = spark.createDataFrame(
+        [("s", "1", 1, "ok", "old text", "", "v", 1.0), ("s", "1", 2, "ok", "the cat sat on the mat", "", "v", 2.0), ("s", "2", 3, "error", "", "down", "v", 1.0), ("s", "9", 4, "ok", "x", "", "v", 1.0)],
+        "system_id string, record_id string, seq long, status string, output_text string, error string, prompt_version string, latency_seconds double",
+    )
+    manifest = spark.createDataFrame([("1", "p", "詩", "the cat sat on the mat"), ("2", "p", "詩", "a dog")], "record_id string, source_id string, source string, reference string")
+    length = lambda: lambda s, h, r: h.str.len().astype(float)
+    def broken():
+        raise OSError("no file")
+
+    rows = scoring.score_rows(outputs, manifest, "all", {"semantic": length, "learned": broken}).persist()
+    got = {r["record_id"]: r for r in rows.collect()}
+    assert set(got) == {"1", "2"}
+    assert math.isclose(got["1"]["bleu"], 100) and got["1"]["ter"] == 0 and got["1"]["semantic"] == 22
+    assert (got["2"]["bleu"], got["2"]["learned"], got["2"]["learned_error"]) == (None, None, "learned is not available: no file")
+    one = scoring.score_systems(rows, 3.0).first()
+    assert (one["n_total"], one["n_ok"], one["n_failed"], one["scoring_seconds"]) == (2, 1, 1, 3.0)
+    assert math.isclose(one["bleu_corpus"], 100) and math.isclose(one["chrf_corpus"], 100) and one["ter_corpus"] == 0
+
+
+def test_stage_helpers(spark):
+    assert stages.system_paths(["a=x", " b = y=z "]) == {"a": "x", "b": "y=z"}
+    for bad in (["a"], ["=x"], ["a=x", "a=y"]):
+        with pytest.raises(ValueError, match="SYSTEM=PATH"):
+            stages.system_paths(bad)
+    stages.shard_paths(["out-shard-1-of-3.jsonl"], 1, 3)
+    with pytest.raises(ValueError, match="without"):
+        stages.shard_paths(["out.jsonl"], 1, 3)
+    with pytest.raises(ValueError, match="shard 3 of 3"):
+        stages.shard_paths(["x"], 3, 3)
+    report = json.loads(stages.verification_report(spark.createDataFrame([("a", 0), ("b", 2)], "check string, n long"), {"records": 3}))
+    assert report == {"records": 3, "violations": {"a": 0, "b": 2}, "passed": False}
+    m = "array<struct<candidate_id:string,system_id:string>>"
+    own = spark.createDataFrame([("1", [("A", "s")]), ("2", None)], f"record_id string, candidate_map {m}")
+    private = spark.createDataFrame([("1", [("A", "t")]), ("2", [("A", "t")])], f"record_id string, candidate_map {m}")
+    assert {r["record_id"]: r["candidate_map"][0]["system_id"] for r in stages.with_mapping(own, private).collect()} == {"1": "s", "2": "t"}
