@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -22,6 +23,7 @@ PAIRED_SQL = f"""{PANEL}, {FAMILY_SQL}, prs AS (SELECT family, x.user_id, x.a AS
 #: A trim of what counts as white space, for RE2.
 _SP = r"[\s\p{Z}\x{0b}\x{1c}-\x{1f}\x{85}]"
 _LINES = r"list_filter(list_transform(regexp_split_to_array({c}, '\r\n|[\n\r\x{{0b}}\x{{0c}}\x{{1c}}-\x{{1e}}\x{{85}}\x{{2028}}\x{{2029}}]'), lambda x: regexp_replace(x, '^{sp}+|{sp}+$', '', 'g')), lambda x: x <> '')"
+_HAN = r"[\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}]"
 SEED = 20260706
 
 
@@ -88,7 +90,7 @@ def j6_candidates(spark, d):
 
 @query(f"""WITH {PAIR} SELECT conv_id, turn, abs(len({lines_sql('h')}) - len({lines_sql('r')}))::INT AS line_count_diff,
   round(CASE WHEN length({strip_sql('r')}) = 0 THEN 0 ELSE length({strip_sql('h')})::DOUBLE / length({strip_sql('r')}) END, 8) AS length_ratio,
-  round(CASE WHEN len(regexp_extract_all(h, '[A-Za-z]')) = 0 THEN 0 ELSE 1 END::DOUBLE, 8) AS english_ratio, ({strip_sql('h')} = '')::INT AS empty_output,
+  round(coalesce(len(regexp_extract_all(h, '[A-Za-z]'))::DOUBLE / nullif(len(regexp_extract_all(h, '[A-Za-z]')) + len(regexp_extract_all(h, '{_HAN}')), 0), 0), 8) AS english_ratio, ({strip_sql('h')} = '')::INT AS empty_output,
   round(abs(CASE WHEN length({strip_sql('r')}) = 0 THEN 0 ELSE length({strip_sql('h')})::DOUBLE / length({strip_sql('r')}) END - 1), 8) AS length_deviation FROM pair""")
 def p_form_diagnostics(spark, d):
     h, r = F.col("h"), F.col("r")
@@ -673,7 +675,7 @@ def s_stream_attempts(spark, d):
     from ..streaming import attempts as stream
 
     base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="pairwright-")
-    name = f"{base.rstrip('/')}/pairwright-stream-{spark.sparkContext.applicationId}-{abs(hash(d))}"
+    name = f"{base.rstrip('/')}/pairwright/stream-{uuid.uuid4().hex}"
     events = i.table(spark, d, "events").select("event_id", "user_id", "event_type", "value")
     events.write.mode("overwrite").parquet(f"{name}/log")
     q = stream.upsert_latest(stream.read_log(spark, f"{name}/log", events.schema), f"{name}/state", f"{name}/checkpoint", ["user_id", "event_type"], "event_id")
