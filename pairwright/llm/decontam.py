@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from .sentencepiece import slices
 
 MAX_BLOCK_BYTES = 32 << 20
+#: Text of a shard, unless one document is longer: about 60 bytes of arrays for each of text.
+SHARD_BYTES = 2 << 20
 _P = 0x9E3779B97F4A7C15
 _U = np.uint64
 
@@ -265,7 +267,7 @@ def mark_documents(docs: DataFrame, benchmark: DataFrame, window: int = 8) -> Da
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             bench = Benchmark(sent.value, window)
             for batch in batches:
-                for start, texts in slices(batch.column("text"), 16 << 20):
+                for start, texts in slices(batch.column("text"), SHARD_BYTES):
                     part = batch.slice(start, len(texts))
                     counts, spans, names = _mark([t or "" for t in texts], bench, part.column("__spans").to_pylist(), part.column("__items").to_pylist())
                     new = {"__n_words": pa.array(counts, pa.int64()), "__spans": pa.array(spans, pa.list_(pa.int32())), "__items": pa.array(names, pa.list_(pa.string()))}
@@ -305,7 +307,7 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, min_words: int = 8) -
             order = np.searchsorted(bench.start_of_item, bench.starts, side="right") - 1
             word = bench.starts - bench.start_of_item[order] if len(bench.starts) else bench.starts
             for batch in batches:
-                for start, texts in slices(batch.column("text"), 16 << 20):
+                for start, texts in slices(batch.column("text"), SHARD_BYTES):
                     shard = Shard([t or "" for t in texts], bench)
                     size, where = shard.longest()
                     k = np.flatnonzero(size >= min_words)

@@ -543,7 +543,7 @@ def extract(pages: DataFrame, field: Field | None = None, n_pages: int = 500) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for batch in batches:
-            for start, texts in slices(batch.column("html"), 4 << 20):
+            for start, texts in slices(batch.column("html"), 2 << 20):
                 part = batch.slice(start, len(texts))
                 found = own.decode([t or "" for t in texts])
                 new = {"__text": pa.array([" ".join(t for t, main in b if main) for b in found], pa.string()), "__n_blocks": pa.array([len(b) for b in found], pa.int64())}

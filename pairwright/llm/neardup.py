@@ -43,6 +43,8 @@ TREES, DEPTH, NEAR, BITS = 32, 4, 16, 128
 FAR = 34
 ONE_TASK = 500_000
 RANGE_BYTES = 64 << 20
+#: Text that a task hashes at once, unless one document is longer.
+SLICE_BYTES = 1 << 20
 MAX_BROADCAST_IDS = 2_000_000
 _U = np.uint64
 _P = 0x9E3779B97F4A7C15
@@ -164,7 +166,7 @@ def _sign(texts: list[str], words: int) -> list[pa.Array]:
 def signatures(docs: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, texts in slices(batch.column("text"), 4 << 20):
+            for start, texts in slices(batch.column("text"), SLICE_BYTES):
                 cols = _sign([t or "" for t in texts], words)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, len(texts)), *cols], names=[x.split()[0] for x in _SIGNED.split(", ")])
 
@@ -275,7 +277,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, texts in slices(batch.column("text"), 4 << 20):
+            for start, texts in slices(batch.column("text"), SLICE_BYTES):
                 elements, sizes = shingles([t or "" for t in texts], words)
                 ends = np.concatenate([[0], np.cumsum(sizes)]).tolist()
                 items = [elements[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)]

@@ -115,7 +115,7 @@ class Measurer:
         self.counts = np.zeros(1 << 12, np.int64)
 
     def _byte_bpe_counts(self, words: list[str]) -> np.ndarray:
-        if len(self.known) > 1_000_000:
+        if len(self.known) > 300_000:
             self.known.clear()
         known = self.known
         for w in words:

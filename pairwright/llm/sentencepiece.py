@@ -338,7 +338,7 @@ class Encoder:
 
     def lookup(self, words: list[str]) -> np.ndarray:
         """The cache slot of each word."""
-        if len(self._cache) > 1_000_000 or self._used > 16_000_000:
+        if len(self._cache) > 400_000 or self._used > 8_000_000:
             self._cache.clear()
             self._used = 0
         get = self._cache.get
@@ -403,7 +403,7 @@ def encoder(model: bytes) -> Encoder:
     return _BUILT[key]
 
 
-def slices(texts: pa.Array, budget: int = 8 << 20) -> Iterator[tuple[int, list[str | None]]]:
+def slices(texts: pa.Array, budget: int = 2 << 20) -> Iterator[tuple[int, list[str | None]]]:
     """Runs of texts of about ``budget`` bytes: (first row, texts)."""
     start, some, held = 0, [], 0
     for i, t in enumerate(texts):
