@@ -109,31 +109,56 @@ def numpy_bootstrap(pairs: DataFrame, group: str, unit: str, n_draws: int, seed:
     return pairs.select(group, unit, "x", "y").groupBy(group).applyInPandas(one, f"{group} {kind}, n long, delta double, ci_low double, ci_high double")
 
 
+def _sums(codes: np.ndarray, n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Per unit: rows, and sums of x, y, their squares and their product."""
+    return np.stack([np.bincount(codes, w, n) for w in (None, x, y, x * x, y * y, x * y)], 1)
+
+
+def _r(sums: np.ndarray) -> np.ndarray:
+    """Correlations from sums; NaN where a side is constant."""
+    n, a, b, aa, bb, ab = sums.T
+    va, vb = aa - a * a / n, bb - b * b / n
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.where((va > 1e-12) & (vb > 1e-12), (ab - a * b / n) / np.sqrt(va * vb), np.nan)
+
+
+def _interval(got: np.ndarray, n_draws: int, least_valid: float) -> tuple[int, float, float]:
+    ok = got[~np.isnan(got)]
+    low, high = np.percentile(ok, [2.5, 97.5]) if len(ok) and len(ok) >= least_valid * n_draws else (np.nan, np.nan)
+    return len(ok), low, high
+
+
 def correlation_bootstrap(rows: DataFrame, group: str, unit: str, x: str, y: str, n_draws: int, seed: int, least_valid: float = 0.8) -> DataFrame:
     """Pearson r per group with a cluster bootstrap over units; the interval is null when too few draws are valid."""
 
     def one(own: pd.DataFrame) -> pd.DataFrame:
         codes, units = pd.factorize(own[unit], sort=True)
-        cols = [own[c].to_numpy(float) for c in (x, y)]
-        sums = np.stack([np.bincount(codes, w, len(units)) for w in (None, cols[0], cols[1], cols[0] ** 2, cols[1] ** 2, cols[0] * cols[1])], 1)
-        rng = np.random.default_rng(seed)
-
-        def r(s: np.ndarray) -> np.ndarray:
-            n, a, b, aa, bb, ab = s.T
-            va, vb = aa - a * a / n, bb - b * b / n
-            with np.errstate(invalid="ignore", divide="ignore"):
-                return np.where((va > 1e-12) & (vb > 1e-12), (ab - a * b / n) / np.sqrt(va * vb), np.nan)
-
-        got = r(sums[rng.integers(0, len(units), (n_draws, len(units)))].sum(1))
-        ok = got[~np.isnan(got)]
-        enough = len(ok) >= least_valid * n_draws
-        low, high = np.percentile(ok, [2.5, 97.5]) if enough else (np.nan, np.nan)
-        return pd.DataFrame({group: [own[group].iloc[0]], "estimate": r(sums.sum(0, keepdims=True)), "n_valid": [len(ok)], "ci_low": [low], "ci_high": [high]})
+        sums = _sums(codes, len(units), *[own[c].to_numpy(float) for c in (x, y)])
+        got = _r(sums[np.random.default_rng(seed).integers(0, len(units), (n_draws, len(units)))].sum(1))
+        n, low, high = _interval(got, n_draws, least_valid)
+        return pd.DataFrame({group: [own[group].iloc[0]], "estimate": _r(sums.sum(0, keepdims=True)), "n_valid": [n], "ci_low": [low], "ci_high": [high]})
 
     kind = rows.schema[group].dataType.simpleString()
     return rows.select(group, unit, x, y).groupBy(group).applyInPandas(one, f"{group} {kind}, estimate double, n_valid long, ci_low double, ci_high double")
 
 
+def correlation_difference(rows: DataFrame, group: str, unit: str, first: str, second: str, y: str, n_draws: int, seed: int, least_valid: float = 0.8) -> DataFrame:
+    """r(second, y) - r(first, y) per group with a bootstrap over units that draws the same units for both."""
+
+    def one(own: pd.DataFrame) -> pd.DataFrame:
+        codes, units = pd.factorize(own[unit], sort=True)
+        a, b = (_sums(codes, len(units), own[c].to_numpy(float), own[y].to_numpy(float)) for c in (first, second))
+        pick = np.random.default_rng(seed).integers(0, len(units), (n_draws, len(units)))
+        got = _r(b[pick].sum(1)) - _r(a[pick].sum(1))
+        n, low, high = _interval(got, n_draws, least_valid)
+        point = _r(b.sum(0, keepdims=True)) - _r(a.sum(0, keepdims=True))
+        p = difference_p(got[~np.isnan(got)]) if n else np.nan
+        return pd.DataFrame({group: [own[group].iloc[0]], "difference": point, "n_valid": [n], "ci_low": [low], "ci_high": [high], "p": [p]})
+
+    kind = rows.schema[group].dataType.simpleString()
+    return rows.select(group, unit, first, second, y).groupBy(group).applyInPandas(one, f"{group} {kind}, difference double, n_valid long, ci_low double, ci_high double, p double")
+
+
 def difference_p(draw_differences: np.ndarray) -> float:
     """Two-sided bootstrap p of a difference, smoothed by one."""
     n = len(draw_differences)

@@ -47,6 +47,16 @@ def read_rows(spark: SparkSession, path: str, schema: StructType | str) -> DataF
     return read_jsonl(spark, path, schema, missing_ok=False)
 
 
+def read_env(text: str, known: dict[str, str] | None = None, override: bool = False) -> dict[str, str]:
+    """KEY=VALUE lines: comments are skipped, quotes trimmed; what is known stays unless it is to be overridden."""
+    out = dict(known or {})
+    for line in text.splitlines():
+        name, eq, value = (x.strip() for x in line.partition("="))
+        if eq and name and not name.startswith("#") and (override or name not in out):
+            out[name] = value.strip("\"'")
+    return out
+
+
 def read_config(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", True).json(path)
 

@@ -254,6 +254,8 @@ def test_files(spark, tmp_path):
     assert files.read_rows(spark, a, "k int, t string").count() == 1
     files.write_all_or_none({a: one.unionByName(one), b: one}, {a: ["t", "k"]})
     assert files.read_rows(spark, a, "t string, k int").count() == 2
+    assert files.read_env("# c\nA = 'x'\nB=1\nbad\n", {"B": "0"}) == {"A": "x", "B": "0"}
+    assert files.read_env("B=1", {"B": "0"}, override=True) == {"B": "1"}
     with pytest.raises(ValueError, match="one destination"):
         files.write_all_or_none({a: one, a + "/": one})
 
@@ -271,6 +273,9 @@ def test_resampling(spark):
     assert h["n_valid"] == 100 and h["ci_low"] < h["mean"] < h["ci_high"]
     flat = resample.correlation_bootstrap(df, "g", "u", "x", "y", 50, 7).first()
     assert (flat["n_valid"], flat["ci_low"]) == (0, None)
+    both = df.withColumns({"a": F.col("u") * 1.0, "b": -F.col("u") * 1.0, "z": F.col("u") + F.col("y")})
+    gap = resample.correlation_difference(both, "g", "u", "b", "a", "z", 200, 7).first()
+    assert gap["difference"] > 1.9 and gap["ci_low"] > 1.8 and math.isclose(gap["p"], 2 / 201)
     assert resample.analysis_seed(1, "a") != resample.analysis_seed(1, "b")
     assert resample.difference_p(np.array([1.0, 2, 3])) == 0.5
 
