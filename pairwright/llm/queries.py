@@ -124,5 +124,15 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN hit USING (rid) LEFT JOIN its USING (rid)"""
 
 
+OP10 = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT rid, doc_id, p, array_to_string(ws[p : p + 19], ' ') AS g FROM d, unnest(range(1, len(ws) - 18)) t(p)),
+later AS (SELECT rid, p FROM (SELECT rid, p, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, p) AS k FROM w) WHERE k > 1),
+gone AS (SELECT DISTINCT rid, p + k AS i FROM later, range(20) r(k)),
+each AS (SELECT rid, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM d),
+kept AS (SELECT each.rid, string_agg(word, ' ' ORDER BY each.i) AS t, count(*) AS n FROM each ANTI JOIN gone ON each.rid = gone.rid AND each.i = gone.i GROUP BY each.rid)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (rid)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_reassembly": OP1, "op3_prefix_targets": OP3, "op5_line_windows": OP5, "op7_suffix_array_decontamination": OP7}
+    return {"op1_warc_reassembly": OP1, "op3_prefix_targets": OP3, "op5_line_windows": OP5, "op7_suffix_array_decontamination": OP7, "op10_recompression": OP10}
