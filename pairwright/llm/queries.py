@@ -134,5 +134,17 @@ kept AS (SELECT each.rid, string_agg(word, ' ' ORDER BY each.i) AS t, count(*) A
 SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (rid)"""
 
 
+OP9 = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOW.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) < 2 THEN ws ELSE list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) END AS sh FROM d),
+e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY 1, 2),
+l AS (SELECT a, b FROM p WHERE 100 * c >= 80 * (na + nb - c)),
+u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(id, root) AS (SELECT DISTINCT a, a FROM u UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.id WHERE r.root < u.b),
+m AS (SELECT id, min(root) AS root FROM r GROUP BY id)
+SELECT doc_id, len(sh)::BIGINT AS n_shingles, coalesce(root, doc_id) AS component_id, coalesce(root, doc_id) = doc_id AS kept FROM s LEFT JOIN m ON id = doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_reassembly": OP1, "op3_prefix_targets": OP3, "op5_line_windows": OP5, "op7_suffix_array_decontamination": OP7, "op10_recompression": OP10}
+    return {"op1_warc_reassembly": OP1, "op3_prefix_targets": OP3, "op5_line_windows": OP5, "op7_suffix_array_decontamination": OP7, "op9_lsh_forest": OP9, "op10_recompression": OP10}
