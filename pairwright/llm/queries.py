@@ -80,6 +80,13 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN page_id IS NOT DISTINCT FROM holder THEN NULL ELSE holder END AS refers_to
 FROM y"""
 
+# What a reader takes from the tables' pages, whose articles are marked: the truth that the trained field must meet.
+OP2 = r"""
+WITH x AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(</article>|$)', 1) AS t FROM pages),
+y AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(t, '<[^>]*$', ''), '</?b>', '', 'g'), '<[^>]*>', ' ', 'g') AS t FROM x),
+z AS (SELECT page_id, url, trim(regexp_replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM y)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM z"""
+
 OP3 = r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -147,4 +154,4 @@ SELECT doc_id, len(sh)::BIGINT AS n_shingles, coalesce(root, doc_id) AS componen
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_reassembly": OP1, "op3_prefix_targets": OP3, "op5_line_windows": OP5, "op7_suffix_array_decontamination": OP7, "op9_lsh_forest": OP9, "op10_recompression": OP10}
+    return {"op1_warc_reassembly": OP1, "op2_crf_extraction": OP2, "op3_prefix_targets": OP3, "op5_line_windows": OP5, "op7_suffix_array_decontamination": OP7, "op9_lsh_forest": OP9, "op10_recompression": OP10}
