@@ -41,6 +41,8 @@ INLINE = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("script style noscript template iframe svg math title textarea select button object canvas audio video head".split())
+#: Tags that say what a box is for: the last two of them above a block are a feature together.
+TELLING = frozenset("article aside footer form header main nav section".split())
 #: Of these, those that run to the page's end if they aren't closed.
 RAW = frozenset("script style title textarea".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"td", "th", "tr"}, "td": {"td", "th"}, "th": {"td", "th"}}
@@ -69,7 +71,7 @@ def _attribute_words(attributes: str) -> tuple[str, ...]:
 class Node:
     """A chain of block-level ancestors: the tag and words of the last, and the features of all."""
 
-    __slots__ = ("tag", "above", "nearest", "children", "score")
+    __slots__ = ("tag", "above", "nearest", "chain", "children", "score")
 
     def __init__(self, tag: str, words: tuple[str, ...], parent: Node | None) -> None:
         self.tag = tag
@@ -77,11 +79,13 @@ class Node:
         above = parent.above if parent else frozenset()
         self.above = above if own <= above else above | own
         self.nearest = (f"in:{tag}", *(f"near:{w}" for w in words)) if words or tag not in ("div", "p", "li", "ul", "ol", "tr", "td", "table", "tbody", "h1", "h2", "h3", "h4") or not parent else parent.nearest
+        chain = parent.chain if parent else ("", "")
+        self.chain = (chain[1], tag) if tag in TELLING else chain
         self.children: dict[tuple[str, str], Node] = {}
         self.score: float | None = None
 
     def features(self) -> list[str]:
-        return [f"own:{self.tag}", *self.nearest, *self.above]
+        return [f"own:{self.tag}", f"chain:{self.chain[0]}>{self.chain[1]}", *self.nearest, *self.above]
 
 
 class Trees:
@@ -360,8 +364,8 @@ _NAMES = {
     "main": "content main article post entry story body text page-content post-content entry-content article-body articleBody storyText main-content blog-post single hentry prose td-post-content rich-text",
     "nav": "nav menu navigation navbar main-menu topnav site-nav breadcrumb breadcrumbs pagination pager tabs submenu",
     "header": "header masthead top site-header page-header topbar branding logo banner",
-    "footer": "footer site-footer bottom colophon copyright legal page-footer foot",
-    "side": "sidebar side aside widget widget-area rail right-column left-col secondary related recommended more-stories popular trending read-more teaser",
+    "footer": "contentinfo footer site-footer bottom colophon copyright legal page-footer foot",
+    "side": "complementary sidebar side aside widget widget-area rail right-column left-col secondary related recommended more-stories popular trending read-more teaser",
     "notice": "notice cookie cookie-banner cookie-notice consent gdpr alert message warning overlay popup modal disclaimer privacy-notice notification paywall",
     "ad": "ad ads advert advertisement ad-slot banner-ad sponsored sponsor promo promotion google-ad adsense commercial",
     "form": "form search search-form newsletter subscribe signup login contact-form newsletter-signup",
@@ -413,10 +417,10 @@ class _Writer:
         name = self.r.choice(_NAMES[kind])
         if self.r.random() < 0.2:
             name += self.r.choice(["-wrapper", "-inner", "-box", " clearfix", " col-md-8", "_1"])
-        return f' {self.r.choice(["class", "class", "id"])}="{name}"'
+        return f' {self.r.choice(["class", "class", "id", "role"])}="{name}"'
 
     def box(self, kind: str, inner: str, tag: str | None = None, force: bool = False) -> str:
-        own = {"nav": "nav", "header": "header", "footer": "footer", "side": "aside", "form": "form", "main": "article", "comment": "section", "ad": "aside", "notice": "div", "share": "div"}[kind]
+        own = {"nav": "nav", "header": "header", "footer": "footer", "side": self.r.choice(["aside", "aside", "section", "div"]), "form": "form", "main": "article", "comment": self.r.choice(["section", "div"]), "ad": "aside", "notice": "div", "share": "div"}[kind]
         if tag is None:
             tag = own if self.semantic or kind == "form" and self.r.random() < 0.7 else self.r.choice(["div", "div", "section"])
         plain = tag in ("nav", "footer", "header", "aside", "form", "article")
@@ -458,12 +462,18 @@ class _Writer:
 
     def insert(self) -> str:
         """A box that stands among the article's paragraphs."""
-        kind = self.r.choice(["ad", "ad", "share", "side", "form", "notice"])
+        r = self.r
+        kind = r.choice(["ad", "ad", "share", "side", "side", "form", "notice"])
+        say = self.phrase(kind) if r.random() < 0.4 else self.say(r.randrange(3, 25), REST)
+        if kind in ("ad", "notice") and r.random() < 0.4:
+            return self.box(kind, say, tag="p", force=True)
         if kind in ("ad", "notice"):
-            return self.box(kind, self.r.choice(["", "<p>"]) + (self.phrase(kind) if self.r.random() < 0.4 else self.say(self.r.randrange(3, 25), REST)), force=True)
+            return self.box(kind, r.choice(["", "<p>"]) + say, force=True)
         if kind == "form":
-            return self.box(kind, f"<p>{self.phrase(kind)}</p><label>{self.phrase(kind)}</label><input name=q>", tag="form")
-        return self.box(kind, f"<h4>{self.phrase(kind)}</h4>" + self.links(kind, self.r.randrange(1, 5)), force=True)
+            return self.box(kind, f"<p>{say}</p><label>{self.phrase(kind)}</label><input name=q>", tag=r.choice(["form", "div"]), force=True)
+        inner = self.links(kind, r.randrange(1, 5)) if kind == "share" or r.random() < 0.6 else f"<p>{say}</p>"
+        head = f"<h4>{self.phrase(kind)}</h4>" if r.random() < 0.7 else ""
+        return self.box(kind, head + inner, force=True)
 
     def comments(self) -> str:
         one = lambda: f"<{t}{self.attr('comment') if self.r.random() < 0.5 else ''}><p>{self.say(self.r.randrange(1, 45), REST)}</p></{t}>"
@@ -477,13 +487,20 @@ class _Writer:
         body = self.prose(r.choice([1, 2, 3, 5, 9, 14, 22]), MAIN)
         if r.random() < 0.85:
             body.insert(0, f"<h1>{self.say(r.randrange(3, 12), MAIN, 0.3)}</h1>")
-        for _ in range(r.choice([0, 0, 0, 1, 2])):
+        if self.semantic and r.random() < 0.25:
+            body[0] = f"<header>{body[0]}</header>"
+        for _ in range(r.choice([0, 0, 1, 1, 2, 3])):
             body.insert(r.randrange(1, len(body) + 1), self.insert())
+        if r.random() < 0.2:
+            k = r.randrange(1, len(body) + 1)
+            body = [f"<section>{''.join(body[:k])}</section>", *([f"<section>{''.join(body[k:])}</section>"] if body[k:] else [])]
         comments = self.comments() if r.random() < 0.3 else ""
         inside = r.random() < 0.4
         text = "".join(body) + (comments if inside else "")
         if r.random() < 0.1 and not self.semantic:
             main = f"<table><tr><td>{self.links('nav', 5)}</td><td>{text}</td></tr></table>"
+        elif r.random() < 0.15 and not self.semantic:
+            main = text
         else:
             main = self.box("main", text, tag=r.choice(["main", "article", "article"]) if self.semantic else "div", force=r.random() < 0.5)
         sides = [self.box("side", "".join(self.box("side", f"<h3>{self.phrase('side')}</h3>" + (self.links("side", r.randrange(2, 7)) if r.random() < 0.6 else f"<p>{self.say(r.randrange(4, 40), REST)}</p>"), tag="div") for _ in range(r.randrange(1, 3)))) for _ in range(r.choice([0, 0, 1, 1, 2]))]
@@ -507,7 +524,10 @@ class _Writer:
         foot = f"<p>{foot}</p>" if r.random() < 0.4 else foot
         if r.random() < 0.3:
             foot += self.links("footer", r.randrange(2, 6))
-        bottom += self.box("footer", foot, force=not self.semantic and r.random() < 0.7) if r.random() < 0.9 else ""
+        if r.random() < 0.2:
+            bottom += f"{r.choice(['<hr>', ''])}<p>{REST}{r.choice(['Copyright', '©', '&copy;'])} {r.randrange(1995, 2030)} {self.phrase('footer')}</p>"
+        else:
+            bottom += self.box("footer", foot, force=not self.semantic and r.random() < 0.7) if r.random() < 0.9 else ""
         page = (notice + top + middle + bottom) if r.random() < 0.5 else (top + middle + notice + bottom)
         return f"<!DOCTYPE html><html><head><title>x</title></head><body>{page}</body></html>"
 
@@ -526,7 +546,7 @@ def labelled_blocks(page: str, trees: Trees) -> tuple[list[tuple[str, Node, int]
 
 
 @lru_cache(4)
-def default_field(n_pages: int = 500, seed: int = 5) -> Field:
+def default_field(n_pages: int = 1200, seed: int = 5) -> Field:
     trees = Trees(1 << 40)
     both = [labelled_blocks(p, trees) for p in labelled_pages(n_pages, seed)]
     return train([b for b, _ in both], [y for _, y in both])
@@ -535,7 +555,7 @@ def default_field(n_pages: int = 500, seed: int = 5) -> Field:
 # -- the operator ----------------------------------------------------------------------------
 
 
-def extract(pages: DataFrame, field: Field | None = None, n_pages: int = 500) -> DataFrame:
+def extract(pages: DataFrame, field: Field | None = None, n_pages: int = 1200) -> DataFrame:
     """``pages``, all columns, with __text (main text) and __n_blocks (leaf blocks of the page)."""
     sent = pages.sparkSession.sparkContext.broadcast(field or default_field(n_pages))
     out = pages.withColumns({"__text": F.lit("").cast("string"), "__n_blocks": F.lit(0).cast("long")})
