@@ -55,7 +55,10 @@ def statistics(pairs: DataFrame, keys: list[str], hypothesis: str, reference: st
     """keys, and for each order ``m_``, ``h_``, ``r_``: clipped matches and n-grams of both sides. Keys must be unique."""
     needed = sorted({u for u, _ in orders.values()})
     # A projection of its own below the explode: texts are cut into units once, whatever the number of orders.
-    own = pairs.select(*keys, *[_UNITS[u](text(F.col(c))).alias(f"__{side}_{u}") for side, c in (("h", hypothesis), ("r", reference)) for u in needed])
+    # Dealt by key first: texts are shuffled once, and their many n-grams are counted and summed where they are.
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = pairs.select(*keys, hypothesis, reference).repartition(parts, *keys)
+    own = own.select(*keys, *[_UNITS[u](text(F.col(c))).alias(f"__{side}_{u}") for side, c in (("h", hypothesis), ("r", reference)) for u in needed])
     sides = [F.struct(F.lit(side).alias("side"), F.lit(name).alias("name"), _grams(F.col(f"__{side}_{unit}"), n).alias("grams")) for side in ("h", "r") for name, (unit, n) in orders.items()]
     rows = own.select(*keys, F.explode(F.array(*sides)).alias("x")).select(*keys, "x.side", "x.name", F.explode("x.grams").alias("gram"))
     one = lambda s: F.count(F.when(F.col("side") == s, 1))
