@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -62,33 +63,55 @@ def ratings(rows: DataFrame, keys: list[str], dim: str, score: str, dims: list[s
     )
 
 
-# Columns that a released table must not have.
-FORBIDDEN = ["record_id", "poem_id", "eval_id", "hypothesis", "output_text", "reference_en", "source_zh", "raw_response", "reasoning_content", "input_sha256", "artifact_path"]
+# Fixed values of the release audit: columns and file names that aren't released, and what gives a cell away.
+FORBIDDEN_COLUMNS = ["record_id", "candidate_id", "source_zh", "reference_en", "translation", "hypothesis", "reasoning_content", "raw_response", "input_sha256"]
+FORBIDDEN_COLUMN = r"(?i)(?:^|_)(?:sha\d*|hash|path|url|endpoint|mapping)(?:$|_)"
+FORBIDDEN_FILE = r"(?i)(?:summary|resources?|manifest|raw|mapping|hash|scores?)"
+PRIVATE_PLACE = r"^https?://|(?:^|\s)(?:[A-Za-z]:[\\/]|/home/|/Users/|/mnt/)"
+DIGEST = r"(?i)^[0-9a-f]{40,128}$"
+PROBABILITY = r"(?i)(?:^p(?:_|$)|_p(?:_|$)|probability$|fraction$|^(?:alpha|power)$)"
+NOT_FINITE = r"(?i)^[+-]?(?:nan|inf|infinity)$"
 
 
-def release_audit(table: DataFrame) -> DataFrame:
-    """Violations of a table to be released: bad names, numbers, probabilities, interval bounds, and telling texts.
+def release_audit(table: DataFrame, marks: list[str] | None = None) -> DataFrame:
+    """Violations of a table to be released: bad names, numbers, probabilities, reversed intervals, telling cells, no rows.
 
-    Every cell becomes a (column, value) row once; nothing is read twice.
+    ``marks``: words, in any case, that no cell may hold. Every cell becomes a (column, value) row once.
     """
     names = table.columns
-    cells = table.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in names])).alias("x")).select("x.*")
+    cells = table.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.trim(F.col(f"`{c}`").cast("string")).alias("value")) for c in names])).alias("x")).select("x.*")
     cells = cells.where("value is not null and value <> ''")
-    number, value, name = F.col("value").try_cast("double"), F.col("value"), F.col("column")
-    p = name.rlike(r"(^|_)(p|prob|p_value|p_holm|p_perm)($|_)") | name.startswith("p_")
+    number, value = F.col("value").try_cast("double"), F.col("value")
+    held = F.lit(False)
+    for m in marks or []:
+        held = held | F.contains(F.lower(value), F.lit(m.lower()))
     checks = {
-        "not_finite": ~F.coalesce(F.isnan(number) | (F.abs(number) == float("inf")), F.lit(False)),
-        "probability": F.when(p & number.isNotNull() & ~F.isnan(number), number.between(0, 1)).otherwise(True),
-        "address": ~value.rlike(r"https?://|^(/|[A-Za-z]:\\)[^ ]*"),
-        "digest": ~value.rlike(r"\b[0-9a-f]{32,64}\b"),
+        "not_finite": ~value.rlike(NOT_FINITE),
+        "probability": ~F.col("column").rlike(PROBABILITY) | F.coalesce(number.between(0, 1), F.lit(False)) | value.rlike(NOT_FINITE),
+        "private_place": ~value.rlike(PRIVATE_PLACE),
+        "digest": ~value.rlike(DIGEST),
+        "mark": ~held,
     }
     out = row_checks(cells, checks)
-    session = table.sparkSession
-    fixed = [("forbidden_column", sum(c.lower() in FORBIDDEN for c in names)), ("duplicate_column", len(names) - len({c.lower() for c in names}))]
-    out = out.unionByName(session.createDataFrame(fixed, "check string, n long"))
-    for low in [c for c in names if c.endswith("_low")]:
-        high = low[: -len("_low")] + "_high"
-        if high in names:
-            a, b = F.col(low).try_cast("double"), F.col(high).try_cast("double")
-            out = out.unionByName(table.agg(F.count(F.when(a > b, 1)).alias("n")).select(F.lit("interval").alias("check"), "n"))
-    return out.groupBy("check").agg(F.sum("n").alias("n"))
+    low = [c.strip().lower() for c in names]
+    fixed = [
+        ("forbidden_column", sum(c in FORBIDDEN_COLUMNS or bool(re.search(FORBIDDEN_COLUMN, c)) for c in low)),
+        ("duplicate_column", len(names) - len(set(names))),
+        ("blank_in_name", sum(c != c.strip() for c in names)),
+    ]
+    out = out.unionByName(table.sparkSession.createDataFrame(fixed, "check string, n long"))
+    bounds = [(a, a.removesuffix(x) + y) for a in names for x, y in (("_low", "_high"), ("_lo", "_hi")) if a.endswith(x) and a.removesuffix(x) + y in names]
+    reversed_ = [F.count(F.when(F.col(f"`{a}`").try_cast("double") > F.col(f"`{b}`").try_cast("double"), 1)) for a, b in bounds]
+    whole = table.agg(sum(reversed_, F.lit(0)).cast("long").alias("interval"), (F.count(F.lit(1)) == 0).cast("long").alias("empty"))
+    each = F.array(*[F.struct(F.lit(k).alias("check"), F.col(k).alias("n")) for k in ("interval", "empty")])
+    return out.unionByName(whole.select(F.explode(each).alias("x")).select("x.*"))
+
+
+def release_files(names: list[str], expected: set[str]) -> dict[str, list[str]]:
+    """File names that are missing, unexpected, not CSV, or tell of what isn't released."""
+    return {
+        "missing": sorted(expected - set(names)),
+        "unexpected": sorted(set(names) - expected),
+        "not_csv": sorted(n for n in names if not n.lower().endswith(".csv")),
+        "forbidden": sorted(n for n in names if re.search(FORBIDDEN_FILE, n)),
+    }

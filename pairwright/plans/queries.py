@@ -366,15 +366,17 @@ def q_panel_gate(spark, d):
     return gates.union(gates.ratings(r, ["item", "rater"], "dim", "s", DIMS[:5], 1, 6), own, gates.key_sets(p.where("user_id % 2 = 1"), p, ["user_id"]))
 
 
-@query(f"""WITH {PANEL}, n AS (SELECT count(*) FILTER (user_id % 3 = 0) AS p, count(*) FILTER (user_id % 4 = 0) AS iv, count(*) FILTER (user_id % 5 = 0) AS nan, count(*) FILTER (user_id % 6 = 0) AS url, count(*) AS m FROM panel)
-SELECT 'not_finite' AS "check", nan AS n FROM n UNION ALL SELECT 'probability', p FROM n UNION ALL SELECT 'address', url FROM n UNION ALL SELECT 'digest', url FROM n UNION ALL SELECT 'forbidden_column', 1 FROM n UNION ALL SELECT 'duplicate_column', 0 FROM n UNION ALL SELECT 'interval', iv FROM n""")
+@query(f"""WITH {PANEL}, n AS (SELECT count(*) FILTER (user_id % 3 = 0) AS p, count(*) FILTER (user_id % 4 = 0) AS iv, count(*) FILTER (user_id % 5 = 0) AS nan, count(*) FILTER (user_id % 6 = 0) AS url, count(*) FILTER (user_id % 6 = 1) AS hex, count(*) FILTER (user_id % 6 = 2) AS mark FROM panel)
+SELECT 'not_finite' AS "check", nan AS n FROM n UNION ALL SELECT 'probability', p FROM n UNION ALL SELECT 'private_place', url FROM n UNION ALL SELECT 'digest', hex FROM n UNION ALL SELECT 'mark', mark FROM n UNION ALL SELECT 'forbidden_column', 2 FROM n
+UNION ALL SELECT 'duplicate_column', 0 FROM n UNION ALL SELECT 'blank_in_name', 1 FROM n UNION ALL SELECT 'interval', iv FROM n UNION ALL SELECT 'empty', 0 FROM n""")
 def q_release_audit(spark, d):
     u = F.col("user_id")
     table = i.panel(spark, d).select(
-        F.col("event_type").alias("analysis"), F.when(u % 5 == 0, F.lit("nan").cast("double")).otherwise(1.5).alias("effect"), F.when(u % 3 == 0, 1.1).otherwise(0.5).alias("p_holm"),
-        F.when(u % 4 == 0, 2.0).otherwise(0.0).alias("ci_low"), F.lit(1.0).alias("ci_high"), F.when(u % 6 == 0, "see https://x.example/" + "0" * 40).otherwise("fine").alias("note"), u.alias("record_id"),
+        F.col("event_type").alias("analysis"), F.when(u % 5 == 0, F.lit("nan").cast("double")).otherwise(1.5).alias("effect "), F.when(u % 3 == 0, 1.1).otherwise(0.5).alias("p_holm"),
+        F.when(u % 4 == 0, 2.0).otherwise(0.0).alias("ci_low"), F.lit(1.0).alias("ci_high"), u.alias("record_id"), u.alias("input_hash"),
+        F.when(u % 6 == 0, "https://x.example/").when(u % 6 == 1, "0a" * 20).when(u % 6 == 2, "made by a Robot").otherwise("fine").alias("note"),
     )
-    return gates.release_audit(table)
+    return gates.release_audit(table, ["robot"])
 
 
 # -- order and samples -----------------------------------------------------------------------

@@ -194,8 +194,12 @@ def test_gates(spark):
     with pytest.raises(gates.GateError, match="finite: 3"):
         gates.enforce(found)
     gates.enforce(gates.duplicates(df.where("k > 1"), ["k"]))
-    bad = spark.createDataFrame([("nan", 1.1, 2.0, 1.0, "/a/b", "x")], "effect string, p_holm double, ci_low double, ci_high double, note string, hypothesis string")
-    assert {r["check"]: r["n"] for r in gates.release_audit(bad).collect()} == {"not_finite": 1, "probability": 1, "address": 1, "digest": 0, "forbidden_column": 1, "duplicate_column": 0, "interval": 1}
+    bad = spark.createDataFrame([("nan", 1.1, 2.0, 1.0, "in /home/b", "x")], "effect string, p_holm double, ci_lo double, ci_hi double, note string, hypothesis string")
+    found = {r["check"]: r["n"] for r in gates.release_audit(bad).collect() if r["n"]}
+    assert found == {"not_finite": 1, "probability": 1, "private_place": 1, "forbidden_column": 1, "interval": 1}
+    assert {r["check"]: r["n"] for r in gates.release_audit(bad.limit(0).drop("hypothesis")).collect() if r["n"]} == {"empty": 1}
+    files_ = gates.release_files(["a.csv", "raw.csv", "b.txt"], {"a.csv", "c.csv"})
+    assert files_ == {"missing": ["c.csv"], "unexpected": ["b.txt", "raw.csv"], "not_csv": ["b.txt"], "forbidden": ["raw.csv"]}
 
 
 def test_judge_answers(spark):
