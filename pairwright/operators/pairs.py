@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,20 +103,53 @@ def pearson(x: Column, y: Column) -> Column:
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
+def inversions(ranks: np.ndarray, weight: np.ndarray) -> int:
+    """Weight of the pairs in which a greater rank stands before a lesser one; bit by bit, without the pairs."""
+    total, ranks, weight = 0, ranks.astype(np.int64), weight.astype(np.int64)
+    for bit in range(int(ranks.max(initial=0)).bit_length() - 1, -1, -1):
+        order = np.argsort(ranks >> (bit + 1), kind="stable")  # equal higher bits together, each in their order
+        ranks, weight = ranks[order], weight[order]
+        one = (ranks >> bit) & 1
+        before = np.cumsum(one * weight) - one * weight
+        high = ranks >> (bit + 1)
+        first = np.flatnonzero(np.concatenate([[True], high[1:] != high[:-1]]))
+        before -= np.repeat(before[first], np.diff(np.append(first, len(high))))
+        total += int((before * weight)[one == 0].sum())
+    return total
+
+
+def tau_b(x: np.ndarray, y: np.ndarray, c: np.ndarray) -> float:
+    """Kendall's tau-b of the distinct values (x, y), each of which occurs c times; NaN where a side is constant."""
+    if np.isnan(x).any() or np.isnan(y).any():
+        return np.nan
+    rx, ry = (np.unique(v, return_inverse=True)[1] for v in (x, y))
+    order = np.lexsort((ry, rx))  # ties in x rise in y and so count as no inversion
+    tied = lambda n: sum(k * (k - 1) // 2 for k in n.tolist())
+    sums = lambda r: np.bincount(r, c).round().astype(np.int64)
+    n = int(c.sum())
+    whole, tx, ty = n * (n - 1) // 2, tied(sums(rx)), tied(sums(ry))
+    nx, ny = whole - tx, whole - ty
+    s = whole - tx - ty + tied(c) - 2 * inversions(ry[order], c[order])
+    return s / np.sqrt(float(nx) * float(ny)) if nx and ny else np.nan
+
+
 def correlations(rows: DataFrame, by: list[str], x: str, y: str, key: str) -> DataFrame:
     """Pearson, Spearman and Kendall's tau-b of each group.
 
-    tau-b compares the rows of a group in pairs: groups of panel size (hundreds of items).
+    tau-b counts the distinct (x, y) of a group and then their inversions: n log n, a group's distinct values in one task.
     """
     own = rows.select(*by, F.col(key).alias("__key"), F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"))
     ranked = average_ranks(average_ranks(own, by, "__x").withColumnRenamed("avg_rank", "rx"), by, "__y").withColumnRenamed("avg_rank", "ry")
     plain = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), pearson(F.col("__x"), F.col("__y")).alias("pearson"), pearson(F.col("rx"), F.col("ry")).alias("spearman"))
-    a, b = (own.select(*by, *[F.col(c).alias(f"{c}{k}") for c in ("__key", "__x", "__y")]) for k in (1, 2))
-    two = a.join(b, by).where("__key1 < __key2")
-    sx, sy = F.signum(F.col("__x1") - F.col("__x2")), F.signum(F.col("__y1") - F.col("__y2"))
-    tau = two.groupBy(*by).agg(F.sum(sx * sy).alias("s"), F.sum(sx * sx).alias("nx"), F.sum(sy * sy).alias("ny"))
-    tau = tau.select(*by, F.when((F.col("nx") > 0) & (F.col("ny") > 0), F.col("s") / F.sqrt(F.col("nx") * F.col("ny"))).alias("kendall"))
-    return plain.join(tau, by, "left")
+    cells = own.where("__key is not null and __x is not null and __y is not null").groupBy(*by, "__x", "__y").agg(F.count(F.lit(1)).alias("__c"))
+
+    def one(c: pd.DataFrame) -> pd.DataFrame:
+        got = tau_b(c["__x"].to_numpy(float), c["__y"].to_numpy(float), c["__c"].to_numpy(np.int64))
+        return c[by].head(1).assign(constant=c["__x"].nunique(dropna=False) < 2 or c["__y"].nunique(dropna=False) < 2, kendall=got)
+
+    kinds = ", ".join(f"`{b}` {rows.schema[b].dataType.simpleString()}" for b in by)
+    tau = cells.groupBy(*by).applyInPandas(one, f"{kinds}, constant boolean, kendall double")
+    return plain.join(tau.select(*by, F.when(~F.col("constant"), F.col("kendall")).alias("kendall")), by, "left")
 
 
 def contrast(scores: DataFrame, unit: str, system: str, a: str, b: str, family: list[str]) -> DataFrame:

@@ -519,6 +519,15 @@ def i_correlations(spark, d):
     return rounded(pairs.correlations(p, ["event_type"], "x", "y", "user_id"))
 
 
+_KENDALL_PANEL = _KENDALL.replace(" WHERE user_id < 60", "")
+
+
+@query(f"WITH {_KENDALL_PANEL} SELECT event_type, count(*) AS n, round(corr(x, y), 8) AS pearson, round(corr(rx::DOUBLE, ry::DOUBLE), 8) AS spearman, round(any_value(s / sqrt(nx::DOUBLE * ny)), 8) AS kendall FROM rk JOIN tau USING (event_type) GROUP BY event_type")
+def i_correlations_panel(spark, d):
+    p = i.panel(spark, d).select("user_id", "event_type", F.floor("a").alias("x"), F.floor(F.col("b") / 3).alias("y"))
+    return rounded(pairs.correlations(p, ["event_type"], "x", "y", "user_id"))
+
+
 @query(f"WITH {PANEL}, c AS (SELECT user_id, avg(b - a) FILTER (event_type IN ('view', 'click')) - avg(b - a) FILTER (event_type NOT IN ('view', 'click')) AS d FROM panel GROUP BY user_id) SELECT count(d) AS n, round(avg(d), 8) AS contrast, {_DZ.format(d='d')} FROM c")
 def i_did_contrast(spark, d):
     return rounded(pairs.contrast(i.panel(spark, d), "user_id", "event_type", "a", "b", ["view", "click"]))

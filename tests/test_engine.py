@@ -94,6 +94,21 @@ def test_correlations(spark):
     assert (got["c"]["pearson"], got["c"]["spearman"], got["c"]["kendall"]) == (None, None, None)
 
 
+def test_tau_b_makes_no_pairs(spark):
+    rng = np.random.default_rng(8)
+    x, y = rng.integers(0, 9, 150), rng.integers(0, 5, 150)
+    sx, sy = np.sign(x[:, None] - x), np.sign(y[:, None] - y)
+    want = (sx * sy).sum() / math.sqrt((sx**2).sum() * (sy**2).sum())
+    rows = [("g", k, float(a), float(b)) for k, (a, b) in enumerate(zip(x.tolist(), y.tolist(), strict=True))]
+    df = pairs.correlations(spark.createDataFrame(rows, "g string, k int, x double, y double"), ["g"], "x", "y", "k")
+    assert math.isclose(df.first()["kendall"], want, rel_tol=1e-12)
+    # 60,000 rows of distinct values: 1.8e9 pairs.
+    many = spark.range(60_000).select(F.lit("g").alias("g"), F.col("id").alias("k"), F.col("id").alias("x"), F.when(F.col("id") < 30_000, F.col("id") + 30_000).otherwise(F.col("id") - 30_000).alias("y"))
+    got = pairs.correlations(many, ["g"], "x", "y", "k").first()
+    n = 60_000
+    assert math.isclose(got["kendall"], 1 - 4 * 30_000**2 / (n * (n - 1)), abs_tol=1e-12)
+
+
 def test_special_functions():
     assert math.isclose(special.t_sf2(2.093024054, 19), 0.05, abs_tol=1e-8)
     assert math.isclose(special.minimal_dz(20, 0.05), 0.6604416544, abs_tol=2e-6)
