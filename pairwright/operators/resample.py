@@ -171,25 +171,53 @@ def analysis_seed(seed: int, name: str) -> int:
 
 
 def mixed_model(rows: DataFrame, group: str, y: str, mode: str, first: str, second: str) -> DataFrame:
-    """y ~ mode with crossed random intercepts, by REML over two variance ratios; one fit per group (a panel).
+    """y ~ mode with crossed random intercepts, by REML over two variance ratios; one fit per group.
 
+    Rows are summed by (first, second) beforehand and the fit goes through the crossed effects' normal equations:
+    the factor of more levels is eliminated (its block is diagonal), the other's block is dense. Nothing is as wide as the rows.
     status: ok, or failed where the fit isn't finite or has no standard error.
     """
+    m, v = (F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in (mode, y))  # a missing value fails its group's fit
+    sums = {"n": F.count(F.lit(1)), "m": F.sum(m), "y": F.sum(v), "mm": F.sum(m * m), "my": F.sum(m * v), "yy": F.sum(v * v)}
+    names = [f"__{k}" for k in sums]
+    cells = rows.groupBy(group, first, second).agg(*[c.alias(f"__{k}") for k, c in sums.items()])
 
     def one(own: pd.DataFrame) -> pd.DataFrame:
-        yy, x = own[y].to_numpy(float), np.stack([np.ones(len(own)), own[mode].to_numpy(float)], 1)
-        z = [np.eye(own[c].nunique())[pd.factorize(own[c], sort=True)[0]] for c in (first, second)]
-        zz = [a @ a.T for a in z]
-        n, p = x.shape
+        codes = [pd.factorize(own[c], sort=True)[0] for c in (first, second)]
+        q = [int(c.max()) + 1 for c in codes]
+        wide, dense = (0, 1) if q[0] > q[1] else (1, 0)
+        n, sm, sy, smm, smy, syy = (own[c].to_numpy(float) for c in names)
+        mean = sy.sum() / n.sum()  # the intercept takes it up
+        sy, smy, syy = sy - mean * n, smy - mean * sm, syy - 2 * mean * sy + mean**2 * n
+        k = q[dense]
+        # Columns: the dense factor's levels, one, mode, y. ``own_sums``: by level of the wide factor; ``gram``: over all rows.
+        own_sums = np.zeros((q[wide], k + 3))
+        np.add.at(own_sums, (codes[wide], codes[dense]), n)
+        gram = np.zeros((k + 3, k + 3))
+        for j, part in enumerate((n, sm, sy)):
+            np.add.at(own_sums[:, k + j], codes[wide], part)
+            gram[:k, k + j] = np.bincount(codes[dense], part, k)
+        gram[k:, :k] = gram[:k, k:].T
+        gram[np.arange(k), np.arange(k)] = np.bincount(codes[dense], n, k)
+        gram[k:, k:] = [[n.sum(), sm.sum(), sy.sum()], [sm.sum(), smm.sum(), smy.sum()], [sy.sum(), smy.sum(), syy.sum()]]
+        # Levels of equal size are eliminated alike, so their products are summed once.
+        size, back = np.unique(own_sums[:, k], return_inverse=True)
+        levels = np.bincount(back)
+        products = [own_sums[back == j].T @ own_sums[back == j] for j in range(len(size))]
+        total, p = n.sum(), 2
 
         def fit(theta: np.ndarray):
-            v = np.eye(n) + np.exp(theta[0]) * zz[0] + np.exp(theta[1]) * zz[1]
-            low = np.linalg.cholesky(v)
-            xs, ys = np.linalg.solve(low, x), np.linalg.solve(low, yy)
-            gram = xs.T @ xs
-            b = np.linalg.solve(gram, xs.T @ ys)
-            s2 = ((ys - xs @ b) ** 2).sum() / (n - p)
-            return 0.5 * ((n - p) * np.log(s2) + 2 * np.log(np.diag(low)).sum() + np.linalg.slogdet(gram)[1]), b, np.sqrt(s2 * np.diag(np.linalg.inv(gram)))
+            ratio = np.exp(theta[[wide, dense]])
+            a = gram - sum(x / (s + 1 / ratio[0]) for x, s in zip(products, size, strict=True))
+            inner = np.eye(k) + ratio[1] * a[:k, :k]
+            low = np.linalg.cholesky((inner + inner.T) / 2)
+            half = np.linalg.solve(low, a[:k, k:])
+            rest = a[k:, k:] - ratio[1] * half.T @ half
+            xx, xy = rest[:p, :p], rest[:p, p]
+            b = np.linalg.solve(xx, xy)
+            s2 = (rest[p, p] - xy @ b) / (total - p)
+            det = (levels * np.log1p(ratio[0] * size)).sum() + 2 * np.log(np.diag(low)).sum()
+            return 0.5 * ((total - p) * np.log(s2) + det + np.linalg.slogdet(xx)[1]), b, np.sqrt(s2 * np.diag(np.linalg.inv(xx)))
 
         at, step = np.array([-1.0, -1.0]), 2.0
         best = fit(at)
@@ -206,4 +234,4 @@ def mixed_model(rows: DataFrame, group: str, y: str, mode: str, first: str, seco
         return pd.DataFrame({group: [own[group].iloc[0]], "coef": [best[1][1] if ok else np.nan], "se": [best[2][1] if ok else np.nan], "status": ["ok" if ok else "failed"]})
 
     kind = rows.schema[group].dataType.simpleString()
-    return rows.select(group, y, mode, first, second).groupBy(group).applyInPandas(one, f"{group} {kind}, coef double, se double, status string")
+    return cells.groupBy(group).applyInPandas(one, f"{group} {kind}, coef double, se double, status string")

@@ -650,7 +650,7 @@ def m_mde(spark, d):
 
 @query()
 def m_mixed(spark, d):
-    r = i.ratings(spark, d).where("record < 5 AND system IN ('s0', 's1')").withColumn("mode", (F.col("system") == "s1").cast("double"))
+    r = i.ratings(spark, d).where("system IN ('s0', 's1')").withColumn("mode", (F.col("system") == "s1").cast("double"))
     return rounded(resample.mixed_model(r, "dim", "score", "mode", "rater", "record"), 4)
 
 

@@ -307,6 +307,45 @@ def test_mixed_model(spark):
     assert got["status"] == "ok" and math.isclose(got["coef"], plain, abs_tol=1e-6)
 
 
+def dense_mixed(rows):
+    """coef and se of (a, p, mode, y) by matrices as wide as the rows."""
+    a, p, m, y = (np.array(c, float) for c in zip(*rows, strict=True))
+    x, zz = np.stack([np.ones(len(y)), m], 1), [(c[:, None] == c).astype(float) for c in (a, p)]
+
+    def fit(theta):
+        v = np.eye(len(y)) + np.exp(theta[0]) * zz[0] + np.exp(theta[1]) * zz[1]
+        w = np.linalg.inv(v)
+        gram = x.T @ w @ x
+        b = np.linalg.solve(gram, x.T @ w @ y)
+        s2 = (y - x @ b) @ w @ (y - x @ b) / (len(y) - 2)
+        return (len(y) - 2) * np.log(s2) + np.linalg.slogdet(v)[1] + np.linalg.slogdet(gram)[1], b[1], np.sqrt(s2 * np.linalg.inv(gram)[1, 1])
+
+    at, step = np.array([-1.0, -1.0]), 2.0
+    while step > 1e-3:
+        best = min((fit(np.clip(at + np.array(d) * step, -12, 8))[0], d) for d in ((0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)))[1]
+        at, step = np.clip(at + np.array(best) * step, -12, 8), step if any(best) else step / 2
+    return fit(at)[1:]
+
+
+def test_mixed_model_equals_the_dense_fit(spark):
+    rng = np.random.default_rng(4)
+    ra, rp = rng.normal(size=4), rng.normal(size=10)
+    rows = [(a, p, m, float(2 + 0.7 * m + ra[a] + rp[p] + rng.normal())) for a in range(4) for p in range(10) for m in (0.0, 1.0) if rng.random() < 0.7]
+    for way in (rows, [(p, a, m, y) for a, p, m, y in rows]):
+        got = resample.mixed_model(spark.createDataFrame([("d", *r) for r in way], "g string, a int, p int, m double, y double"), "g", "y", "m", "a", "p").first()
+        coef, se = dense_mixed(way)
+        assert got["status"] == "ok" and math.isclose(got["coef"], coef, abs_tol=1e-4) and math.isclose(got["se"], se, abs_tol=1e-4)
+
+
+def test_mixed_model_of_many_records(spark):
+    """48,000 rows, whose matrices would take 18 GB each."""
+    r = spark.range(8000).select(F.lit("g").alias("g"), F.col("id").alias("p"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("k"))
+    r = r.select("g", "p", (F.col("k") % 3).alias("a"), F.floor(F.col("k") / 3).cast("double").alias("m"))
+    r = r.withColumn("y", 0.7 * F.col("m") + F.col("a") + F.pmod(F.hash("p"), F.lit(7)) + F.pmod(F.hash("p", "a", "m"), F.lit(101)) / 100.0)
+    got = resample.mixed_model(r, "g", "y", "m", "a", "p").first()
+    assert got["status"] == "ok" and abs(got["coef"] - 0.7) < 0.02
+
+
 def test_stream(spark, tmp_path):
     rows = lambda a: spark.createDataFrame(a, "k int, seq int, s string")
     log = f"{tmp_path}/log"
