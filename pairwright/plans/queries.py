@@ -421,9 +421,9 @@ _P = f"{PANEL}, ps AS (SELECT event_type, user_id, CASE WHEN user_id % 9 = 0 THE
 _HOLM = "SELECT event_type, user_id, p, round(CASE WHEN p IS NOT NULL THEN max(least(1.0, ({m} - k + 1) * p)) OVER (PARTITION BY event_type, p IS NULL ORDER BY k) END, 8) AS p_holm FROM (SELECT *, row_number() OVER (PARTITION BY event_type, p IS NULL ORDER BY p) AS k, count(p) OVER (PARTITION BY event_type) AS cnt FROM ps)"
 
 
-def _p_values(spark, d):
+def _p_values(spark, d, where: str = "user_id < 40"):
     p = F.round((F.col("a") - F.floor("a")) / 50, 8)
-    return i.panel(spark, d).where("user_id < 40").select("event_type", "user_id", F.when(F.col("user_id") % 9 != 0, p).alias("p"))
+    return i.panel(spark, d).where(where).select("event_type", "user_id", F.when(F.col("user_id") % 9 != 0, p).alias("p"))
 
 
 @query(f"WITH {_P} {_HOLM.format(m='cnt')}")
@@ -436,6 +436,20 @@ def w_holm_declared(spark, d):
     return rounded(pairs.holm(_p_values(spark, d), "p", ["event_type"], family_size=45))
 
 
+_P_PANEL = _P.replace(" WHERE user_id < 40", "")
+
+
+@query(f"WITH {_P_PANEL} {_HOLM.format(m='cnt')}")
+def w_holm_panel(spark, d):
+    return rounded(pairs.holm(_p_values(spark, d, "true"), "p", ["event_type"]))
+
+
+@query(f"WITH {_P_PANEL} {_HOLM.format(m='(SELECT count(DISTINCT user_id) FROM panel)')}")
+def w_holm_panel_declared(spark, d):
+    users = i.panel(spark, d).agg(F.count_distinct("user_id")).first()[0]  # a test was planned for each of them
+    return rounded(pairs.holm(_p_values(spark, d, "true"), "p", ["event_type"], family_size=users))
+
+
 _RANKED = f"{PANEL}, v AS (SELECT event_type, user_id, floor(a / 10) AS v FROM panel)"
 
 

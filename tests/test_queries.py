@@ -38,3 +38,11 @@ def test_equals_sql(spark, sql, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
 def test_runs(spark, name):
     assert catalog.queries()[name](spark, FOLDER).count() > 0
+
+
+def test_whole_panels_leave_out_no_unit(spark):
+    folder = FOLDER.replace("sf0.001", "sf0.01")
+    units = spark.read.parquet(f"{folder}/events.parquet").select("user_id", "event_type").distinct()
+    for name in ("w_holm_panel", "w_holm_panel_declared"):
+        out = catalog.queries()[name](spark, folder)
+        assert out.count() == units.count() and out.where("user_id >= 40").count() > 0
