@@ -688,9 +688,16 @@ def k_report_table(spark, d):
     return report.report(p, "user_id", "event_type", [F.col("event_type"), report.number(F.col("b"))])
 
 
+@query(f"""WITH {PANEL}, x AS (SELECT user_id, event_type, round(b, 0)::BIGINT AS b FROM panel)
+SELECT user_id, string_agg('| ' || event_type || ' | ' || b || '.00 |', chr(10) ORDER BY event_type) AS "table" FROM x GROUP BY user_id""")
+def k_report_panel(spark, d):
+    p = i.panel(spark, d).select("user_id", "event_type", F.round("b", 0).alias("b"))
+    return report.report(p, "user_id", "event_type", [F.col("event_type"), report.number(F.col("b"))])
+
+
 @query()
 def s_provider_rows(spark, d):
-    rows = i.table(spark, d, "conversations").where("role = 'user' AND turn = 0").select("conv_id", "text")
+    rows = i.table(spark, d, "conversations").where("role = 'user'").select("conv_id", "text")
     out = providers.call(rows, "text", providers.Retry([providers.EchoClient("first", "the"), providers.EchoClient("second")], times=2))
     return out.select("conv_id", "status", "attempts", "client", F.length("output_text").alias("n_chars"))
 
