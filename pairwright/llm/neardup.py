@@ -11,8 +11,9 @@ Candidates are confirmed on full shingle sets in rounds: first the best of each
 already join most components, then four times as many, until no candidate has its ends in two
 components. A second look at crowded regions follows: full sets of each row outside the largest
 component of its region are compared with those of all other rows of the region, so that a crowded
-region can't hide a link behind copies that are linked already. (A region whose sets exceed
-``RANGE_BYTES`` is dealt to several tasks in its order, and rows are compared within those.)
+region can't hide a link behind copies that are linked already. (Sets of more than ``RANGE_BYTES`` are dealt to
+several tasks in their order; a region that lies in several of them has its rows outside the largest
+component sent in blocks to each of its pieces.)
 
 All of it is distributed: the orders are dealt by range over (prefix, deeper values, id), which splits
 regions of any size; what lies across the edge of two ranges is compared too. Components come from
@@ -356,6 +357,50 @@ def _apart_links(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa
     yield pa.RecordBatch.from_arrays([pa.array(rows[:, k]) for k in range(4)], names=["a", "b", "c_a", "c_b"])
 
 
+_APART = "a long, b long, c_a long, c_b long"
+
+
+def _block_links(table: pa.Table, percent: int) -> pa.Table:
+    """Links between the queries of a block (``asks``) and the rows of a piece of their region: the first to each component."""
+    asks = table.column("asks").to_numpy()
+    ids, comp = (table.column(c).to_numpy() for c in ("id", "comp"))
+    items = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("items")]
+    found: set[tuple[int, int, int, int]] = set()
+    held = np.flatnonzero(~asks)
+    if held.size and held.size < len(asks):
+        size = np.array([len(items[h]) for h in held.tolist()])
+        starts = np.cumsum(size) - size
+        distinct, codes = np.unique(np.concatenate([items[h] for h in held.tolist()]), return_inverse=True)
+        mark = np.zeros(len(distinct), np.int64)
+        for q in np.flatnonzero(asks).tolist():
+            at = np.searchsorted(distinct, items[q])
+            at = at[(at < len(distinct)) & (distinct[np.minimum(at, len(distinct) - 1)] == items[q])]
+            mark[at] = 1
+            inter = np.add.reduceat(mark[codes], starts)
+            mark[at] = 0
+            hit = held[(100 * inter >= percent * (size + len(items[q]) - inter)) & (comp[held] != comp[q])]
+            for h in dict(zip(comp[hit][::-1].tolist(), hit[::-1].tolist(), strict=True)).values():
+                found.add((int(ids[q]), int(ids[h]), int(comp[q]), int(comp[h])))
+    rows = np.array(sorted(found), np.int64).reshape(-1, 4)
+    return pa.table([pa.array(rows[:, k]) for k in range(4)], names=["a", "b", "c_a", "c_b"])
+
+
+def _across_pieces(pieces: DataFrame, several: DataFrame, percent: int) -> DataFrame:
+    """Links inside the regions ``several`` (key), which lie in more than one of ``pieces`` (key, id, comp, items, part)."""
+    rows = pieces.join(several, "key", "left_semi")
+    most = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("most"))
+    asking = staged(rows.join(most, "key").where("comp <> most").drop("most", "part"), "asking")
+    # Queries are dealt to blocks of a piece's size; each block meets each piece of its region.
+    blocks = asking.groupBy("key").agg((1 + F.floor(F.sum(F.octet_length("items")) * 2 / RANGE_BYTES)).cast("int").alias("blocks"))
+    blocks = staged(blocks, "blocks")
+    parts = staged(rows.select("key", "part").distinct(), "parts")
+    asked = asking.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).join(parts, "key")
+    held = rows.join(blocks, "key").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    names = ["key", "part", "block", "id", "comp", "items"]
+    both = asked.select(*names, F.lit(True).alias("asks")).unionByName(held.select(*names, F.lit(False).alias("asks")))
+    return both.groupBy("key", "part", "block").applyInArrow(lambda t: _block_links(t, percent), _APART)
+
+
 def second_look(docs: DataFrame, crowded: DataFrame, comp: DataFrame, words: int, percent: int) -> DataFrame:
     """a, b, c_a, c_b: links between components of ``comp`` inside crowded regions; staged. ``crowded``: their forest entries."""
     now = crowded.drop("comp").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
@@ -365,8 +410,16 @@ def second_look(docs: DataFrame, crowded: DataFrame, comp: DataFrame, words: int
     sets = staged(full_sets(docs, staged(now.select("id").distinct(), "involved"), words).dropDuplicates(["id"]), "sets")
     whole = now.join(sets, "id")
     n = 1 + (whole.agg(F.sum(F.octet_length("items"))).first()[0] or 0) // RANGE_BYTES
-    ranged = whole.repartitionByRange(n, *_ORDER).sortWithinPartitions(*_ORDER).select("key", "id", "comp", "items")
-    return staged(ranged.mapInArrow(lambda it: _apart_links(it, percent), "a long, b long, c_a long, c_b long"), "apart")
+    if n == 1:
+        ranged = whole.repartitionByRange(n, *_ORDER).sortWithinPartitions(*_ORDER).select("key", "id", "comp", "items")
+        return staged(ranged.mapInArrow(lambda it: _apart_links(it, percent), _APART), "apart")
+    # Pieces of half the size: a task of _across_pieces holds one and a block of queries.
+    pieces = whole.repartitionByRange(2 * n, *_ORDER).select("key", "id", "comp", "items").withColumn("part", F.spark_partition_id())
+    pieces = staged(pieces, "pieces")
+    several = staged(pieces.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("key"), "several")
+    alone = pieces.join(several, "key", "left_anti").repartition(2 * n, "part").sortWithinPartitions("key", "id").select("key", "id", "comp", "items")
+    within = alone.mapInArrow(lambda it: _apart_links(it, percent), _APART)
+    return staged(within.unionByName(_across_pieces(pieces, several, percent)), "apart")
 
 
 def components(links: DataFrame, one_task: int = ONE_TASK) -> DataFrame:

@@ -347,3 +347,16 @@ def test_near_duplicates(spark, monkeypatch, one_task):
         assert kept.columns == ["doc_id", "text", "d", "t", "lang"]
         assert sorted(r["doc_id"] for r in kept.collect()) == sorted(d for d, (_, c) in got.items() if c == d)
         assert neardup.cluster(frame(spark, rows).limit(0)).count() == 0
+
+
+def test_second_look_compares_across_pieces(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "RANGE_BYTES", 2000)
+    word = lambda a, k: f"w{a}x{k}"
+    rows = [(d, " ".join(word(d, k) for k in range(40))) for d in range(1, 61)]
+    rows += [(100, rows[0][1] + " more"), (101, rows[29][1] + " more"), (200, "other " + rows[9][1])]
+    # One region holds all but 200; its order puts copies far from each other. 200 lies in a small region with 10.
+    crowded = [(7, d, 0, 0, d, d) for d, _ in rows if d < 200] + [(8, 0, 0, 0, 10, 10), (8, 1, 0, 0, 200, 200)]
+    crowded = spark.createDataFrame(crowded, "key long, deeper long, sketch_a long, sketch_b long, id long, comp long")
+    comp = spark.createDataFrame([(d, 2) for d in range(2, 21)], "id long, comp long")
+    got = neardup.second_look(frame(spark, rows), crowded, comp, 2, 80).collect()
+    assert {tuple(sorted((r["a"], r["b"]))) for r in got} == {(1, 100), (30, 101), (10, 200)}
