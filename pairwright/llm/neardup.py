@@ -21,8 +21,9 @@ alternating large-star and small-star steps, or, for up to ``ONE_TASK`` links of
 union-find in one task. Nothing about all documents reaches the driver.
 
 Defined cases: null or wordless texts have empty sets, are linked with nothing and are their own
-component; a text of fewer words than a shingle is one shingle; repeated rows are a class; rows of a null
-doc_id take their class's component but no part in further links; an empty table gives no rows.
+component; a text of fewer words than a shingle is one shingle; repeated rows are a class; where doc_ids are
+null or repeated, rows are numbered in their order (nulls last) and linked by number, so that each text takes
+part; an empty table gives no rows.
 A link of similarity 0.8 is missed by the forest with a probability below 1e-6.
 """
 
@@ -459,8 +460,34 @@ def _merged(comp: DataFrame, links: DataFrame) -> DataFrame:
     return staged(old.unionByName(fresh), "components")
 
 
+def _plain_ids(docs: DataFrame) -> bool:
+    """Whether no doc_id is null or occurs twice."""
+    return docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").isEmpty()
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__row``, which rises with doc_id, nulls last; staged."""
+    order = [F.asc_nulls_last("doc_id"), F.xxhash64("text")]
+    return staged(docs.orderBy(*order).withColumn("__row", F.monotonically_increasing_id()), "numbered")
+
+
 def cluster(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
+    """doc_id, n_shingles, component_id, kept for every row of ``docs``.
+
+    Of rows without a doc_id one of each component is kept that has no doc_id at all.
+    """
+    if _plain_ids(docs):
+        return _cluster(docs, words, percent)
+    rows = _numbered(docs.select("doc_id", "text"))
+    own = _cluster(rows.select(F.col("__row").alias("doc_id"), "text"), words, percent)
+    own = own.select(F.col("doc_id").alias("__row"), "n_shingles", F.col("component_id").alias("__first"), F.col("kept").alias("__kept"))
+    first = rows.select(F.col("__row").alias("__first"), F.col("doc_id").alias("component_id"))
+    out = own.join(rows.select("__row", "doc_id"), "__row").join(first, "__first")
+    return out.select("doc_id", "n_shingles", "component_id", (F.col("__kept") | F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))).alias("kept"))
+
+
+def _cluster(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The same where every row has a doc_id of its own."""
     spark = docs.sparkSession
     signed = staged(signatures(docs, words), "minhash")
     same = ["n_shingles", "set_a", "set_b"]
@@ -496,12 +523,11 @@ def cluster(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
 def dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One row of each component of ``docs``, that of the least doc_id, all columns; rows without words stay.
 
-    Rows that repeat a kept doc_id go but for one.
+    A row goes only if another of its component stays, whatever their doc_ids.
     """
-    kept = staged(cluster(docs, words, percent).where("kept").select(F.col("doc_id").alias("__id"), F.col("n_shingles").alias("__n")), "kept")
-    several = kept.where("__n > 0").groupBy("__id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    if several.isEmpty():
-        return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__id"]), "left_semi")
-    out = docs.join(kept.groupBy("__id").agg(F.max("__n").alias("__n")), docs["doc_id"].eqNullSafe(F.col("__id")))
-    some = out.where("__n > 0").dropDuplicates(["doc_id"])
-    return some.unionByName(out.where("__n = 0")).select(*docs.columns)
+    if _plain_ids(docs):
+        kept = staged(_cluster(docs, words, percent).where("kept").select("doc_id"), "kept")
+        return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    rows = _numbered(docs)
+    kept = _cluster(rows.select(F.col("__row").alias("doc_id"), "text"), words, percent).where("kept")
+    return rows.join(staged(kept.select(F.col("doc_id").alias("__row")), "kept"), "__row", "left_semi").select(*docs.columns)

@@ -360,3 +360,17 @@ def test_second_look_compares_across_pieces(spark, monkeypatch):
     comp = spark.createDataFrame([(d, 2) for d in range(2, 21)], "id long, comp long")
     got = neardup.second_look(frame(spark, rows), crowded, comp, 2, 80).collect()
     assert {tuple(sorted((r["a"], r["b"]))) for r in got} == {(1, 100), (30, 101), (10, 200)}
+
+
+def test_null_and_repeated_ids_lose_no_text(spark):
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(30))
+    rows = [(None, text(0)), (None, text(1)), (None, text(2)), (5, text(3)), (5, text(4)), (6, "more " + text(4)), (None, "more " + text(0)), (7, text(2)), (8, text(8)), (8, text(8)), (None, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["text"]) for r in neardup.dedup(docs, words=2).collect()), key=str)
+    # Of the two near copies without an id either may stay.
+    zero = [t for d, t in got if d is None and t and text(0) in t]
+    assert len(zero) == 1
+    want = [(None, zero[0]), (None, text(1)), (5, text(3)), (5, text(4)), (7, text(2)), (8, text(8)), (None, None), (None, "")]
+    assert got == sorted(want, key=str)
+    found = {(r["doc_id"], r["component_id"]) for r in neardup.cluster(docs, words=2).collect()}
+    assert found == {(None, None), (None, 7), (5, 5), (6, 5), (7, 7), (8, 8)}
