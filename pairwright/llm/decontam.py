@@ -16,84 +16,33 @@ Training text isn't shuffled.
 
 Defined cases: null texts have no words; null item_ids count as the item "null", equal item_ids as
 one item; repeated documents are judged each; a window never crosses documents; empty tables give no
-rows, an empty benchmark no hits; other columns are ignored.
+rows, an empty benchmark no hits; other columns pass, whatever their names. Words are compared as they are, not by hashes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sentencepiece import slices
+from .common import map_batches
+from .words import LETTERS, portions, split
 
 MAX_BLOCK_BYTES = 32 << 20
 #: Text of a shard, unless one document is longer: about 60 bytes of arrays for each of text.
 SHARD_BYTES = 2 << 20
-_P = 0x9E3779B97F4A7C15
-_U = np.uint64
-
-
-@lru_cache(1)
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """(a random number for each byte, 0 for those outside words; which bytes are in words)."""
-    inside = np.zeros(256, bool)
-    inside[0x30:0x3A] = inside[0x61:0x7B] = inside[0x80:] = True
-    rnd = np.random.default_rng(20240901).integers(1, 2**63, 256, np.uint64) * _U(2) + _U(1)
-    return np.where(inside, rnd, _U(0)), inside
-
-
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        m = max(n, 1 << 20)
-        for k, base in enumerate((_P, pow(_P, -1, 1 << 64))):
-            x = np.full(m, base, np.uint64)
-            x[0] = 1
-            _powers[k] = np.multiply.accumulate(x)
-    return _powers[0], _powers[1]
-
-
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit hash of every word of all texts, words per text)."""
-    raw = [t.encode("utf-8", "surrogatepass").lower() for t in texts]  # bytes.lower() changes A-Z alone
-    data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
-    rnd, inside = _tables()
-    mask = inside[data]
-    edge = np.flatnonzero(mask[1:] != mask[:-1]) + 1
-    if mask[0]:
-        edge = np.concatenate([[0], edge])
-    starts, ends = edge[::2], edge[1::2]
-    up, down = _power(len(data))
-    total = np.cumsum(rnd[data] * up[: len(data)], dtype=np.uint64)
-    before = np.where(starts > 0, total[np.maximum(starts - 1, 0)], _U(0))
-    h = (total[ends - 1] - before) * down[starts]
-    h ^= h >> _U(29)
-    h *= _U(0xBF58476D1CE4E5B9)
-    h ^= h >> _U(32)
-    stops = np.cumsum([len(r) + 1 for r in raw])
-    counts = np.diff(np.concatenate([[0], np.searchsorted(starts, stops)]))
-    return h, counts
-
-
 class Benchmark:
     """Word ids, suffixes and windows of a block of items."""
 
     def __init__(self, items: list[tuple[str, str]], window: int) -> None:
         self.names = sorted({name for name, _ in items})
         index = {n: k for k, n in enumerate(self.names)}
-        h, counts = word_hashes([t for _, t in items]) if items else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        self.vocabulary = np.unique(h)
-        filter_ = np.zeros(1 << 20, bool)
-        filter_[(self.vocabulary >> _U(44)).astype(np.int64)] = True
-        self.filter = filter_
-        ids = np.searchsorted(self.vocabulary, h) + 1
+        distinct, codes, counts = split(pa.array([t for _, t in items], pa.string()), LETTERS)
+        self.vocabulary = {w: k for k, w in enumerate(sorted(distinct), 1)}
+        ids = self.ids(distinct)[codes]
         owner = np.repeat(np.arange(len(items)), counts)
         # A zero after each item and at the end, so that no comparison runs on.
         self.longest = int(counts.max()) if len(counts) else 0
@@ -108,27 +57,23 @@ class Benchmark:
         self.is_window = self.left >= self.size
         self.least = int(self.size.min()) if len(self.size) else 1
 
-    def ids(self, h: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(h), np.int64)
-        some = np.flatnonzero(self.filter[(h >> _U(44)).astype(np.int64)])
-        if some.size and self.vocabulary.size:
-            at = np.minimum(np.searchsorted(self.vocabulary, h[some]), len(self.vocabulary) - 1)
-            hit = self.vocabulary[at] == h[some]
-            out[some[hit]] = at[hit] + 1
-        return out
+    def ids(self, words: list[bytes]) -> np.ndarray:
+        get = self.vocabulary.get
+        return np.array([get(w, 0) for w in words], np.int64)
 
 
 class Shard:
     """The suffix array of a run of documents."""
 
-    def __init__(self, texts: list[str], bench: Benchmark) -> None:
+    def __init__(self, texts: pa.Array, bench: Benchmark) -> None:
         self.bench = bench
-        h, self.counts = word_hashes(texts)
+        distinct, codes, self.counts = split(texts, LETTERS)
+        h = bench.ids(distinct)[codes]
         self.doc = np.repeat(np.arange(len(texts)), self.counts)
         place = np.arange(len(h)) + self.doc
         self.first = np.cumsum(self.counts) - self.counts + np.arange(len(texts))
         self.seq = np.zeros(len(h) + len(texts) + bench.longest + 2, np.int64)
-        self.seq[place] = bench.ids(h)
+        self.seq[place] = h
         self.doc_at = np.zeros(len(self.seq), np.int64)
         self.doc_at[place] = self.doc
         # A match has ``least`` words at least: shorter runs of known words can't hold one.
@@ -229,7 +174,7 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[str, str]]]:
         yield [(r["name"], r["text"]) for r in own.where(F.col("block") == k).collect()]
 
 
-def _mark(texts: list[str], bench: Benchmark, spans: list[list[int]], items: list[list[str]]) -> tuple[np.ndarray, list[list[int]], list[list[str]]]:
+def _mark(texts: pa.Array, bench: Benchmark, spans: list[list[int]], items: list[list[str]]) -> tuple[np.ndarray, list[list[int]], list[list[str]]]:
     """Words per text, and spans and items with those of this block added."""
     shard = Shard(texts, bench)
     place, words, item = shard.occurrences()
@@ -258,40 +203,40 @@ def _mark(texts: list[str], bench: Benchmark, spans: list[list[int]], items: lis
 
 
 def mark_documents(docs: DataFrame, benchmark: DataFrame, window: int = 8) -> DataFrame:
-    """``docs`` with __n_words, __spans (word bounds of what the benchmark covers: start, end, ...) and __items (their names)."""
+    """row (all columns of ``docs``), n_words, spans (word bounds of what the benchmark covers: start, end, ...) and items (their names)."""
     sc = docs.sparkSession.sparkContext
-    own = docs.withColumns({"__n_words": F.lit(0).cast("long"), "__spans": F.array().cast("array<int>"), "__items": F.array().cast("array<string>")})
+    own = docs.select(F.struct("*").alias("row"), "text")
+    own = own.withColumns({"n_words": F.lit(0).cast("long"), "spans": F.array().cast("array<int>"), "items": F.array().cast("array<string>")})
     for items in _blocks(benchmark):
         sent = sc.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             bench = Benchmark(sent.value, window)
             for batch in batches:
-                for start, texts in slices(batch.column("text"), SHARD_BYTES):
-                    part = batch.slice(start, len(texts))
-                    counts, spans, names = _mark([t or "" for t in texts], bench, part.column("__spans").to_pylist(), part.column("__items").to_pylist())
-                    new = {"__n_words": pa.array(counts, pa.int64()), "__spans": pa.array(spans, pa.list_(pa.int32())), "__items": pa.array(names, pa.list_(pa.string()))}
-                    yield pa.RecordBatch.from_arrays([new.get(c, part.column(i)) for i, c in enumerate(part.schema.names)], names=part.schema.names)
+                for start, end in portions(batch.column("text"), SHARD_BYTES):
+                    part = batch.slice(start, end - start)
+                    counts, spans, names = _mark(part.column("text"), bench, part.column("spans").to_pylist(), part.column("items").to_pylist())
+                    new = [part.column("row"), part.column("text"), pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(names, pa.list_(pa.string()))]
+                    yield pa.RecordBatch.from_arrays(new, names=["row", "text", "n_words", "spans", "items"])
 
-        own = own.mapInArrow(run, own.schema)
-    return own.withColumn("__items", F.array_distinct("__items"))
+        own = map_batches(own, run, own.schema)
+    return own.select("row", "n_words", "spans", F.array_distinct("items").alias("items"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_items: int = 1) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     m = mark_documents(docs.select("doc_id", "text"), benchmark, window)
-    n_hit = F.aggregate("__spans", F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("sign")), lambda a, x: F.struct((a["n"] + a["sign"] * x).alias("n"), (-a["sign"]).alias("sign")), lambda a: a["n"])
-    n_items = F.size("__items").cast("long")
+    n_hit = F.aggregate("spans", F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("sign")), lambda a, x: F.struct((a["n"] + a["sign"] * x).alias("n"), (-a["sign"]).alias("sign")), lambda a: a["n"])
+    n_items = F.size("items").cast("long")
     return m.select(
-        "doc_id", F.col("__n_words").alias("n_words"), n_hit.alias("n_hit"), n_items.alias("n_items"),
-        F.sha2(F.array_join(F.array_sort("__items"), ","), 256).alias("items_sha256"), (n_items >= min_items).alias("contaminated"),
+        "row.doc_id", "n_words", n_hit.alias("n_hit"), n_items.alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (n_items >= min_items).alias("contaminated"),
     )
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_items: int = 1) -> DataFrame:
     """The rows of ``docs``, all columns, that hold fewer than ``min_items`` items."""
-    marked = mark_documents(docs, benchmark, window)
-    return marked.where(F.size("__items") < min_items).select(*docs.columns)
+    return mark_documents(docs, benchmark, window).where(F.size("items") < min_items).select("row.*")
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, min_words: int = 8) -> DataFrame:
@@ -307,16 +252,16 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, min_words: int = 8) -
             order = np.searchsorted(bench.start_of_item, bench.starts, side="right") - 1
             word = bench.starts - bench.start_of_item[order] if len(bench.starts) else bench.starts
             for batch in batches:
-                for start, texts in slices(batch.column("text"), SHARD_BYTES):
-                    shard = Shard([t or "" for t in texts], bench)
+                for start, end in portions(batch.column("text"), SHARD_BYTES):
+                    shard = Shard(batch.column("text").slice(start, end - start), bench)
                     size, where = shard.longest()
                     k = np.flatnonzero(size >= min_words)
                     d = shard.doc_at[where[k]]
-                    ids = batch.column("doc_id").slice(start, len(texts)).take(pa.array(d))
+                    ids = batch.column("doc_id").slice(start, end - start).take(pa.array(d))
                     cols = [pa.array(names[bench.item[k]].tolist(), pa.string()), pa.array(word[k]), pa.array(size[k]), ids, pa.array(where[k] - shard.first[d])]
                     yield pa.RecordBatch.from_arrays(cols, names=["item_id", "item_word", "n_words", "doc_id", "doc_word"])
 
-        part = docs.select("doc_id", "text").mapInArrow(run, "item_id string, item_word long, n_words long, doc_id long, doc_word long")
+        part = map_batches(docs.select("doc_id", "text"), run, "item_id string, item_word long, n_words long, doc_id long, doc_word long")
         out = part if out is None else out.unionByName(part)
     best = F.struct("n_words", (-F.col("doc_id")).alias("d"), (-F.col("doc_word")).alias("w"))
     top = out.groupBy("item_id", "item_word").agg(F.max(best).alias("b"))

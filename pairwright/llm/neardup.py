@@ -2,18 +2,20 @@
 
 Documents are sets of word shingles. Rows of equal sets form a class, represented by its least
 doc_id; the forest holds representatives alone. Each tree orders them by its own sequence of minhash
-values. A region is a run with a common prefix of ``DEPTH`` values; inside it deeper values sort on, so
-that in crowded regions those next to each other, which are compared, share the longest prefixes, while
-regions of up to ``NEAR + 1`` members are compared completely. Neighbours whose one-bit sketches are close
-are candidates.
+values: four that a region has in common, then four more. Within a region the depth adapts: rows are compared with all
+others of the longest prefix that at most ``NEAR + 1`` rows share, and with the next row in the order,
+which no other row's prefix exceeds. Pairs whose one-bit sketches are close are candidates.
 
 Candidates are confirmed on full shingle sets in rounds: first the best of each document, whose links
 already join most components, then four times as many, until no candidate has its ends in two
-components. A second look at crowded regions follows: full sets of each row outside the largest
-component of its region are compared with those of all other rows of the region, so that a crowded
-region can't hide a link behind copies that are linked already. (Sets of more than ``RANGE_BYTES`` are dealt to
-several tasks in their order; a region that lies in several of them has its rows outside the largest
-component sent in blocks to each of its pieces.)
+components.
+
+Deeper prefixes miss links that the four common values would hold, so regions of more than ``NEAR + 1`` rows that
+still have several components are completed exactly (``rest``): of the shingles of each of their rows the rarest fifth
+and one (for a similarity of 0.8) are its keys, and two similar rows share a key, at a place that leaves
+enough shingles behind it. Rows of different components that share such a key are candidates too. Keys that many
+rows share are dealt to tasks as blocks: rows outside the key's largest component against all its rows. No result depends
+on a size: ``PIECE`` deals work alone.
 
 All of it is distributed: the orders are dealt by range over (prefix, deeper values, id), which splits
 regions of any size; what lies across the edge of two ranges is compared too. Components come from
@@ -23,8 +25,9 @@ union-find in one task. Nothing about all documents reaches the driver.
 Defined cases: null or wordless texts have empty sets, are linked with nothing and are their own
 component; a text of fewer words than a shingle is one shingle; repeated rows are a class; where doc_ids are
 null or repeated, rows are numbered in their order (nulls last) and linked by number, so that each text takes
-part; an empty table gives no rows.
-A link of similarity 0.8 is missed by the forest with a probability below 1e-6.
+part; an empty table gives no rows; other columns pass, whatever their names.
+A link of similarity 0.8 shares no region with a probability below 1e-7, and its sketches are too far apart
+in less than one case of 10**7.
 """
 
 from __future__ import annotations
@@ -37,28 +40,31 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
-from .sentencepiece import slices
+from .common import drop_staged, inner_name, map_batches, staged
+from .words import LOWER, portions, word_names
 
 TREES, DEPTH, NEAR, BITS = 32, 4, 16, 128
+#: Values of 16 bits that order a region.
+LANES = 4
 #: Sketches of similarity 0.8 differ in 12.8 of 128 bits on average; more than this many, less than once in 10**7.
 FAR = 34
 ONE_TASK = 500_000
-RANGE_BYTES = 64 << 20
+#: Rows of one key that a task compares with as many others.
+PIECE = 8192
+#: Keys of up to this many rows are compared whole, many at once.
+SMALL = 64
+#: Shingles are ordered by counts in so many buckets, whatever their number.
+BUCKETS = 1 << 18
 #: Text that a task hashes at once, unless one document is longer.
-SLICE_BYTES = 1 << 20
-MAX_BROADCAST_IDS = 2_000_000
+SLICE_BYTES = 2 << 20
+MAX_BROADCAST_IDS = 500_000
 _U = np.uint64
 _P = 0x9E3779B97F4A7C15
 _rng = np.random.default_rng(77)
-_BYTE = _rng.integers(1, 2**63, 256, np.uint64) * _U(2) + _U(1)
-_BYTE[[9, 10, 11, 12, 13, 32]] = 0
-_INSIDE = _BYTE != 0
 _A = _rng.integers(1, 2**63, TREES * DEPTH, np.uint64) * _U(2) + _U(1)
 _B = _rng.integers(1, 2**63, TREES * DEPTH, np.uint64)
-#: The values of each tree: its own prefix, then those of the trees after it.
-_DEEPER = (np.arange(TREES)[:, None] * DEPTH + DEPTH + np.arange(2)) % (TREES * DEPTH)
-_power: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: The deeper values of each tree are those of the tree after it.
+_DEEPER = (np.arange(TREES)[:, None] * DEPTH + DEPTH + np.arange(LANES)) % (TREES * DEPTH)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -67,30 +73,9 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(31))
 
 
-def word_hashes(texts: list[str], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit hash of every word ``[^\\x20\\x09-\\x0D]+`` of all texts, A-Z lower-cased; words per text)."""
-    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-    data = np.frombuffer((b"\n".join(raw) + b"\n").lower() if lower else b"\n".join(raw) + b"\n", np.uint8)
-    if len(_power[0]) < len(data):
-        for k, base in enumerate((_P, pow(_P, -1, 1 << 64))):
-            x = np.full(max(len(data), 1 << 20), base, np.uint64)
-            x[0] = 1
-            _power[k] = np.multiply.accumulate(x)
-    mask = _INSIDE[data]
-    edge = np.flatnonzero(mask[1:] != mask[:-1]) + 1
-    if mask[0]:
-        edge = np.concatenate([[0], edge])
-    starts, ends = edge[::2], edge[1::2]
-    total = np.cumsum(_BYTE[data] * _power[0][: len(data)], dtype=np.uint64)
-    before = np.where(starts > 0, total[np.maximum(starts - 1, 0)], _U(0))
-    h = mix((total[ends - 1] - before) * _power[1][starts])
-    stops = np.cumsum([len(r) + 1 for r in raw])
-    return h, np.diff(np.concatenate([[0], np.searchsorted(starts, stops)]))
-
-
-def shingles(texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray]:
+def shingles(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     """(sorted distinct shingle hashes of all texts, one text after another; how many each has)."""
-    h, counts = word_hashes(texts)
+    h, _, counts = word_names(texts, LOWER)
     each = np.zeros(0, np.uint64) if len(h) < words else h[: len(h) - words + 1].copy()
     for k in range(1, words):
         each = mix(each * _U(_P)) + h[k : len(h) - words + 1 + k] if len(each) else each
@@ -139,7 +124,7 @@ def minhashes(elements: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 _SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, keys binary, deeper binary, sketch_a long, sketch_b long"
 
 
-def _sign(texts: list[str], words: int) -> list[pa.Array]:
+def _sign(texts: pa.Array, words: int) -> list[pa.Array]:
     elements, sizes = shingles(texts, words)
     some = np.flatnonzero(sizes > 0)
     m = minhashes(elements, sizes)
@@ -152,8 +137,9 @@ def _sign(texts: list[str], words: int) -> list[pa.Array]:
     key = np.broadcast_to(np.arange(TREES, dtype=np.uint64), (len(some), TREES)).copy()
     for k in range(DEPTH):
         key = mix(key * _U(_P) + top[:, :, k] + _U(1))
-    flat = m >> _U(32)
-    deeper = (flat[:, _DEEPER[:, 0]] << _U(32)) | flat[:, _DEEPER[:, 1]]
+    deeper = np.zeros((len(some), TREES), np.uint64)
+    for k in range(LANES):
+        deeper = (deeper << _U(16)) | (m[:, _DEEPER[:, k]] >> _U(48))
     bits = np.packbits((mix(m[:, :BITS]) & _U(1)).astype(np.uint8), axis=1).view(np.uint64).reshape(len(some), 2) if some.size else np.zeros((0, 2), np.uint64)
     blank: list[bytes | None] = [None] * len(texts)
     keys, deep = blank.copy(), blank.copy()
@@ -168,17 +154,17 @@ def _sign(texts: list[str], words: int) -> list[pa.Array]:
 def signatures(docs: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, texts in slices(batch.column("text"), SLICE_BYTES):
-                cols = _sign([t or "" for t in texts], words)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, len(texts)), *cols], names=[x.split()[0] for x in _SIGNED.split(", ")])
+            for start, end in portions(batch.column("text"), SLICE_BYTES):
+                part = batch.slice(start, end - start)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *_sign(part.column("text"), words)], names=[x.split()[0] for x in _SIGNED.split(", ")])
 
-    return docs.select("doc_id", "text").mapInArrow(run, _SIGNED)
+    return map_batches(docs.select("doc_id", "text"), run, _SIGNED)
 
 
 # -- the forest ------------------------------------------------------------------------------
 
 _ORDER = ["key", "deeper", "sketch_a", "sketch_b", "id"]
-_ENTRY = "key long, deeper long, sketch_a long, sketch_b long, id long, comp long"
+_ENTRY = "key long, deeper long, sketch_a long, sketch_b long, id long"
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +173,7 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             batch = whole.slice(start, 4096)
             n = batch.num_rows
             cols = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.int64) for c in ("keys", "deeper")]
-            cols += [np.repeat(batch.column(c).to_numpy(zero_copy_only=False), TREES) for c in ("sketch_a", "sketch_b", "id", "comp")]
+            cols += [np.repeat(batch.column(c).to_numpy(zero_copy_only=False), TREES) for c in ("sketch_a", "sketch_b", "id")]
             assert len(cols[0]) == n * TREES
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=[x.split()[0] for x in _ENTRY.split(", ")])
 
@@ -199,70 +185,86 @@ def _differ(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.bitwise_count(p[:, 0] ^ q[:, 0]).astype(np.int32) + np.bitwise_count(p[:, 1] ^ q[:, 1])
 
 
-def _neighbours(rows: np.ndarray) -> np.ndarray:
-    """(a, b, bits that differ) of neighbours in one region whose sketches are close."""
+def _neighbours(rows: np.ndarray, near: int) -> np.ndarray:
+    """(a, b, bits that differ) of the pairs of one region to compare whose sketches are close. Rows in their order."""
     found = [np.zeros((0, 3), np.int64)]
-    if not len(rows):
+    if len(rows) < 2:
         return found[0]
-    key, sketch, ids = rows[:, 0], rows[:, 2:4].view(np.uint64), rows[:, 4]
-    cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
-    small = np.repeat(np.diff(cut) <= NEAR + 1, np.diff(cut))
-    for step in range(1, NEAR + 1):
-        # Of crowded regions, which get a second look, those next to each other alone.
-        i = np.flatnonzero((key[step:] == key[:-step]) & (small[step:] | (step == 1)))
-        if not i.size:
+    key, deeper, sketch, ids = rows[:, 0], rows[:, 1].view(np.uint64), rows[:, 2:4].view(np.uint64), rows[:, 4]
+    # What each row and the next have in common: 0 nothing, 1 the region, and one more for each deeper value.
+    x = deeper[1:] ^ deeper[:-1]
+    common = np.ones(len(x), np.int64)
+    for lane in range(LANES):
+        common += x >> _U(16 * lane) == 0
+    common[key[1:] != key[:-1]] = 0
+    # The least depth at which a row's run is small; where none is, rows next to each other alone are compared.
+    depth = np.full(len(rows), LANES + 2)
+    for level in range(LANES + 1, 0, -1):
+        cut = np.flatnonzero(np.concatenate([[True], common < level, [True]]))
+        size = np.diff(cut)
+        depth[np.repeat(size <= near + 1, size)] = level
+    shared = common
+    for step in range(1, near + 1):
+        if step > 1:
+            shared = np.minimum(shared[:-1], common[step - 1 :])
+        i = np.flatnonzero((shared >= depth[:-step]) | ((step == 1) & (shared > 0)))
+        if i.size:
+            d = _differ(sketch[i], sketch[i + step])
+            close, j = d <= FAR, i + step
+            found.append(np.stack([np.minimum(ids[i], ids[j])[close], np.maximum(ids[i], ids[j])[close], d[close]], 1))
+        if len(shared) < 2:
             break
-        d = _differ(sketch[i], sketch[i + step])
-        near, j = d <= FAR, i + step
-        found.append(np.stack([np.minimum(ids[i], ids[j])[near], np.maximum(ids[i], ids[j])[near], d[near]], 1))
     return np.concatenate(found)
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch], near: int) -> Iterator[pa.RecordBatch]:
     """Neighbours within a range of the order, and the rows at its edges (edge 0: first, 1: last)."""
     part = TaskContext.get().partitionId()
     names = [x.split()[0] for x in _PAIR.split(", ")]
-    kept = np.zeros((0, 6), np.int64)
+    kept = np.zeros((0, 5), np.int64)
     head: np.ndarray | None = None
 
     def pairs(p: np.ndarray) -> pa.RecordBatch:
         p = np.unique(p, axis=0) if len(p) else p
-        null = [pa.nulls(len(p), pa.int32())] * 2 + [pa.nulls(len(p), pa.int64())] * 6
+        null = [pa.nulls(len(p), pa.int32())] * 2 + [pa.nulls(len(p), pa.int64())] * 5
         return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array(p[:, 2].astype(np.int32)), *null], names=names)
 
     def edges(rows: np.ndarray, which: int) -> pa.RecordBatch:
         n = len(rows)
         cols = [pa.nulls(n, pa.int64())] * 2 + [pa.nulls(n, pa.int32()), pa.array(np.full(n, which, np.int32)), pa.array(np.full(n, part, np.int32))]
-        return pa.RecordBatch.from_arrays(cols + [pa.array(rows[:, k]) for k in range(6)], names=names)
+        return pa.RecordBatch.from_arrays(cols + [pa.array(rows[:, k]) for k in range(5)], names=names)
 
     for batch in batches:
         rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], 1)
         if not len(rows):
             continue
-        if head is None or len(head) < NEAR:
-            head = rows[:NEAR] if head is None else np.concatenate([head, rows])[:NEAR]
+        if head is None or len(head) < near:
+            head = rows[:near] if head is None else np.concatenate([head, rows])[:near]
         rows = np.concatenate([kept, rows])
         # ``kept`` is compared with itself again; equal pairs fall away later.
-        yield pairs(_neighbours(rows))
-        kept = rows[-NEAR:]
+        yield pairs(_neighbours(rows, near))
+        kept = rows[-near:]
     if head is not None:
         yield edges(head, 0)
         yield edges(kept, 1)
 
 
-def candidates(entries: DataFrame) -> DataFrame:
+def candidates(entries: DataFrame, near: int = NEAR) -> DataFrame:
     """Distinct pairs (a < b) of neighbours with close sketches, and the bits that differ; staged."""
     spark = entries.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = entries.repartitionByRange(n, *_ORDER).sortWithinPartitions(*_ORDER)
-    out = staged(ranged.mapInArrow(_scan, _PAIR), "neighbours")
-    # At most 2 * NEAR rows for each range, whatever the number of documents.
+    out = staged(map_batches(ranged, lambda it: _scan(it, near), _PAIR), "neighbours")
+    # At most 2 * near rows for each range, whatever the number of documents.
     edge = out.where("edge is not null").select("part", "edge", *[f"e_{x.split()[0]}" for x in _ENTRY.split(", ")]).collect()
     across = []
-    parts = sorted({r["part"] for r in edge})
-    rows = {(p, k): np.array(sorted(tuple(r)[2:] for r in edge if r["part"] == p and r["edge"] == k), np.int64).reshape(-1, 6) for p in parts for k in (0, 1)}
+    rows: dict[tuple[int, int], list[tuple]] = {}
+    for r in edge:
+        rows.setdefault((r["part"], r["edge"]), []).append(tuple(r)[2:])
+    ends = {k: np.array(sorted(v), np.int64) for k, v in rows.items()}
+    parts = sorted({p for p, _ in ends})
     for p, q in zip(parts, parts[1:], strict=False):
-        across += _neighbours(np.concatenate([rows[p, 1], rows[q, 0]])).tolist()
+        across += _neighbours(np.concatenate([ends[p, 1], ends[q, 0]]), near).tolist()
     pairs = out.where("edge is null").select("a", "b", "differ")
     if across:
         pairs = pairs.unionByName(spark.createDataFrame(across, "a long, b long, differ long").withColumn("differ", F.col("differ").cast("int")))
@@ -279,13 +281,14 @@ def full_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, texts in slices(batch.column("text"), SLICE_BYTES):
-                elements, sizes = shingles([t or "" for t in texts], words)
+            for start, end in portions(batch.column("text"), SLICE_BYTES):
+                part = batch.slice(start, end - start)
+                elements, sizes = shingles(part.column("text"), words)
                 ends = np.concatenate([[0], np.cumsum(sizes)]).tolist()
                 items = [elements[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(start, len(texts)), pa.array(items, pa.binary())], names=["id", "items"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(items, pa.binary())], names=["id", "items"])
 
-    return own.mapInArrow(run, "id long, items binary")
+    return map_batches(own, run, "id long, items binary")
 
 
 def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -307,7 +310,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough; staged."""
     x, y = sets.select(F.col("id").alias("a"), F.col("items").alias("x")), sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
     both = pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y")
-    return staged(both.mapInArrow(lambda it: _confirm(it, percent), "a long, b long"), "links")
+    return staged(map_batches(both, lambda it: _confirm(it, percent), "a long, b long"), "links")
 
 
 def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,107 +329,138 @@ def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([root(x) for x in ids], pa.int64())], names=["id", "comp"])
 
 
-def _apart_links(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Links between rows outside the largest component of their region and rows of other components: the first to each component."""
-    key, ids, comp, items = [], [], [], []
-    for b in batches:
-        key.append(b.column("key").to_numpy())
-        ids.append(b.column("id").to_numpy())
-        comp.append(b.column("comp").to_numpy())
-        items += [np.frombuffer(x.as_buffer(), np.uint64) for x in b.column("items")]
-    found: set[tuple[int, int, int, int]] = set()
-    if key:
-        key, ids, comp = (np.concatenate(x) for x in (key, ids, comp))
-        cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
-        for lo, hi in zip(cut.tolist(), cut[1:].tolist(), strict=False):
-            names, back, n = np.unique(comp[lo:hi], return_inverse=True, return_counts=True)
-            if len(names) == 1:
-                continue
-            size = np.array([len(x) for x in items[lo:hi]])
-            starts = np.cumsum(size) - size
-            distinct, codes = np.unique(np.concatenate(items[lo:hi]), return_inverse=True)
-            mark = np.zeros(len(distinct), np.int64)
-            for o in np.flatnonzero(back != n.argmax()).tolist():
-                own = codes[starts[o] : starts[o] + size[o]]
-                mark[own] = 1
-                inter = np.add.reduceat(mark[codes], starts)
-                mark[own] = 0
-                hit = np.flatnonzero((100 * inter >= percent * (size + size[o] - inter)) & (back != back[o]))
-                for h in dict(zip(back[hit][::-1].tolist(), hit[::-1].tolist(), strict=True)).values():
-                    found.add((int(ids[lo + o]), int(ids[lo + h]), int(comp[lo + o]), int(comp[lo + h])))
-    rows = np.array(sorted(found), np.int64).reshape(-1, 4)
-    yield pa.RecordBatch.from_arrays([pa.array(rows[:, k]) for k in range(4)], names=["a", "b", "c_a", "c_b"])
-
-
-_APART = "a long, b long, c_a long, c_b long"
-
-
-def _block_links(table: pa.Table, percent: int) -> pa.Table:
-    """Links between the queries of a block (``asks``) and the rows of a piece of their region: the first to each component."""
-    asks = table.column("asks").to_numpy()
-    ids, comp = (table.column(c).to_numpy() for c in ("id", "comp"))
-    items = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("items")]
-    found: set[tuple[int, int, int, int]] = set()
-    held = np.flatnonzero(~asks)
-    if held.size and held.size < len(asks):
-        size = np.array([len(items[h]) for h in held.tolist()])
-        starts = np.cumsum(size) - size
-        distinct, codes = np.unique(np.concatenate([items[h] for h in held.tolist()]), return_inverse=True)
-        mark = np.zeros(len(distinct), np.int64)
-        for q in np.flatnonzero(asks).tolist():
-            at = np.searchsorted(distinct, items[q])
-            at = at[(at < len(distinct)) & (distinct[np.minimum(at, len(distinct) - 1)] == items[q])]
-            mark[at] = 1
-            inter = np.add.reduceat(mark[codes], starts)
-            mark[at] = 0
-            hit = held[(100 * inter >= percent * (size + len(items[q]) - inter)) & (comp[held] != comp[q])]
-            for h in dict(zip(comp[hit][::-1].tolist(), hit[::-1].tolist(), strict=True)).values():
-                found.add((int(ids[q]), int(ids[h]), int(comp[q]), int(comp[h])))
-    rows = np.array(sorted(found), np.int64).reshape(-1, 4)
-    return pa.table([pa.array(rows[:, k]) for k in range(4)], names=["a", "b", "c_a", "c_b"])
-
-
-def _across_pieces(pieces: DataFrame, several: DataFrame, percent: int) -> DataFrame:
-    """Links inside the regions ``several`` (key), which lie in more than one of ``pieces`` (key, id, comp, items, part)."""
-    rows = pieces.join(several, "key", "left_semi")
-    most = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("most"))
-    asking = staged(rows.join(most, "key").where("comp <> most").drop("most", "part"), "asking")
-    # Queries are dealt to blocks of a piece's size; each block meets each piece of its region.
-    blocks = asking.groupBy("key").agg((1 + F.floor(F.sum(F.octet_length("items")) * 2 / RANGE_BYTES)).cast("int").alias("blocks"))
-    blocks = staged(blocks, "blocks")
-    parts = staged(rows.select("key", "part").distinct(), "parts")
-    asked = asking.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).join(parts, "key")
-    held = rows.join(blocks, "key").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    names = ["key", "part", "block", "id", "comp", "items"]
-    both = asked.select(*names, F.lit(True).alias("asks")).unionByName(held.select(*names, F.lit(False).alias("asks")))
-    return both.groupBy("key", "part", "block").applyInArrow(lambda t: _block_links(t, percent), _APART)
-
-
-def second_look(docs: DataFrame, crowded: DataFrame, comp: DataFrame, words: int, percent: int) -> DataFrame:
-    """a, b, c_a, c_b: links between components of ``comp`` inside crowded regions; staged. ``crowded``: their forest entries."""
-    now = crowded.drop("comp").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    now = staged(now.select(*_ORDER, "comp"), "crowded")
-    mixed = now.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-    now = staged(now.join(mixed, "key", "left_semi").select(*_ORDER, "comp"), "mixed")
-    sets = staged(full_sets(docs, staged(now.select("id").distinct(), "involved"), words).dropDuplicates(["id"]), "sets")
-    whole = now.join(sets, "id")
-    n = 1 + (whole.agg(F.sum(F.octet_length("items"))).first()[0] or 0) // RANGE_BYTES
-    if n == 1:
-        ranged = whole.repartitionByRange(n, *_ORDER).sortWithinPartitions(*_ORDER).select("key", "id", "comp", "items")
-        return staged(ranged.mapInArrow(lambda it: _apart_links(it, percent), _APART), "apart")
-    # Pieces of half the size: a task of _across_pieces holds one and a block of queries.
-    pieces = whole.repartitionByRange(2 * n, *_ORDER).select("key", "id", "comp", "items").withColumn("part", F.spark_partition_id())
-    pieces = staged(pieces, "pieces")
-    several = staged(pieces.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("key"), "several")
-    alone = pieces.join(several, "key", "left_anti").repartition(2 * n, "part").sortWithinPartitions("key", "id").select("key", "id", "comp", "items")
-    within = alone.mapInArrow(lambda it: _apart_links(it, percent), _APART)
-    return staged(within.unionByName(_across_pieces(pieces, several, percent)), "apart")
+# -- crowded regions -------------------------------------------------------------------------
+
+
+def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(BUCKETS, np.int64)
+    for batch in batches:
+        for items in batch.column("items"):
+            np.add.at(total, (np.frombuffer(items.as_buffer(), np.uint64) & _U(BUCKETS - 1)).astype(np.int64), 1)
+    some = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["bucket", "n"])
+
+
+_KEYED = "token long, id long, comp long, size int, place int, sketch_a long, sketch_b long"
+
+
+def _keys(batches: Iterator[pa.RecordBatch], commonness: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
+    """The keys of each row: its rarest shingles, so many that of two similar sets one key is common to both."""
+    for batch in batches:
+        token, place, n, sizes = [], [], [], []
+        for items in batch.column("items"):
+            own = np.frombuffer(items.as_buffer(), np.uint64)
+            order = np.lexsort((own, commonness[(own & _U(BUCKETS - 1)).astype(np.int64)]))
+            first = order[: len(own) * (100 - percent) // 100 + 1]
+            token.append(own[first])
+            place.append(np.arange(len(first)))
+            n.append(len(first))
+            sizes.append(len(own))
+        if not n:
+            continue
+        times = lambda c, n=n, batch=batch: pa.array(np.repeat(batch.column(c).to_numpy(), n))
+        cols = [pa.array(np.concatenate(token).view(np.int64)), times("id"), times("comp"), pa.array(np.repeat(np.array(sizes, np.int32), n)), pa.array(np.concatenate(place).astype(np.int32))]
+        out = pa.RecordBatch.from_arrays([*cols, times("sketch_a"), times("sketch_b")], names=[x.split()[0] for x in _KEYED.split(", ")])
+        for k in range(0, out.num_rows, 1 << 16):
+            yield out.slice(k, 1 << 16)
+
+
+def _close(rows: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs (i, j) of rows of one key may be links between components: by size, by what the key's places leave, by sketch."""
+    si, sj = rows["size"][i], rows["size"][j]
+    left = np.minimum(si - rows["place"][i], sj - rows["place"][j])
+    fit = (rows["comp"][i] != rows["comp"][j]) & (rows["asks"][i] | rows["asks"][j])
+    fit &= (100 * np.minimum(si, sj) >= percent * np.maximum(si, sj)) & ((100 + percent) * left >= percent * (si + sj))
+    k = np.flatnonzero(fit)
+    d = _differ(rows["sketch"][i[k]], rows["sketch"][j[k]])
+    k, d = k[d <= FAR], d[d <= FAR]
+    a, b = rows["id"][i[k]], rows["id"][j[k]]
+    return np.stack([np.minimum(a, b), np.maximum(a, b), d], 1)
+
+
+def _meet(batches: Iterator[pa.RecordBatch], percent: int, most: int) -> Iterator[pa.RecordBatch]:
+    """(a, b, differ): the pairs of each group (token, piece, block) that may be links. Rows come sorted by group."""
+    held: list[pa.RecordBatch] = []
+
+    def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        rows = {c: table.column(c).to_numpy().astype(np.int64) for c in ("token", "piece", "block", "id", "comp", "size", "place")}
+        rows["asks"] = table.column("asks").to_numpy()
+        rows["sketch"] = np.stack([table.column(c).to_numpy() for c in ("sketch_a", "sketch_b")], 1).view(np.uint64)
+        same = np.ones(max(0, table.num_rows - 1), bool)
+        for c in ("token", "piece", "block"):
+            same &= rows[c][1:] == rows[c][:-1]
+        cut = np.flatnonzero(np.concatenate([[True], ~same, [True]]))
+        n = np.diff(cut)
+        group, left = np.repeat(np.arange(len(n)), n), np.repeat(cut[1:], n)
+        few = np.repeat(n <= most, n)
+        found = []
+        for step in range(1, int(n[n <= most].max(initial=1))):
+            i = np.flatnonzero(few & (np.arange(len(group)) + step < left))
+            if not i.size:
+                break
+            found.append(_close(rows, i, i + step, percent))
+        for g in np.flatnonzero(n > most).tolist():
+            every = np.arange(cut[g], cut[g + 1])
+            asking = every[rows["asks"][every]]
+            step = max(1, (1 << 20) // len(every))
+            for k in range(0, len(asking), step):
+                some = asking[k : k + step]
+                found.append(_close(rows, np.repeat(some, len(every)), np.tile(every, len(some)), percent))
+        out = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1]), pa.array(out[:, 2].astype(np.int32))], names=["a", "b", "differ"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.stack([batch.column(c).to_numpy() for c in ("token", "piece", "block")], 1).astype(np.int64)
+        last = np.flatnonzero((key != key[-1]).any(1))
+        # The batch's last group may go on in the next one.
+        stop = int(last[-1]) + 1 if last.size else 0
+        begins = held and any(held[0].column(c)[0].as_py() != key[0, k] for k, c in enumerate(("token", "piece", "block")))
+        if begins or stop:
+            if stop:
+                held.append(batch.slice(0, stop))
+            yield from pairs(pa.Table.from_batches(held))
+            held = []
+        held.append(batch.slice(stop))
+    if held:
+        yield from pairs(pa.Table.from_batches(held))
+
+
+def rest(rows: DataFrame, percent: int, small: int = SMALL, piece: int = PIECE) -> DataFrame:
+    """a, b, differ: pairs of ``rows`` (id, comp, sketch_a, sketch_b, items; staged) of different components; all whose sets are similar enough are among them. Staged."""
+    spark = rows.sparkSession
+    counts = map_batches(rows.select("items"), _bucket_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # at most BUCKETS rows
+    commonness = np.zeros(BUCKETS, np.uint16)
+    for r in counts:
+        commonness[r["bucket"]] = int(8 * np.log2(r["n"]))
+    sent = spark.sparkContext.broadcast(commonness)
+    keyed = staged(map_batches(rows, lambda it: _keys(it, sent.value, percent), _KEYED), "keys")
+    by_comp = keyed.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("n"))
+    groups = by_comp.groupBy("token").agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("most"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    asking = F.col("n") - F.col("most.n")
+    groups = groups.select("token", "n", F.col("most.comp").alias("most"), F.ceil(F.col("n") / piece).cast("int").alias("pieces"), F.ceil(asking / piece).cast("int").alias("blocks"))
+    both = keyed.join(staged(groups, "mixed-keys"), "token")
+    names = ["token", "piece", "block", "id", "comp", "size", "place", "sketch_a", "sketch_b", "asks"]
+    zero, yes, dealt = F.lit(0), F.lit(True), lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    few = both.where(F.col("n") <= small).withColumns({"piece": zero, "block": zero, "asks": yes}).select(*names)
+    large = both.where(F.col("n") > small)
+    asks = large.where("comp <> most").withColumns({"block": dealt("blocks"), "piece": F.explode(F.sequence(zero, F.col("pieces") - 1)), "asks": yes}).select(*names)
+    held = large.withColumns({"piece": dealt("pieces"), "block": F.explode(F.sequence(zero, F.col("blocks") - 1)), "asks": ~yes}).select(*names)
+    met = few.unionByName(asks).unionByName(held).repartition("token", "piece", "block").sortWithinPartitions("token", "piece", "block")
+    pairs = map_batches(met, lambda it: _meet(it, percent, small), "a long, b long, differ int")
+    out = staged(pairs.groupBy("a", "b").agg(F.min("differ").alias("differ")), "rest")
+    drop_staged(keyed)
+    return out
+
+
+# -- components ------------------------------------------------------------------------------
 
 
 def components(links: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     """id, comp (least id of its component) for every end of ``links`` (a, b; staged)."""
     if links.count() <= one_task:
-        return links.select("a", "b").coalesce(1).mapInArrow(_union_find, "id long, comp long")
+        return map_batches(links.select("a", "b").coalesce(1), _union_find, "id long, comp long")
     edges = staged(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "stars")
     before = None
     while True:
@@ -465,28 +499,42 @@ def _plain_ids(docs: DataFrame) -> bool:
     return docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").isEmpty()
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``__row``, which rises with doc_id, nulls last; staged."""
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a number (and its name) that rises with doc_id, nulls last; staged."""
+    row = inner_name(docs, "__row")
     order = [F.asc_nulls_last("doc_id"), F.xxhash64("text")]
-    return staged(docs.orderBy(*order).withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    return staged(docs.orderBy(*order).withColumn(row, F.monotonically_increasing_id()), "numbered"), row
 
 
-def cluster(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``docs``.
+def cluster(docs: DataFrame, words: int = 5, percent: int = 80, **sizes: int) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of ``docs``. ``sizes``: near, small, piece.
 
     Of rows without a doc_id one of each component is kept that has no doc_id at all.
     """
     if _plain_ids(docs):
-        return _cluster(docs, words, percent)
-    rows = _numbered(docs.select("doc_id", "text"))
-    own = _cluster(rows.select(F.col("__row").alias("doc_id"), "text"), words, percent)
-    own = own.select(F.col("doc_id").alias("__row"), "n_shingles", F.col("component_id").alias("__first"), F.col("kept").alias("__kept"))
-    first = rows.select(F.col("__row").alias("__first"), F.col("doc_id").alias("component_id"))
-    out = own.join(rows.select("__row", "doc_id"), "__row").join(first, "__first")
+        return _cluster(docs, words, percent, **sizes)
+    rows, row = _numbered(docs.select("doc_id", "text"))
+    own = _cluster(rows.select(F.col(row).alias("doc_id"), "text"), words, percent, **sizes)
+    own = own.select(F.col("doc_id").alias(row), "n_shingles", F.col("component_id").alias("__first"), F.col("kept").alias("__kept"))
+    first = rows.select(F.col(row).alias("__first"), F.col("doc_id").alias("component_id"))
+    out = own.join(rows.select(row, "doc_id"), row).join(first, "__first")
     return out.select("doc_id", "n_shingles", "component_id", (F.col("__kept") | F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))).alias("kept"))
 
 
-def _cluster(docs: DataFrame, words: int, percent: int) -> DataFrame:
+def _settled(comp: DataFrame, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``comp`` after all links among ``pairs`` (a, b, differ; staged): best first, as long as a pair's ends are apart."""
+    most = 1
+    while not pairs.isEmpty():
+        ends = pairs.select("a", "b", "differ", F.explode(F.array("a", "b")).alias("own"))
+        rank = F.row_number().over(Window.partitionBy("own").orderBy("differ", "a", "b"))
+        chosen = staged(ends.withColumn("rank", rank).where(F.col("rank") <= most).select("a", "b").distinct(), "chosen")
+        comp = _merged(comp, _across(confirm(chosen, sets, percent), comp))
+        pairs = staged(_across(pairs.join(chosen, ["a", "b"], "left_anti"), comp).select("a", "b", "differ"), "apart")
+        most *= 4
+    return comp
+
+
+def _cluster(docs: DataFrame, words: int, percent: int, near: int = NEAR, small: int = SMALL, piece: int = PIECE) -> DataFrame:
     """The same where every row has a doc_id of its own."""
     spark = docs.sparkSession
     signed = staged(signatures(docs, words), "minhash")
@@ -495,25 +543,26 @@ def _cluster(docs: DataFrame, words: int, percent: int) -> DataFrame:
     classes = staged(filled.groupBy(*same).agg(F.min("doc_id").alias("rep")), "classes")
     reps = filled.join(classes, same).where(F.col("doc_id") == F.col("rep"))
     reps = reps.groupBy(F.col("doc_id").alias("id")).agg(*[F.first(c).alias(c) for c in ("keys", "deeper", "sketch_a", "sketch_b")])
-    entries = staged(reps.withColumn("comp", F.col("id")).mapInArrow(_entries, _ENTRY), "forest")
-    crowded = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > NEAR + 1).select("key")
-    crowded = staged(entries.join(crowded, "key", "left_semi"), "crowded")
+    entries = staged(map_batches(reps, _entries, _ENTRY), "forest")
     comp = spark.createDataFrame([], "id long, comp long")
-    pairs = candidates(entries)
-    most = 1
+    pairs = candidates(entries, near)
     if not pairs.isEmpty():
         ids = staged(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "involved")
         sets = staged(full_sets(docs, ids, words).dropDuplicates(["id"]), "sets")
-    while not pairs.isEmpty():
-        # A document has at most 2 * NEAR * TREES candidates, so these windows are small.
-        ends = pairs.select("a", "b", "differ", F.explode(F.array("a", "b")).alias("own"))
-        rank = F.row_number().over(Window.partitionBy("own").orderBy("differ", "a", "b"))
-        chosen = staged(ends.withColumn("rank", rank).where(F.col("rank") <= most).select("a", "b").distinct(), "chosen")
-        comp = _merged(comp, _across(confirm(chosen, sets, percent), comp))
-        pairs = staged(_across(pairs.join(chosen, ["a", "b"], "left_anti"), comp).select("a", "b", "differ"), "apart")
-        most *= 4
-    if not crowded.isEmpty():
-        comp = _merged(comp, second_look(docs, crowded, comp, words, percent))
+        comp = _settled(comp, pairs, sets, percent)
+        drop_staged(sets)
+    crowded = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > near + 1).select("key")
+    crowded = entries.select("key", "id", "sketch_a", "sketch_b").join(crowded, "key", "left_semi")
+    crowded = staged(crowded.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "crowded")
+    mixed = crowded.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
+    apart = crowded.join(mixed, "key", "left_semi").groupBy("id").agg(*[F.first(c).alias(c) for c in ("comp", "sketch_a", "sketch_b")])
+    apart = staged(apart, "crowded-apart")
+    if not apart.isEmpty():
+        sets = full_sets(docs, apart.select("id"), words).dropDuplicates(["id"])
+        rows = staged(apart.join(sets, "id"), "crowded-sets")
+        comp = _settled(comp, rest(rows, percent, small, piece), rows.select("id", "items"), percent)
+        drop_staged(rows)
+    drop_staged(entries, crowded)
     classes = classes.join(comp.withColumnRenamed("id", "rep"), "rep", "left")
     out = signed.select("doc_id", *same).join(classes, same, "left")
     own = F.when(F.col("n_shingles") > 0, F.coalesce("comp", "rep")).otherwise(F.col("doc_id"))
@@ -528,6 +577,6 @@ def dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     if _plain_ids(docs):
         kept = staged(_cluster(docs, words, percent).where("kept").select("doc_id"), "kept")
         return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
-    rows = _numbered(docs)
-    kept = _cluster(rows.select(F.col("__row").alias("doc_id"), "text"), words, percent).where("kept")
-    return rows.join(staged(kept.select(F.col("doc_id").alias("__row")), "kept"), "__row", "left_semi").select(*docs.columns)
+    rows, row = _numbered(docs)
+    kept = _cluster(rows.select(F.col(row).alias("doc_id"), "text"), words, percent).where("kept")
+    return rows.join(staged(kept.select(F.col("doc_id").alias(row)), "kept"), row, "left_semi").select(*docs.columns)

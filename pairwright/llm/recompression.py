@@ -20,7 +20,7 @@ up to ``MAX_SENT_BYTES`` and joined by a shuffle beyond.
 
 Words are runs of ``[^\\x20\\x09-\\x0D]+``, unchanged. Defined cases: null and empty texts have no words;
 texts shorter than a window stay; null doc_ids come first; rows of equal doc_id and text are one document and
-keep the same words, equal doc_ids with other texts are ordered by a hash of the text; other columns pass;
+keep the same words, equal doc_ids with other texts are ordered by a hash of the text; other columns pass, whatever their names;
 an empty table gives no rows. Words of one text are at most 2**30, which a string's limit of 2 GB ensures.
 """
 
@@ -33,10 +33,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import drop_staged, staged
-from .neardup import mix, word_hashes
-from .sentencepiece import slices
+from .common import drop_staged, inner_name, map_batches, staged
+from .neardup import mix
+from .words import portions, word_names
 
 #: r: runs, p: pairs.
 ROUNDS = "rpppp"
@@ -46,7 +47,7 @@ MAX_SENT_BYTES = 24 << 20
 #: Text that a task holds as symbols at once, unless one document is longer: about 100 bytes of arrays for each of text.
 SLICE_BYTES = 1 << 20
 _U = np.uint64
-_P1, _P2, _P3 = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93), _U(0xC2B2AE3D27D4EB4F)
+_P1, _P2 = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)
 _words = re.compile(r"[^ \t-\r]+").findall
 
 
@@ -96,9 +97,9 @@ class Symbols:
         return out
 
 
-def parse(texts: list[str]) -> tuple[dict[int, Symbols], np.ndarray, np.ndarray, np.ndarray]:
+def parse(texts: pa.Array) -> tuple[dict[int, Symbols], np.ndarray, np.ndarray, np.ndarray]:
     """(symbols after the rounds of LEVELS, word names with a 0 around each text, place of each text's first word, words per text)."""
-    h, counts = word_hashes(texts, lower=False)
+    h, _, counts = word_names(texts)
     h[h == 0] = _U(1)
     doc = np.repeat(np.arange(len(texts)), counts)
     seq = np.zeros(len(h) + len(texts) + 1, _U)
@@ -123,7 +124,7 @@ def _whole(seq: np.ndarray, window: int) -> np.ndarray:
     return out
 
 
-def anchors(texts: list[str], window: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+def anchors(texts: pa.Array, window: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """([text, level index, place in text, name, stretch before, stretch behind] of the symbols that windows go by, first places, words per text)."""
     levels, seq, first, counts = parse(texts)
     open_ = _whole(seq, window)
@@ -155,8 +156,9 @@ _ANCHORED = "d long, t int, n_words long, names array<long>, codes array<long>,
 
 def _anchor_batches(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for start, texts in slices(batch.column("text"), SLICE_BYTES):
-            (doc, level, at, name, before, behind), _, counts = anchors([x or "" for x in texts], window)
+        for start, end in portions(batch.column("text"), SLICE_BYTES):
+            texts = batch.column("text").slice(start, end - start)
+            (doc, level, at, name, before, behind), _, counts = anchors(texts, window)
             cut = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(texts)))]).astype(np.int32)
             code = (at.astype(np.int64) << 2) | level
             reach = np.stack([before, behind], 1).astype(np.uint16)
@@ -204,8 +206,9 @@ def _spread(runs: np.ndarray) -> np.ndarray:
 def _window_batches(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """128-bit name and place (rank of the document, start) of each candidate window."""
     for batch in batches:
-        for start, texts in slices(batch.column("text"), SLICE_BYTES):
-            h, counts = word_hashes([x or "" for x in texts], lower=False)
+        for start, end in portions(batch.column("text"), SLICE_BYTES):
+            texts = batch.column("text").slice(start, end - start)
+            h, h2, counts = word_names(texts)
             base = np.cumsum(counts) - counts
             at, place = [], []
             for k, (rank, runs) in enumerate(zip(batch.column("rank").slice(start, len(texts)).to_pylist(), batch.column("runs").slice(start, len(texts)), strict=True)):
@@ -215,8 +218,7 @@ def _window_batches(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[
             at, place = np.concatenate(at), np.concatenate(place)
             a, b = np.zeros(len(at), _U), np.zeros(len(at), _U)
             for k in range(window):
-                x = h[at + k]
-                a, b = (a * _P1 + x) ^ (a >> _U(31)), (b * _P2 + mix(x + _P3)) ^ (b >> _U(29))
+                a, b = (a * _P1 + h[at + k]) ^ (a >> _U(31)), (b * _P2 + h2[at + k]) ^ (b >> _U(29))
             for i in range(0, len(at), 1 << 18):
                 cut = slice(i, i + (1 << 18))
                 yield pa.RecordBatch.from_arrays([pa.array(mix(a[cut]).view(np.int64)), pa.array(mix(b[cut]).view(np.int64)), pa.array(place[cut])], names=["a", "b", "place"])
@@ -254,20 +256,23 @@ def _by_document(docs: DataFrame, table: DataFrame, values: str | None, how: str
     return docs.join(other, docs["d"].eqNullSafe(other["__d"]) & (docs["t"] == other["__t"]), how).drop("__d", "__t")
 
 
+def _key() -> Column:
+    return F.unhex(F.sha2("text", 256))
+
+
 def copies(docs: DataFrame) -> DataFrame:
-    """key, first (doc_id in a struct): texts that several rows hold; staged."""
-    text = docs.where("text is not null").select(F.unhex(F.md5("text")).alias("key"), "doc_id")
-    # The least doc_id, null before all, with buffers of fixed width.
+    """key, least, has_null: texts that several rows hold, by SHA-256, and the first doc_id of each (null before all); staged."""
+    text = docs.where("text is not null").select(_key().alias("key"), "doc_id")
     groups = text.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"), F.max(F.col("doc_id").isNull()).alias("has_null"))
     return staged(groups.where("n > 1").select("key", "least", "has_null"), "copies")
 
 
-def _without_copies(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """doc_id, text, __copy: whether an earlier doc_id has the same text."""
+def _flagged(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """doc_id, text, copy (whether an earlier doc_id has the same text) and row (all columns of ``docs``)."""
     groups = F.broadcast(groups) if groups.count() * 64 <= MAX_SENT_BYTES else groups
-    own = docs.withColumn("__key", F.unhex(F.md5("text"))).join(groups.withColumnRenamed("key", "__key"), "__key", "left").drop("__key")
+    own = docs.select(F.struct("*").alias("row"), "doc_id", "text", _key().alias("key")).join(groups, "key", "left")
     later = F.when(F.col("has_null"), F.col("doc_id").isNotNull()).otherwise(F.col("doc_id") > F.col("least"))
-    return own.withColumn("__copy", F.coalesce(later, F.lit(False))).drop("least", "has_null")
+    return own.select("row", "doc_id", "text", F.coalesce(later, F.lit(False)).alias("copy"))
 
 
 def _ranked(found: DataFrame) -> DataFrame:
@@ -284,9 +289,9 @@ def _ranked(found: DataFrame) -> DataFrame:
 
 
 def repeated_words(docs: DataFrame, window: int = 20) -> DataFrame:
-    """d, t, cuts (words start, end, ...): what goes from texts that aren't copies of earlier ones; staged. ``docs``: doc_id, text, __copy."""
-    own = _keyed(docs.where(~F.col("__copy")))
-    each = staged(own.mapInArrow(lambda it: _anchor_batches(it, window), _ANCHORED), "symbols").where(F.col("n_words") >= window)
+    """d, t, cuts (words start, end, ...): what goes from texts that aren't copies of earlier ones; staged. ``docs``: doc_id, text, copy."""
+    own = _keyed(docs.where(~F.col("copy")))
+    each = staged(map_batches(own, lambda it: _anchor_batches(it, window), _ANCHORED), "symbols").where(F.col("n_words") >= window)
     rows = each.select("d", "t", F.explode(F.arrays_zip("names", "codes")).alias("x"))
     rows = rows.select("x.names", "d", (F.shiftleft(F.col("t").cast("long"), 34) + F.col("x.codes")).alias("code"))
     # Of a name that occurs once, the least doc_id and code are those of its one occurrence.
@@ -295,23 +300,23 @@ def repeated_words(docs: DataFrame, window: int = 20) -> DataFrame:
     unique = once.groupBy(F.col("d").alias("u"), F.col("t").alias("v")).agg(F.collect_list("code").alias("unique"))
     known = each.select("d", "t", "n_words", "codes", "stretch").join(unique, F.col("d").eqNullSafe(F.col("u")) & (F.col("t") == F.col("v")), "left")
     known = known.select("n_words", "codes", "stretch", "unique", "d", "t")
-    found = staged(known.mapInArrow(lambda it: _candidate_batches(it, window), "d long, t int, runs array<int>").dropDuplicates(["d", "t"]), "repeat-runs")
+    found = staged(map_batches(known, lambda it: _candidate_batches(it, window), "d long, t int, runs array<int>").dropDuplicates(["d", "t"]), "repeat-runs")
     drop_staged(each)
     found = _ranked(found)
     texts = _by_document(own, found, "runs", "inner").select("text", "rank", "runs")
-    windows = texts.mapInArrow(lambda it: _window_batches(it, window), "a long, b long, place long")
+    windows = map_batches(texts, lambda it: _window_batches(it, window), "a long, b long, place long")
     first = windows.groupBy("a", "b").agg(F.min("place").alias("place"))
     first = first.groupBy(F.shiftright("place", 30).alias("rank")).agg(F.collect_list(F.col("place").bitwiseAND(F.lit((1 << 30) - 1))).alias("firsts"))
-    cuts = found.join(first, "rank", "left").select("d", "t", "runs", "firsts").mapInArrow(lambda it: _cut_batches(it, window), "d long, t int, cuts array<int>")
+    cuts = map_batches(found.join(first, "rank", "left").select("d", "t", "runs", "firsts"), lambda it: _cut_batches(it, window), "d long, t int, cuts array<int>")
     return staged(cuts.where(F.size("cuts") > 0), "repeat-cuts")
 
 
 def _keep_batches(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for start, texts in slices(batch.column("text")):
-            part = batch.slice(start, len(texts))
+        for start, end in portions(batch.column("text"), SLICE_BYTES):
+            part = batch.slice(start, end - start)
             n, gone, kept = [], [], []
-            for text, copy, cuts in zip(texts, part.column("__copy").to_pylist(), part.column("cuts").to_pylist(), strict=True):
+            for text, copy, cuts in zip(part.column("text").to_pylist(), part.column("copy").to_pylist(), part.column("cuts").to_pylist(), strict=True):
                 words = _words(text or "")
                 total = len(words)
                 if copy and total >= window:
@@ -322,16 +327,15 @@ def _keep_batches(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa
                 n.append(total)
                 gone.append(total - len(words))
                 kept.append(" ".join(words))
-            new = {"__n_words": pa.array(n, pa.int64()), "__n_removed": pa.array(gone, pa.int64()), "__kept": pa.array(kept, pa.string())}
-            yield pa.RecordBatch.from_arrays([new.get(c, part.column(i)) for i, c in enumerate(part.schema.names)], names=part.schema.names)
+            yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=["row", "n_words", "n_removed", "kept"])
 
 
 def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
-    """``docs``, all columns, with __n_words, __n_removed and __kept (the words that stay, joined by a space)."""
-    flagged = _without_copies(docs.select("doc_id", "text"), copies(docs))
-    cuts = repeated_words(flagged, window)
-    own = _without_copies(docs, copies(docs)).withColumns({"d": F.col("doc_id"), "t": _text_bits()})
-    both = _by_document(own, cuts, "cuts", "left")
-    out = both.select(*docs.columns, "__copy", "cuts", F.lit(0).cast("long").alias("__n_words"), F.lit(0).cast("long").alias("__n_removed"), F.lit("").alias("__kept"))
-    return out.mapInArrow(lambda it: _keep_batches(it, window), out.schema).drop("__copy", "cuts")
-
+    """``docs``, all columns, with __n_words, __n_removed and __kept (the words that stay, joined by a space); one more underscore where ``docs`` has such a name."""
+    groups = copies(docs.select("doc_id", "text"))
+    cuts = repeated_words(_flagged(docs.select("doc_id", "text"), groups), window)
+    own = _flagged(docs, groups).withColumns({"d": F.col("doc_id"), "t": _text_bits()})
+    both = _by_document(own, cuts, "cuts", "left").select("row", "text", "copy", "cuts")
+    schema = StructType([both.schema["row"], *(StructField(k, v) for k, v in (("n_words", LongType()), ("n_removed", LongType()), ("kept", StringType())))])
+    out = map_batches(both, lambda it: _keep_batches(it, window), schema)
+    return out.select("row.*", *[F.col(c).alias(inner_name(docs, f"__{c}")) for c in ("n_words", "n_removed", "kept")])

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pairwright.llm import recompression
@@ -77,7 +78,7 @@ def test_equal_substrings_get_equal_symbols_inside():
     rng = random.Random(9)
     middle = [rng.choice("abcdefgh") for _ in range(200)]
     texts = [" ".join([rng.choice("xyz") for _ in range(50)] + middle + [rng.choice("uvw") for _ in range(30)]) for _ in range(2)]
-    levels, _, first, _ = recompression.parse(texts)
+    levels, _, first, _ = recompression.parse(pa.array(texts))
     s = levels[5]
     for k in (0, 1):
         low, high = first[k] + 50, first[k] + 250

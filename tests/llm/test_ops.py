@@ -349,17 +349,55 @@ def test_near_duplicates(spark, monkeypatch, one_task):
         assert neardup.cluster(frame(spark, rows).limit(0)).count() == 0
 
 
-def test_second_look_compares_across_pieces(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "RANGE_BYTES", 2000)
-    word = lambda a, k: f"w{a}x{k}"
-    rows = [(d, " ".join(word(d, k) for k in range(40))) for d in range(1, 61)]
-    rows += [(100, rows[0][1] + " more"), (101, rows[29][1] + " more"), (200, "other " + rows[9][1])]
-    # One region holds all but 200; its order puts copies far from each other. 200 lies in a small region with 10.
-    crowded = [(7, d, 0, 0, d, d) for d, _ in rows if d < 200] + [(8, 0, 0, 0, 10, 10), (8, 1, 0, 0, 200, 200)]
-    crowded = spark.createDataFrame(crowded, "key long, deeper long, sketch_a long, sketch_b long, id long, comp long")
-    comp = spark.createDataFrame([(d, 2) for d in range(2, 21)], "id long, comp long")
-    got = neardup.second_look(frame(spark, rows), crowded, comp, 2, 80).collect()
-    assert {tuple(sorted((r["a"], r["b"]))) for r in got} == {(1, 100), (30, 101), (10, 200)}
+@pytest.mark.parametrize("sizes", [{}, {"near": 2, "small": 2, "piece": 3}, {"near": 1, "small": 10, "piece": 20}])
+def test_crowded_regions_lose_no_link(spark, sizes):
+    rng = random.Random(31)
+    rows = []
+    for family in range(3):
+        # Variants of one text: some near the next one alone, some near nothing, so that regions hold many components.
+        base = [f"f{family}w{k}" for k in range(120)]
+        for k in range(60):
+            words = list(base)
+            for at in rng.sample(range(120), rng.randrange(4, 14)):
+                words[at] = f"v{family}x{k if rng.random() < 0.7 else k // 2}y{at}"
+            rows.append((len(rows), " ".join(words)))
+    rows += odd_documents(32, 30)[:60]
+    rows = [(k, t) for k, (_, t) in enumerate(rows)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.cluster(frame(spark, rows), words=2, **sizes).collect()}
+    want = plain_clusters(rows, 2, 80)
+    assert len({c for d, (_, c) in want.items() if d < 180}) > 20
+    assert got == want
+
+
+def test_keys_of_crowded_regions_hold_every_link():
+    """The pairs that ``_keys`` and ``_meet`` name, against all pairs."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, 200).astype(np.uint64)
+    sets = []
+    for _ in range(120):
+        own = base[: rng.integers(150, 201)].copy()
+        at = rng.choice(len(own), rng.integers(0, 40), replace=False)
+        own[at] = rng.integers(0, 2**63, len(at))
+        sets.append(np.unique(own))
+    commonness = np.zeros(neardup.BUCKETS, np.uint16)
+    for s in sets:
+        np.add.at(commonness, (s & np.uint64(neardup.BUCKETS - 1)).astype(int), 1)
+    n = len(sets)
+    cols = {"id": np.arange(n), "comp": np.arange(n), "sketch_a": np.zeros(n, np.int64), "sketch_b": np.zeros(n, np.int64)}
+    batch = pa.RecordBatch.from_pydict(cols | {"items": [s.tobytes() for s in sets]})
+    keyed = pa.Table.from_batches(neardup._keys(iter([batch]), commonness, 80)).sort_by("token")
+    zero = pa.array(np.zeros(keyed.num_rows, np.int32))
+    keyed = keyed.append_column("piece", zero).append_column("block", zero).append_column("asks", pa.array(np.ones(keyed.num_rows, bool)))
+    links = {(a, b) for a in range(n) for b in range(a + 1, n) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))}
+    assert len(links) > 100
+    for most, size in ((64, 1000), (3, 1000), (64, 7)):
+        found = set()
+        for out in neardup._meet(iter(keyed.to_batches(max_chunksize=size)), 80, most):
+            found |= set(zip(out.column("a").to_pylist(), out.column("b").to_pylist(), strict=True))
+        assert links <= found
+        assert len(found) < n * n / 4
 
 
 def test_null_and_repeated_ids_lose_no_text(spark):
