@@ -9,7 +9,8 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _UNSET: dict[str, str] = {}
 #: Bytes of rows that Spark puts into one Arrow batch: its own default, 64 MB, is much for workers of small executors.
@@ -83,6 +84,16 @@ def inner_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def packed(df: DataFrame, apart: str) -> Column:
+    """``row``: all columns of ``df`` but ``apart`` as one, so that no inner name clashes with them."""
+    return F.struct(F.lit(0).alias("0"), *[F.col(f"`{c}`") for c in df.columns if c != apart]).alias("row")
+
+
+def unpacked(df: DataFrame, apart: str) -> list[Column]:
+    """The columns of ``df`` in their order, from ``row`` and ``apart``."""
+    return [F.col(apart) if c == apart else F.col(f"row.`{c}`") for c in df.columns]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import map_batches, packed, unpacked
 from .words import LETTERS, portions, split
 
 MAX_BLOCK_BYTES = 32 << 20
@@ -203,9 +203,9 @@ def _mark(texts: pa.Array, bench: Benchmark, spans: list[list[int]], items: list
 
 
 def mark_documents(docs: DataFrame, benchmark: DataFrame, window: int = 8) -> DataFrame:
-    """row (all columns of ``docs``), n_words, spans (word bounds of what the benchmark covers: start, end, ...) and items (their names)."""
+    """row (all columns of ``docs`` but text), text, n_words, spans (word bounds of what the benchmark covers: start, end, ...) and items (their names)."""
     sc = docs.sparkSession.sparkContext
-    own = docs.select(F.struct("*").alias("row"), "text")
+    own = docs.select(packed(docs, "text"), "text")
     own = own.withColumns({"n_words": F.lit(0).cast("long"), "spans": F.array().cast("array<int>"), "items": F.array().cast("array<string>")})
     for items in _blocks(benchmark):
         sent = sc.broadcast(items)
@@ -220,7 +220,7 @@ def mark_documents(docs: DataFrame, benchmark: DataFrame, window: int = 8) -> Da
                     yield pa.RecordBatch.from_arrays(new, names=["row", "text", "n_words", "spans", "items"])
 
         own = map_batches(own, run, own.schema)
-    return own.select("row", "n_words", "spans", F.array_distinct("items").alias("items"))
+    return own.select("row", "text", "n_words", "spans", F.array_distinct("items").alias("items"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_items: int = 1) -> DataFrame:
@@ -236,7 +236,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_it
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_items: int = 1) -> DataFrame:
     """The rows of ``docs``, all columns, that hold fewer than ``min_items`` items."""
-    return mark_documents(docs, benchmark, window).where(F.size("items") < min_items).select("row.*")
+    return mark_documents(docs, benchmark, window).where(F.size("items") < min_items).select(*unpacked(docs, "text"))
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, min_words: int = 8) -> DataFrame:

@@ -32,15 +32,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .sentencepiece import slices
+from .common import inner_name, map_batches, packed, unpacked
+from .words import portions
 
 # Fixed values of HTML.
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label map mark nobr q ruby rb rp rt s samp small span strike strong sub sup time tt u var".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label map mark nobr q ruby rb rp rt s samp small span strike strong sub sup time tt u var"
+    " math mi mn mo ms mtext mrow mfrac msup msub msubsup msqrt mroot mstyle mspace mover munder munderover mpadded mphantom menclose mmultiscripts semantics".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style noscript template iframe svg math title textarea select button object canvas audio video head".split())
+SILENT = frozenset("script style noscript template iframe svg annotation annotation-xml title textarea select button object canvas audio video head".split())
 #: Tags that say what a box is for: the last two of them above a block are a feature together.
 TELLING = frozenset("article aside footer form header main nav section".split())
 #: Of these, those that run to the page's end if they aren't closed.
@@ -55,6 +58,8 @@ TELLTALE = frozenset(
     "cookie cookies consent subscribe newsletter advertisement sponsored copyright privacy terms share tweet follow login register reply replies comment comments related copy rights reserved menu search sitemap contact".split()
 )
 _plain = re.compile(r"[a-z]+").findall
+#: Boxes nested deeper than this, and words of a tag beyond so many, give no features of their own; their text counts as any other.
+DEEPEST, MOST_WORDS = 256, 64
 
 
 def _attribute_words(attributes: str) -> tuple[str, ...]:
@@ -65,19 +70,19 @@ def _attribute_words(attributes: str) -> tuple[str, ...]:
         for w in _name.findall(value):
             w = w.lower()
             out.append(w[:-1] if len(w) > 3 and w.endswith("s") and not w.endswith("ss") else w)
-    return tuple(dict.fromkeys(out))
+    return tuple(dict.fromkeys(out))[:MOST_WORDS]
 
 
 class Node:
     """A chain of block-level ancestors: the tag and words of the last, and the features of all."""
 
-    __slots__ = ("tag", "above", "nearest", "chain", "children", "score")
+    __slots__ = ("tag", "depth", "above", "nearest", "chain", "children", "score")
 
     def __init__(self, tag: str, words: tuple[str, ...], parent: Node | None) -> None:
-        self.tag = tag
+        self.tag, self.depth = tag, parent.depth + 1 if parent else 0
         own = {f"above:{tag}", *(f"word:{w}" for w in words)}
         above = parent.above if parent else frozenset()
-        self.above = above if own <= above else above | own
+        self.above = above if own <= above or self.depth > DEEPEST else above | own
         self.nearest = (f"in:{tag}", *(f"near:{w}" for w in words)) if words or tag not in ("div", "p", "li", "ul", "ol", "tr", "td", "table", "tbody", "h1", "h2", "h3", "h4") or not parent else parent.nearest
         chain = parent.chain if parent else ("", "")
         self.chain = (chain[1], tag) if tag in TELLING else chain
@@ -115,6 +120,7 @@ def blocks(page: str, trees: Trees) -> list[tuple[str, Node, int]]:
     pieces: list[str] = []
     linked, in_link, node = 0, False, trees.root
     at, n = 0, len(page)
+    never: set[str] = set()  # tags that nothing closes any more
 
     def close() -> None:
         nonlocal pieces, linked, in_link
@@ -161,7 +167,9 @@ def blocks(page: str, trees: Trees) -> list[tuple[str, Node, int]]:
             if tag not in ("button", "object", "canvas"):
                 close()
             if not ends and not attributes.endswith("/"):
-                stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>" + ("|(?=<body[ >])" if tag == "head" else ""), re.I).search(page, at)
+                stop = None if tag in never else re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>" + ("|(?=<body[ >])" if tag == "head" else ""), re.I).search(page, at)
+                if stop is None:
+                    never.add(tag)
                 at = stop.end() if stop else n if tag in RAW else at
         elif tag in VOID:
             if tag == "hr":
@@ -558,15 +566,16 @@ def default_field(n_pages: int = 1200, seed: int = 5) -> Field:
 def extract(pages: DataFrame, field: Field | None = None, n_pages: int = 1200) -> DataFrame:
     """``pages``, all columns, with __text (main text) and __n_blocks (leaf blocks of the page)."""
     sent = pages.sparkSession.sparkContext.broadcast(field or default_field(n_pages))
-    out = pages.withColumns({"__text": F.lit("").cast("string"), "__n_blocks": F.lit(0).cast("long")})
+    own = pages.select(packed(pages, "html"), "html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sent.value
+        field = sent.value
         for batch in batches:
-            for start, texts in slices(batch.column("html"), 2 << 20):
-                part = batch.slice(start, len(texts))
-                found = own.decode([t or "" for t in texts])
-                new = {"__text": pa.array([" ".join(t for t, main in b if main) for b in found], pa.string()), "__n_blocks": pa.array([len(b) for b in found], pa.int64())}
-                yield pa.RecordBatch.from_arrays([new.get(c, part.column(i)) for i, c in enumerate(part.schema.names)], names=part.schema.names)
-
-    return out.mapInArrow(run, out.schema)
+            for start, end in portions(batch.column("html"), 2 << 20):
+                part = batch.slice(start, end - start)
+                found = field.decode([t or "" for t in part.column("html").to_pylist()])
+                texts = pa.array([" ".join(t for t, main in b if main) for b in found], pa.string())
+                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("html"), texts, pa.array([len(b) for b in found], pa.int64())], names=["row", "html", "text", "n_blocks"])
+
+    out = map_batches(own, run, StructType([own.schema["row"], own.schema["html"], StructField("text", StringType()), StructField("n_blocks", LongType())]))
+    return out.select(*unpacked(pages, "html"), *[F.col(c).alias(inner_name(pages, f"__{c}")) for c in ("text", "n_blocks")])

@@ -7,7 +7,7 @@ is removed: the positions that the later windows cover are merged per document a
 The first occurrence is the least (doc_id, text hash, line), null doc_ids first. Rows of equal
 doc_id and text are one document and keep the same lines. Null texts stay null; texts of fewer than
 three lines stay as they are; a text that loses all lines becomes empty and its row stays. Empty
-tables give no rows. Other columns pass unchanged, names of ours that clash included.
+tables give no rows. Other columns pass unchanged, whatever their names.
 
 Two shuffles of fixed-width window rows; a window that a third of all documents share is aggregated
 on the map side and joined by an equi-join that the adaptive planner can split.
@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import inner_name, packed
+
 WIDTH = 3
 
 
@@ -48,14 +50,13 @@ def later_windows(docs: DataFrame) -> DataFrame:
     return later.groupBy("d", "th").agg(F.sort_array(F.collect_set("pos")).alias("starts"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with text replaced by the kept lines, and __n_lines, __n_removed (0 for null texts)."""
+def _deduped(docs: DataFrame) -> DataFrame:
+    """row (all columns of ``docs`` but text), text, new (the kept lines), n_lines, n_removed (0 for null texts)."""
     found = later_windows(docs)
-    found = found.select(F.col("d").alias("__d"), F.col("th").alias("__found"), F.col("starts").alias("__starts"))
-    own = docs.withColumn("__th", F.xxhash64("text"))
-    both = own.join(found, own["doc_id"].eqNullSafe(found["__d"]) & (own["__th"] == found["__found"]), "left")
-    lines, starts, m = F.col("__lines"), F.col("__starts"), F.size("__starts")
-    both = both.withColumn("__lines", _lines(F.col("text")))
+    own = docs.select(packed(docs, "text"), F.col("doc_id").alias("id"), "text", F.xxhash64("text").alias("own"))
+    both = own.join(found, F.col("id").eqNullSafe(F.col("d")) & (F.col("own") == F.col("th")), "left")
+    lines, starts, m = F.col("lines"), F.col("starts"), F.size("starts")
+    both = both.withColumn("lines", _lines(F.col("text")))
     gaps = F.transform(
         F.sequence(F.lit(0), m),
         lambda i: F.struct(
@@ -65,15 +66,27 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     )
     gaps = F.filter(gaps, lambda g: g["e"] > g["s"])
     kept = F.flatten(F.transform(gaps, lambda g: F.slice(lines, g["s"] + 1, g["e"] - g["s"])))
-    kept = F.when(starts.isNull(), lines).otherwise(kept)
-    both = both.withColumn("__kept", kept)
+    both = both.withColumn("kept", F.when(starts.isNull(), lines).otherwise(kept))
     size = lambda c: F.when(F.col("text").isNull(), 0).otherwise(F.size(c)).cast("long")
-    out = both.withColumns({"__n_lines": size("__lines"), "__n_removed": size("__lines") - size("__kept")})
-    out = out.withColumn("text", F.when(starts.isNull(), F.col("text")).otherwise(F.array_join("__kept", "\n")))
-    return out.select(*docs.columns, "__n_lines", "__n_removed")
+    new = F.when(starts.isNull(), F.col("text")).otherwise(F.array_join("kept", "\n"))
+    return both.select("row", new.alias("new"), size("lines").alias("n_lines"), (size("lines") - size("kept")).alias("n_removed"))
+
+
+def _with_text(docs: DataFrame, new: Column, length: bool) -> list[Column]:
+    """The columns of ``docs`` with ``new`` as text (and its length as n_chars)."""
+    out = []
+    for c in docs.columns:
+        n_chars = F.length(new).cast(docs.schema["n_chars"].dataType).alias(c) if length and c == "n_chars" else None
+        out.append(new.alias(c) if c == "text" else n_chars if n_chars is not None else F.col(f"row.`{c}`"))
+    return out
+
+
+def dedup_lines(docs: DataFrame) -> DataFrame:
+    """``docs`` with text replaced by the kept lines, and __n_lines, __n_removed (0 for null texts); one more underscore where ``docs`` has such a name."""
+    more = [F.col(c).alias(inner_name(docs, f"__{c}")) for c in ("n_lines", "n_removed")]
+    return _deduped(docs).select(*_with_text(docs, F.col("new"), False), *more)
 
 
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     """``docs``, all columns, with the kept lines as text (and n_chars, if there is one, as its length)."""
-    out = dedup_lines(docs).select(*docs.columns)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    return _deduped(docs).select(*_with_text(docs, F.col("new"), True))

@@ -6,7 +6,8 @@ the entropy of the tokens. A document is rejected where a measure leaves the ban
 (or, with no language given, of its script), on the side that the measure's rule names, or where
 characters per token and entropy are both low, though each within its band (``joint``).
 
-Words are runs of ``[^\\x20\\x09-\\x0D]+``; each is tokenised with its leading space. Bands are
+Words are runs of ``[^\\x20\\x09-\\x0D]+``; each is tokenised with a space before it (the distinct ones of a portion of text
+once), and characters and tokens are those of the words. Bands are
 ``median -+ reach * IQR`` of all documents of the group, from exact counts of binned values, so they
 cover all data, cost one small shuffle, and come out alike whatever the partitioning. They are taken
 per length class (powers of two of the token count): entropy grows with length, and short texts vary
@@ -23,14 +24,16 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
-from .sentencepiece import META, MODEL_PATH, Encoder, encoder, read_model, slices
+from .common import map_batches, staged
+from .sentencepiece import MODEL_PATH, read_model
+from .words import portions, split
 
 RANKS_PATH = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -47,27 +50,15 @@ REACH = 4.0
 ANY_SIZE = -1
 #: Measures that junk lowers together: the sum of their distances below the median, in IQRs, has a bound of its own.
 JOINT, JOINT_REACH = ("chars_per_byte_bpe", "entropy_ratio"), 4.5
-_words = re.compile(r"[^ \t-\r]+").findall
+#: Text that a task measures at once, unless one document is longer.
+SLICE_BYTES = 2 << 20
 _SCHEMA = (
     "doc_id long, lang string, text_hash long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
     "n_tokens long, script string, chars_per_piece double, chars_per_byte_bpe double, byte_share double, entropy_ratio double"
 )
 _SCRIPTS = [("han", r"[㐀-鿿豈-﫿]"), ("kana", r"[぀-ヿ]"), ("hangul", r"[가-힯]"), ("cyrillic", r"[Ѐ-ӿ]"), ("arabic", r"[؀-ۿ]"), ("greek", r"[Ͱ-Ͽ]"), ("devanagari", r"[ऀ-ॿ]")]
 _SCRIPTS = [(name, re.compile(p).findall) for name, p in _SCRIPTS]
-_BYTE_BPE: dict[int, ByteBpe] = {}
-
-
-class ByteBpe:
-    """Token counts of words under a byte-level BPE of ranks, cached."""
-
-    def __init__(self, ranks: bytes) -> None:
-        import tiktoken
-
-        own = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
-        self._encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=own, special_tokens={}).encode_ordinary
-
-    def count(self, word: str) -> int:
-        return len(self._encode(" " + word))
+_IS_SYMBOL = np.isin(np.arange(256), [ord(c) for c in SYMBOLS])
 
 
 def script_of(text: str) -> str:
@@ -106,69 +97,63 @@ class Measurer:
     """The columns of ``measure`` for a batch of texts."""
 
     def __init__(self, model: bytes, ranks: bytes) -> None:
-        self.enc: Encoder = encoder(model)
-        key = hash(ranks)
-        if key not in _BYTE_BPE:
-            _BYTE_BPE[key] = ByteBpe(ranks)
-        self.bpe = _BYTE_BPE[key]
-        self.known: dict[str, int] = {}
-        self.counts = np.zeros(1 << 12, np.int64)
-
-    def _byte_bpe_counts(self, words: list[str]) -> np.ndarray:
-        if len(self.known) > 300_000:
-            self.known.clear()
-        known = self.known
-        for w in words:
-            if w not in known:
-                known[w] = self.bpe.count(w)
-        return np.fromiter((known[w] for w in words), np.int64, len(words))
-
-    def __call__(self, texts: list[str | None]) -> list[np.ndarray | list]:
-        own = [t or "" for t in texts]
-        words = [_words(t) for t in own]
-        n = np.array([len(w) for w in words], np.int64)
-        flat = [w for ws in words for w in ws]
-        table: dict[str, int] = {}
-        codes = np.fromiter((table.setdefault(w, len(table)) for w in flat), np.int64, len(flat))
-        distinct = list(table)
+        import sentencepiece
+        import tiktoken
+
+        self.pieces = sentencepiece.SentencePieceProcessor(model_proto=model)
+        self.n_ids = self.pieces.get_piece_size()
+        self.is_byte = np.array([self.pieces.is_byte(k) for k in range(self.n_ids)])
+        own = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
+        self.bpe = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=own, special_tokens={}).encode_ordinary
+
+    def __call__(self, texts: pa.Array, langs: pa.Array) -> list[np.ndarray | list]:
+        distinct, codes, n = split(texts)
+        words = [w.decode("utf-8", "replace") for w in distinct]
+        m = len(texts)
         cut = np.concatenate([[0], np.cumsum(n)])
-        chars = np.array([len(t) - sum(map(t.count, " \t\n\v\f\r")) for t in own], np.int64)
-        symbols = np.array([sum(map(t.count, SYMBOLS)) for t in own], np.int64)
-        dups = np.array([dup_lines(t) if "\n" in t else 0 for t in own], np.int64)
-        if len(distinct) < 1 << 21:
-            repeats = [repeated_words(codes[a:b]) for a, b in zip(cut, cut[1:], strict=False)]
-        else:  # codes of its own for each text
-            repeats = [repeated_words(np.unique(codes[a:b], return_inverse=True)[1].astype(np.int64)) for a, b in zip(cut, cut[1:], strict=False)]
-        per_bpe = self._byte_bpe_counts(distinct)
-        # Pieces of distinct words; words with a meta symbol inside are cut where the encoder cuts them.
-        parts = [self.enc._split(META + w) for w in distinct]
-        ids, lens = self.enc.tokens(self.enc.lookup([p for ps in parts for p in ps]))
-        ends = np.concatenate([[0], np.cumsum(lens)])[np.concatenate([[0], np.cumsum([len(p) for p in parts], dtype=np.int64)])]
-        per_piece = np.diff(ends)
-        byte_sum = np.concatenate([[0], np.cumsum(self.enc.is_byte[ids])])
-        per_byte = byte_sum[ends[1:]] - byte_sum[ends[:-1]]
 
         def per_text(per_word: np.ndarray) -> np.ndarray:
             total = np.concatenate([[0], np.cumsum(per_word[codes])])
             return total[cut[1:]] - total[cut[:-1]]
 
-        tokens, byte_bpe, fallback = per_text(per_piece), per_text(per_bpe), per_text(per_byte)
-        entropy = np.zeros(len(own))
-        doc_of = np.repeat(np.arange(len(own)), n)
-        width = per_piece[codes]
-        stop = np.cumsum(width)
-        at = np.repeat(ends[:-1][codes] - (stop - width), width) + np.arange(int(stop[-1]) if len(stop) else 0)
-        key = np.sort(np.repeat(doc_of, width) * self.enc.n_ids + ids[at])
-        if len(key):
-            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            times = np.diff(np.concatenate([first, [len(key)]]))
-            doc = key[first] // self.enc.n_ids
-            share = times / tokens[doc]
-            entropy = np.bincount(doc, -share * np.log2(share), minlength=len(own))
-        some = tokens > 0
-        div = lambda a, b: np.divide(a, b, out=np.full(len(own), np.nan), where=some & (b > 0))
+        own = [t or "" for t in texts.to_pylist()]
+        chars = per_text(np.array([len(w) for w in words], np.int64))
+        symbols = per_text(np.add.reduceat(_IS_SYMBOL[np.frombuffer(b"".join(distinct), np.uint8)], np.cumsum([0, *map(len, distinct)])[:-1], dtype=np.int64) if distinct else np.zeros(0, np.int64))
+        dups = np.array([dup_lines(t) if "\n" in t else 0 for t in own], np.int64)
+        if len(distinct) < 1 << 21:
+            repeats = [repeated_words(codes[a:b]) for a, b in zip(cut, cut[1:], strict=False)]
+        else:  # codes of its own for each text
+            repeats = [repeated_words(np.unique(codes[a:b], return_inverse=True)[1].astype(np.int64)) for a, b in zip(cut, cut[1:], strict=False)]
+        ids = self.pieces.encode(words, num_threads=1) if words else []
+        per_piece = np.array([len(x) for x in ids], np.int64)
+        ids = np.fromiter(chain.from_iterable(ids), np.int64, int(per_piece.sum()))
+        ends = np.concatenate([[0], np.cumsum(per_piece)])
+        byte_sum = np.concatenate([[0], np.cumsum(self.is_byte[ids])])
+        bpe = self.bpe
+        tokens, fallback = per_text(per_piece), per_text(byte_sum[ends[1:]] - byte_sum[ends[:-1]])
+        byte_bpe = per_text(np.array([len(bpe(" " + w)) for w in words], np.int64))
+        entropy = np.zeros(m)
+        first = 0
+        while first < m:  # as many texts at once as have about a million tokens
+            last = max(first + 1, int(np.searchsorted(np.cumsum(tokens[first:]), 1 << 20, side="right")) + first)
+            some = codes[cut[first] : cut[last]]
+            width = per_piece[some]
+            stop = np.cumsum(width)
+            at = np.repeat(ends[:-1][some] - (stop - width), width) + np.arange(int(stop[-1]) if len(stop) else 0)
+            key = np.sort(np.repeat(np.repeat(np.arange(first, last), n[first:last]), width) * self.n_ids + ids[at])
+            if len(key):
+                edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+                times = np.diff(np.concatenate([edge, [len(key)]]))
+                doc = key[edge] // self.n_ids
+                share = times / tokens[doc]
+                entropy += np.bincount(doc, -share * np.log2(share), minlength=m)
+            first = last
+        known = tokens > 0
+        div = lambda a, b: np.divide(a, b, out=np.full(m, np.nan), where=known & (b > 0))
         ratio = div(entropy, np.maximum(1.0, np.log2(np.maximum(tokens, 1))))
-        return [n, chars, symbols, dups, np.array(repeats, np.int64), tokens, [script_of(t) for t in own], div(chars, tokens), div(chars, byte_bpe), div(fallback, tokens), ratio]
+        # Scripts stand in where no language is given.
+        scripts = [None if (lang or "").strip(" ") else script_of(t) for lang, t in zip(langs.to_pylist(), own, strict=True)]
+        return [n, chars, symbols, dups, np.array(repeats, np.int64), tokens, scripts, div(chars, tokens), div(chars, byte_bpe), div(fallback, tokens), ratio]
 
 
 def measure(docs: DataFrame, model_path: str = MODEL_PATH, ranks_path: str = RANKS_PATH) -> DataFrame:
@@ -179,12 +164,13 @@ def measure(docs: DataFrame, model_path: str = MODEL_PATH, ranks_path: str = RAN
         of = Measurer(model.value, ranks.value)
         names = [x.split()[0] for x in _SCHEMA.split(", ")]
         for batch in batches:
-            for start, texts in slices(batch.column("text")):
-                cols = of(texts)
-                arrays = [pa.array(c, from_pandas=True) for c in cols]
-                yield pa.RecordBatch.from_arrays([batch.column(c).slice(start, len(texts)) for c in ("doc_id", "lang", "text_hash")] + arrays, names=names)
+            for start, end in portions(batch.column("text"), SLICE_BYTES):
+                part = batch.slice(start, end - start)
+                cols = of(part.column("text"), part.column("lang"))
+                arrays = [pa.array(c, pa.string()) if isinstance(c, list) else pa.array(c, from_pandas=True) for c in cols]
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in ("doc_id", "lang", "text_hash")] + arrays, names=names)
 
-    return docs.select("doc_id", "lang", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, _SCHEMA)
+    return map_batches(docs.select("doc_id", F.col("lang").cast("string"), F.xxhash64("text").alias("text_hash"), "text"), run, _SCHEMA)
 
 
 def _groups(m: DataFrame) -> DataFrame:

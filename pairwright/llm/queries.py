@@ -13,7 +13,7 @@ from .common import table
 
 def op1_warc_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc.write_archives(table(spark, sf_dir, "pages"))
-    return warc.read_digests(spark, path).drop("error")
+    return warc.read_digests(spark, path)
 
 
 def op2_crf_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +77,7 @@ WITH x AS (SELECT page_id, coalesce(html, '') AS p FROM pages),
 y AS (SELECT page_id, strlen(p)::BIGINT AS payload_bytes, {_B32} AS payload_digest, max(page_id) OVER (PARTITION BY p) AS holder FROM x)
 SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN page_id IS NOT DISTINCT FROM holder OR holder IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
-  CASE WHEN page_id IS NOT DISTINCT FROM holder THEN NULL ELSE holder END AS refers_to
+  CASE WHEN page_id IS NOT DISTINCT FROM holder THEN NULL ELSE holder END AS refers_to, NULL::VARCHAR AS error
 FROM y"""
 
 # What a reader takes from the tables' pages, whose articles are marked: the truth that the trained field must meet.

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import drop_staged, inner_name, map_batches, staged
+from .common import drop_staged, inner_name, map_batches, packed, staged, unpacked
 from .neardup import mix
 from .words import portions, word_names
 
@@ -268,9 +268,9 @@ def copies(docs: DataFrame) -> DataFrame:
 
 
 def _flagged(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """doc_id, text, copy (whether an earlier doc_id has the same text) and row (all columns of ``docs``)."""
+    """doc_id, text, copy (whether an earlier doc_id has the same text) and row (all columns of ``docs`` but text)."""
     groups = F.broadcast(groups) if groups.count() * 64 <= MAX_SENT_BYTES else groups
-    own = docs.select(F.struct("*").alias("row"), "doc_id", "text", _key().alias("key")).join(groups, "key", "left")
+    own = docs.select(packed(docs, "text"), "doc_id", "text", _key().alias("key")).join(groups, "key", "left")
     later = F.when(F.col("has_null"), F.col("doc_id").isNotNull()).otherwise(F.col("doc_id") > F.col("least"))
     return own.select("row", "doc_id", "text", F.coalesce(later, F.lit(False)).alias("copy"))
 
@@ -327,7 +327,7 @@ def _keep_batches(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa
                 n.append(total)
                 gone.append(total - len(words))
                 kept.append(" ".join(words))
-            yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=["row", "n_words", "n_removed", "kept"])
+            yield pa.RecordBatch.from_arrays([part.column("row"), part.column("text"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=["row", "text", "n_words", "n_removed", "kept"])
 
 
 def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
@@ -336,6 +336,6 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     cuts = repeated_words(_flagged(docs.select("doc_id", "text"), groups), window)
     own = _flagged(docs, groups).withColumns({"d": F.col("doc_id"), "t": _text_bits()})
     both = _by_document(own, cuts, "cuts", "left").select("row", "text", "copy", "cuts")
-    schema = StructType([both.schema["row"], *(StructField(k, v) for k, v in (("n_words", LongType()), ("n_removed", LongType()), ("kept", StringType())))])
+    schema = StructType([both.schema["row"], both.schema["text"], *(StructField(k, v) for k, v in (("n_words", LongType()), ("n_removed", LongType()), ("kept", StringType())))])
     out = map_batches(both, lambda it: _keep_batches(it, window), schema)
-    return out.select("row.*", *[F.col(c).alias(inner_name(docs, f"__{c}")) for c in ("n_words", "n_removed", "kept")])
+    return out.select(*unpacked(docs, "text"), *[F.col(c).alias(inner_name(docs, f"__{c}")) for c in ("n_words", "n_removed", "kept")])

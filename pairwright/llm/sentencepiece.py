@@ -1,18 +1,18 @@
-"""SentencePiece encoding and decoding with numpy, words of equal length advancing together.
+"""SentencePiece encoding and decoding with numpy: Viterbi, words of equal length advancing together.
 
 ``Encoder`` reads a model file itself. Texts are cut into words that no piece can span; the distinct
-words of a batch are grouped by length and each group advances as one matrix:
+words of a batch are grouped by length, and each group advances as one matrix (``viterbi``): rolling hashes of all
+substrings probe the sorted piece keys, what is found is compared with the piece itself, and at each place vectorised
+maxima over all pieces that end there keep the best score and a backpointer; then all words step back together.
+Characters without a piece become byte pieces.
 
-* UNIGRAM models: Viterbi. Rolling hashes of all substrings that end at a position probe the sorted
-  piece keys; vectorised maxima keep the best score and a backpointer (``viterbi``).
-* BPE models: their ids are defined by merges in rank order, which Viterbi over the stored ranks does
-  not give, so there each step merges the best-ranked pair of every word of the group at once,
-  probing sorted pair keys (``merge``).
-
-Which one runs follows from the model file. Characters without a piece become byte pieces.
+No public unigram vocabulary is at hand. ``unigram_model`` gives the public BPE vocabulary the scores of a unigram model by a
+rule, without training: the k-th merge has probability in proportion to 1 / (k + ``ZIPF_SHIFT``). It returns a model file, which
+the public library reads too, so that its ids can be compared. (``kind=BPE`` encodes with the file's own merges
+in rank order instead, which Viterbi over its ranks doesn't give: ``merge``.)
 
 Defined cases: a null text has null ids and no round trip; an empty text has no ids; words longer
-than ``LONG`` characters go through a heap, one by one, in n log n time; other columns pass.
+than ``LONG`` characters are probed in the same way, but advance one by one; other columns are ignored.
 Decoding gives back the text exactly, but for the meta symbol U+2581, which decodes to a space.
 """
 
@@ -22,15 +22,25 @@ import heapq
 import re
 import struct
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import map_batches
+from .words import portions
+
 META = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 UNIGRAM, BPE = 1, 2
 LONG = 200
+#: Words and ids that a worker remembers within a task.
+MAX_WORDS, MAX_IDS = 250_000, 3_000_000
+#: Cells of a matrix of words (each with all pieces that may end there).
+CELLS = 60_000
+ZIPF_SHIFT = 2.7
+SLICE_BYTES = 1 << 20
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MAX_MODEL_BYTES = 64 << 20
 _MUL = 0x9E3779B97F4A7C15
@@ -77,6 +87,46 @@ def read_model(path: str) -> bytes:
     return data
 
 
+def _message(fields: list[tuple[int, object]]) -> bytes:
+    """The protocol-buffer message of (number, value): int, float or bytes."""
+
+    def varint(x: int) -> bytes:
+        out = bytearray()
+        x &= 2**64 - 1
+        while x > 127:
+            out.append(x & 127 | 128)
+            x >>= 7
+        out.append(x)
+        return bytes(out)
+
+    out = []
+    for number, value in fields:
+        if isinstance(value, float):
+            out.append(varint(number << 3 | 5) + struct.pack("<f", value))
+        elif isinstance(value, int):
+            out.append(varint(number << 3) + varint(value))
+        else:
+            out.append(varint(number << 3 | 2) + varint(len(value)) + value)
+    return b"".join(out)
+
+
+def unigram_model(model: bytes, shift: float = ZIPF_SHIFT) -> bytes:
+    """``model`` (a BPE model file) as a unigram model: scores are log-probabilities that fall with the rank of a piece."""
+    fields = list(_fields(model))
+    pieces = {k: dict(_fields(v)) for k, (number, v) in enumerate(fields) if number == 1}
+    own = sorted((k for k, p in pieces.items() if p.get(3, NORMAL) == NORMAL), key=lambda k: (-pieces[k].get(2, 0.0), k))
+    whole = float(np.log(np.sum(1 / (np.arange(len(own)) + shift))))
+    score = {k: float(-np.log(rank + shift)) - whole for rank, k in enumerate(own)}
+    out = []
+    for k, (number, value) in enumerate(fields):
+        if number == 1:
+            value = _message([*((n, v) for n, v in _fields(value) if n != 2), (2, score.get(k, 0.0))])
+        elif number == 2:
+            value = _message([*((n, v) for n, v in _fields(value) if n != 3), (3, UNIGRAM)])
+        out.append((number, value))
+    return _message(out)
+
+
 def _hashes(codes: np.ndarray) -> np.ndarray:
     """Prefix hashes of rows of character codes: out[:, e] covers the first e."""
     out = np.zeros((codes.shape[0], codes.shape[1] + 1), np.uint64)
@@ -89,20 +139,17 @@ class Encoder:
     def __init__(self, model: bytes, kind: int | None = None) -> None:
         self.pieces: list[str] = []
         scores, types = [], []
-        self.kind, prefix, extra, charsmap = UNIGRAM, True, True, b""
+        prefix, extra, charsmap = True, True, b""
         for number, value in _fields(model):
             if number == 1:
                 p = dict(_fields(value))
                 self.pieces.append(p[1].decode())
                 scores.append(p.get(2, 0.0))
                 types.append(p.get(3, NORMAL))
-            elif number == 2:
-                self.kind = dict(_fields(value)).get(3, UNIGRAM)
             elif number == 3:
                 spec = dict(_fields(value))
                 prefix, extra, charsmap = spec.get(3, 1), spec.get(4, 1), spec.get(2, b"")
-        if kind is not None:
-            self.kind = kind
+        self.kind = kind or self.kind_of(model)
         if charsmap or extra:
             raise ValueError("only models without normalisation are supported")
         self.prefix = bool(prefix)
@@ -125,15 +172,16 @@ class Encoder:
         lone = "" if any(len(p) > 1 and "\n" in p for p in self.ids) else "\n"
         self._split = re.compile(rf"{META}*[^{META}{lone}]+|{META}+" + ("|\n" if lone else "")).findall
         self._build_pairs() if self.kind == BPE else self._build_keys()
-        self._cache: dict[str, int] = {}
-        self._store = np.zeros(1 << 16, np.int32)
-        self._starts, self._used = np.zeros(1 << 12, np.int64), 0
-        self._lens = np.zeros(1 << 12, np.int64)
+        self.forget()
         raw = [bytes([int(self.pieces[i][3:5], 16)]) if t == BYTE else b"" if t == CONTROL else p.replace(META, " ").encode() if t != UNKNOWN else " ⁇ ".encode() for i, (p, t) in enumerate(zip(self.pieces, types, strict=True))]
         self._raw = np.frombuffer(b"".join(raw), np.uint8)
         self._raw_lens = np.array([len(r) for r in raw], np.int64)
         self._raw_starts = np.concatenate([[0], np.cumsum(self._raw_lens)])[:-1]
 
+    @staticmethod
+    def kind_of(model: bytes) -> int:
+        return next((dict(_fields(v)).get(3, UNIGRAM) for number, v in _fields(model) if number == 2), UNIGRAM)
+
     # -- BPE ---------------------------------------------------------------------------------
 
     def _build_pairs(self) -> None:
@@ -228,58 +276,108 @@ class Encoder:
     # -- UNIGRAM -----------------------------------------------------------------------------
 
     def _build_keys(self) -> None:
-        by_len: dict[int, list[int]] = {}
-        for p, i in self.ids.items():
-            by_len.setdefault(len(p), []).append(i)
-        self._by_len = {}
-        for n, own in sorted(by_len.items()):
-            codes = np.frombuffer("".join(self.pieces[i] for i in own).encode("utf-32-le"), np.uint32).reshape(len(own), n)
-            keys, own_ids = _hashes(codes)[:, n], np.array(own, np.int32)
-            order = np.argsort(keys)
-            if len(np.unique(keys)) < len(keys):
-                raise ValueError("piece hashes collide")
-            self._by_len[n] = keys[order], own_ids[order], self.scores[own_ids[order]]
+        self._longest = max(map(len, self.ids))
+        own = list(self.ids.values())
+        self._codes = np.zeros((self.n_ids, self._longest), np.uint32)
+        keys = np.zeros(len(own), np.uint64)
+        for n in {len(p) for p in self.ids}:
+            k = [x for x, i in enumerate(own) if len(self.pieces[i]) == n]
+            codes = np.frombuffer("".join(self.pieces[own[x]] for x in k).encode("utf-32-le"), np.uint32).reshape(len(k), n)
+            self._codes[np.array(own)[k], :n] = codes
+            keys[k] = _hashes(codes)[:, n]
+        order = np.argsort(keys)
+        self._keys, self._key_ids = keys[order], np.array(own, np.int32)[order]
+        if len(np.unique(keys)) < len(keys):
+            raise ValueError("piece hashes collide")
+        self._maybe = np.zeros(1 << 20, bool)
+        self._maybe[self._slot(keys)] = True
+        self._power = np.array([pow(_MUL, k, 1 << 64) for k in range(self._longest + 1)], np.uint64)
         # As the public library does: the least score of a piece less ten, for a character of no piece.
         self._unknown_score = min(self.scores[i] for i in self.ids.values()) - 10
 
+    @staticmethod
+    def _slot(keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(44)).astype(np.int64)
+
+    def _found(self, codes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(length, row, start, piece) of all pieces in rows of character codes, by length."""
+        h = _hashes(codes)
+        n = codes.shape[1]
+        for length in range(1, min(n, self._longest) + 1):
+            probe = h[:, length:] - h[:, :-length] * self._power[length]
+            row, start = np.nonzero(self._maybe[self._slot(probe)])
+            probe = probe[row, start]
+            at = np.minimum(np.searchsorted(self._keys, probe), len(self._keys) - 1)
+            k = np.flatnonzero(self._keys[at] == probe)
+            row, start, piece = row[k], start[k], self._key_ids[at[k]]
+            same = np.ones(len(k), bool)
+            for c in range(length):
+                same &= codes[row, start + c] == self._codes[piece, c]
+            if length < self._longest:
+                same &= self._codes[piece, length] == 0
+            yield length, row[same], start[same], piece[same]
+
     def viterbi(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """As ``merge``, for the segmentation of the best total score."""
+        """(symbols of the segmentation of the best total score, a row per word of one length; how many each has). Characters of no piece are -1 - code point."""
         n, m = len(words[0]), len(words)
         codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(m, n)
-        h = _hashes(codes)
-        power = [np.uint64(1)]
-        for _ in range(n):
-            power.append(np.uint64((int(power[-1]) * _MUL) & (2**64 - 1)))
-        best = np.full((m, n + 1), -np.inf)
-        best[:, 0] = 0
-        back = np.zeros((m, n + 1), np.int32)
-        which = np.zeros((m, n + 1), np.int64)
+        if n > LONG:
+            return self._viterbi_long(codes)
+        most = min(n, self._longest)
+        # At [row, end, k]: the piece of most - k characters that ends there, so that of equal scores the longest is first.
+        score, which = np.full((m, n + 1, most), -np.inf, np.float32), np.zeros((m, n + 1, most), np.int32)
+        lone = np.ones((m, n), bool)
+        for length, row, start, piece in self._found(codes):
+            score[row, start + length, most - length], which[row, start + length, most - length] = self.scores[piece], piece
+            if length == 1:
+                lone[row, start] = False
+        row, start = np.nonzero(lone)
+        score[row, start + 1, -1], which[row, start + 1, -1] = self._unknown_score, -1 - codes[row, start].astype(np.int32)
+        best, back = np.zeros((m, n + 1)), np.zeros((m, n + 1), np.int64)
+        every = np.arange(m)
         for e in range(1, n + 1):
-            for length in sorted((x for x in self._by_len if x <= e), reverse=True):
-                keys, ids, scores = self._by_len[length]
-                probe = h[:, e] - h[:, e - length] * power[length]
-                at = np.minimum(np.searchsorted(keys, probe), len(keys) - 1)
-                score = np.where(keys[at] == probe, best[:, e - length] + scores[at], -np.inf)
-                up = score > best[:, e]
-                best[up, e], back[up, e], which[up, e] = score[up], e - length, ids[at][up]
-            lone = best[:, e - 1] + self._unknown_score
-            known = self._by_len.get(1)
-            if known is not None:
-                probe = h[:, e] - h[:, e - 1] * power[1]
-                at = np.minimum(np.searchsorted(known[0], probe), len(known[0]) - 1)
-                lone = np.where(known[0][at] == probe, -np.inf, lone)
-            up = lone > best[:, e]
-            best[up, e], back[up, e], which[up, e] = lone[up], e - 1, -1 - codes[up, e - 1].astype(np.int64)
+            k = min(e, most)
+            total = best[:, e - k : e] + score[:, e, most - k :]
+            pick = total.argmax(1)
+            best[:, e], back[:, e] = total[every, pick], pick + most - k
         out, counts = np.zeros((m, n), np.int64), np.zeros(m, np.int64)
         e, rows = np.full(m, n), np.arange(m)
         while rows.size:  # all words step back together
-            out[rows, n - 1 - counts[rows]] = which[rows, e[rows]]
+            k = back[rows, e[rows]]
+            out[rows, n - 1 - counts[rows]] = which[rows, e[rows], k]
             counts[rows] += 1
-            e[rows] = back[rows, e[rows]]
+            e[rows] -= most - k
             rows = rows[e[rows] > 0]
         left = np.minimum(np.arange(n) + (n - counts)[:, None], n - 1)
         return np.take_along_axis(out, left, 1), counts
 
+    def _viterbi_long(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for one long word: pieces are looked up in stretches of it."""
+        n, step = codes.shape[1], 1 << 14
+        best, back, which = [0.0] * (n + 1), [0] * (n + 1), [0] * (n + 1)
+        for first in range(0, n, step):
+            part = codes[:, first : first + step + self._longest - 1]
+            found = [(start + first, length, piece) for length, _, start, piece in self._found(part)]
+            start = np.concatenate([f[0] for f in found])
+            length = np.repeat([f[1] for f in found], [len(f[0]) for f in found])
+            piece = np.concatenate([f[2] for f in found])
+            own = start < first + step
+            start, length, piece = start[own], length[own], piece[own]
+            lone = np.setdiff1d(np.arange(first, min(n, first + step)), start[length == 1])
+            start, length = np.concatenate([start, lone]), np.concatenate([length, np.ones(len(lone), np.int64)])
+            score = np.concatenate([self.scores[piece], np.full(len(lone), self._unknown_score)])
+            piece = np.concatenate([piece.astype(np.int64), -1 - codes[0, lone].astype(np.int64)])
+            order = np.argsort(start, kind="stable")
+            for s, size, x, p in zip(*(c[order].tolist() for c in (start, length, score, piece)), strict=True):
+                e, total = s + size, best[s] + x
+                if back[e] == 0 or total > best[e]:
+                    best[e], back[e], which[e] = total, size, p
+        out, e = [], n
+        while e:
+            out.append(which[e])
+            e -= back[e]
+        return np.array([out[::-1]], np.int64), np.array([len(out)])
+
     # -- both --------------------------------------------------------------------------------
 
     def _finish(self, symbols: np.ndarray) -> np.ndarray:
@@ -302,14 +400,13 @@ class Encoder:
         for w in words:
             by_len.setdefault(len(w), []).append(w)
         for n, group in by_len.items():
-            step = max(1, 400_000 // n)
+            step = max(1, CELLS // n) if n <= LONG else 1
             for k in range(0, len(group), step):
                 some = group[k : k + step]
-                if self.kind == BPE and n > LONG:
-                    for w in some:
-                        self._keep([w], *self._merge_long(w))
+                if self.kind == BPE:
+                    self._keep(some, *(self.merge(some) if n <= LONG else self._merge_long(some[0])))
                 else:
-                    self._keep(some, *(self.merge if self.kind == BPE else self.viterbi)(some))
+                    self._keep(some, *self.viterbi(some))
 
     def _keep(self, words: list[str], symbols: np.ndarray, counts: np.ndarray) -> None:
         inside = np.arange(symbols.shape[1]) < counts[:, None]
@@ -336,11 +433,17 @@ class Encoder:
         self._used += len(ids)
         self._cache.update(zip(words, range(k, k + m), strict=True))
 
+    def forget(self) -> None:
+        """Drop the words remembered."""
+        self._cache: dict[str, int] = {}
+        self._store = np.zeros(1 << 16, np.int32)
+        self._starts, self._lens = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self._used = 0
+
     def lookup(self, words: list[str]) -> np.ndarray:
         """The cache slot of each word."""
-        if len(self._cache) > 400_000 or self._used > 8_000_000:
-            self._cache.clear()
-            self._used = 0
+        if len(self._cache) > MAX_WORDS or self._used > MAX_IDS:
+            self.forget()
         get = self._cache.get
         out = [get(w, -1) for w in words]
         slots = np.array(out, np.int64)
@@ -392,39 +495,33 @@ class Encoder:
         return self.decode_batch(np.array(ids, np.int64), np.array([0, len(ids)]))[0]
 
 
-_BUILT: dict[int, Encoder] = {}
+_BUILT: dict[bytes, Encoder] = {}
 
 
-def encoder(model: bytes) -> Encoder:
-    """One encoder per worker process and model, so that its word cache lasts over tasks."""
-    key = hash(model)
+def encoder(model: bytes, kind: int | None = None) -> Encoder:
+    """The encoder of the worker process; another model takes its place."""
+    key = blake2b(model + bytes([kind or 0])).digest()
     if key not in _BUILT:
-        _BUILT[key] = Encoder(model)
+        _BUILT.clear()
+        _BUILT[key] = Encoder(model, kind)
     return _BUILT[key]
 
 
-def slices(texts: pa.Array, budget: int = 2 << 20) -> Iterator[tuple[int, list[str | None]]]:
-    """Runs of texts of about ``budget`` bytes: (first row, texts)."""
-    start, some, held = 0, [], 0
-    for i, t in enumerate(texts):
-        t = t.as_py()
-        if some and held + len(t or "") > budget:
-            yield start, some
-            start, some, held = i, [], 0
-        some.append(t)
-        held += len(t or "")
-    if some:
-        yield start, some
-
+def encode_documents(docs: DataFrame, model_path: str = MODEL_PATH, kind: int = UNIGRAM) -> DataFrame:
+    """doc_id, n_tokens, token_ids, round_trip (decoding gives the text back), in one pass without shuffle.
 
-def encode_documents(docs: DataFrame, model_path: str = MODEL_PATH) -> DataFrame:
-    """doc_id, n_tokens, token_ids, round_trip (decoding gives the text back), in one pass without shuffle."""
-    model = docs.sparkSession.sparkContext.broadcast(read_model(model_path))
+    A BPE model is read as the unigram model of its vocabulary unless ``kind`` is BPE.
+    """
+    data = read_model(model_path)
+    if kind == UNIGRAM and Encoder.kind_of(data) == BPE:
+        data = unigram_model(data)
+    model = docs.sparkSession.sparkContext.broadcast(data)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(model.value)
         for batch in batches:
-            for start, texts in slices(batch.column("text")):
+            for start, end in portions(batch.column("text"), SLICE_BYTES):
+                texts = batch.column("text").slice(start, end - start).to_pylist()
                 own = [t or "" for t in texts]
                 ids, offsets = enc.encode_batch(own)
                 same = [a == b for a, b in zip(enc.decode_batch(ids, offsets), own, strict=True)]
@@ -434,5 +531,6 @@ def encode_documents(docs: DataFrame, model_path: str = MODEL_PATH) -> DataFrame
                     [batch.column("doc_id").slice(start, len(own)), pa.array(np.diff(offsets), pa.int64(), mask=null), lists, pa.array(np.array(same), mask=null)],
                     names=["doc_id", "n_tokens", "token_ids", "round_trip"],
                 )
+        enc.forget()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, token_ids array<int>, round_trip boolean")
+    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, token_ids array<int>, round_trip boolean")

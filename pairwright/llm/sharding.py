@@ -8,7 +8,7 @@ its share of the groups into blocks of fixed capacity, best fit decreasing; the
 the blocks, whose number is bounded by total size / block size plus the number of tasks, into
 shards of fixed capacity the same way. Blocks that no shard has room for go to the emptiest one.
 
-A group larger than a block skips the first level: its rows are dealt by a hash into pieces of about
+A group larger than a block (or of more than ``max_rows`` rows) skips the first level: its rows are dealt by a hash into pieces of about
 a block, so that no task holds it whole, and its pieces move as one item of the second level. Only
 a group above the capacity of a shard is divided, into as few items as hold it, since no law of
 equal sizes could hold with a third of all rows in one group.
@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import map_batches, staged
 
 OVERHEAD = 16
 _PACKED = "block long, doc_id long, size long, text_crc32 long, slot_in_block long"
@@ -158,22 +158,22 @@ def _items(blocks: list[tuple[int, int, int]], group_of: dict[int, int], capacit
     return sorted(out, key=lambda x: (-x[0], x[1][0]))
 
 
-def shard_documents(docs: DataFrame, n_shards: int = 40, blocks_per_shard: int = 128, max_block_bytes: int = 256 << 20) -> DataFrame:
+def shard_documents(docs: DataFrame, n_shards: int = 40, blocks_per_shard: int = 128, max_block_bytes: int = 256 << 20, max_rows: int = 100_000) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot (gapless in each shard), grown_shard (null: the law isn't ``key``)."""
     spark = docs.sparkSession
     data = F.coalesce("text", F.lit(""))
     base = docs.select(
         "doc_id", (F.octet_length(data) + OVERHEAD).cast("long").alias("size"), F.crc32(F.encode(data, "UTF-8")).alias("text_crc32"),
-        F.unhex(F.md5(F.encode(data, "UTF-8"))).alias("key"), F.monotonically_increasing_id().alias("row"),
+        F.unhex(F.sha2(F.encode(data, "UTF-8"), 256)).alias("key"), F.monotonically_increasing_id().alias("row"),
     )
     base = staged(base, "shard-rows")
     total = base.agg(F.sum("size")).first()[0] or 0
     block = max(1, min(total // (n_shards * blocks_per_shard), max_block_bytes))
-    # At most total / block groups are larger than a block: few enough for the driver and for a broadcast.
-    large = base.groupBy("key").agg(F.sum("size").alias("t"), F.count(F.lit(1)).alias("n")).where((F.col("t") > block) & (F.col("n") > 1))
+    # At most total / block groups are larger than a block, and rows / max_rows longer: few enough for the driver and for a broadcast.
+    large = base.groupBy("key").agg(F.sum("size").alias("t"), F.count(F.lit(1)).alias("n")).where(((F.col("t") > block) & (F.col("n") > 1)) | (F.col("n") > max_rows))
     pieces, before, group_of = [], 1, {}
     for r in sorted(large.collect(), key=lambda r: bytes(r["key"])):
-        n = -(-r["t"] // block)
+        n = max(-(-r["t"] // block), -(-r["n"] // max_rows))
         pieces.append((bytes(r["key"]), n, before))
         group_of |= dict.fromkeys(range(-before - n + 1, -before + 1), before)
         before += n
@@ -181,7 +181,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 40, blocks_per_shard: int =
     salted = base.join(F.broadcast(known), "key", "left").withColumn("fixed", -F.col("before") - F.pmod(F.xxhash64("row"), F.col("pieces")))
     units = salted.groupBy("key", "fixed").agg(F.sum("size").alias("bytes"), F.array_sort(F.collect_list(F.struct("doc_id", "size", "text_crc32"))).alias("rows"))
     units = units.sortWithinPartitions(F.desc("bytes"), "key", "fixed").select("bytes", "fixed", "rows")
-    packed = staged(units.mapInArrow(lambda it: _pack_partition(it, block), _PACKED), "shard-blocks")
+    packed = staged(map_batches(units, lambda it: _pack_partition(it, block), _PACKED), "shard-blocks")
     blocks = packed.groupBy("block").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).collect()
     items = _items([(b["block"], b["bytes"], b["n"]) for b in blocks], group_of, -(-total // n_shards))
     used, placed = [0] * n_shards, []

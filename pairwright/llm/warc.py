@@ -6,35 +6,36 @@ are cut into a first record and continuation records (WARC-Segment-Origin-ID, -N
 last, -Total-Length). Pages whose payload another page has too are written once in full, under the
 largest page_id; the others are revisit records without payload.
 
-``read_archives`` parses the files, groups segments by origin, orders them by number, checks the
-total length, and decodes the chunked framing.
+``read_archives`` reads them with Spark's text reader, which unzips as it goes and cuts at what stands between two
+records, so that a task holds a record and not an archive, however large; a payload that holds such a cut is put together
+again by its Content-Length. It parses each record once, groups segments by origin, orders them by number, checks
+the total length, and decodes the chunked framing.
 
 Defined cases: null html is an empty payload; a null url becomes the record's own urn; control
 characters and blanks in urls are percent-encoded; rows with a null page_id are revisits where the
 group has a page_id and responses with no refers_to else; repeated rows (equal page_id and payload)
 are records with one id, each read back; an empty table gives no records; other columns are ignored.
-A group of segments with gaps or a wrong total length gets ``error`` and a null payload.
-
-Each file holds at most ``records_per_archive`` records of at most ``segment_bytes`` block bytes,
-which bounds what a reader holds.
+A record with a bad head, of fewer bytes than it declares or with bad framing, and a group of segments with gaps or a wrong
+total length, gets ``error`` and a null payload; the records after it are read. What couldn't be measured has no digest.
 """
 
 from __future__ import annotations
 
-import gzip
 import re
+from collections import deque
 from collections.abc import Iterator
-from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, staged
+from .common import map_batches, shared_dir, staged
 
 CRLF = "\r\n"
+#: What stands before the minor version of every record but a file's first.
+CUT = "\r\n\r\nWARC/1."
 _HEX, _B32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-_PARSED = "record_id string, page_id long, record_type string, refers_to long, digest string, declared_bytes long, origin string, segment int, total_length long, block binary, payload binary"
+_PARSED = "record_id string, page_id long, record_type string, refers_to long, digest string, declared_bytes long, origin string, segment int, total_length long, block binary, payload binary, error string"
 
 
 def base32_sha1(data: Column) -> Column:
@@ -118,19 +119,61 @@ def _page_of(urn: bytes | None) -> int | None:
     return None if not m or m[1] == b"null" else int(m[1])
 
 
-def parse_records(data: bytes) -> Iterator[tuple[dict[bytes, bytes], bytes]]:
-    """(headers by lower-case name, block) of each record of an uncompressed archive."""
-    at, end = 0, len(data)
-    while at < end:
-        stop = data.index(b"\r\n\r\n", at)
-        lines = data[at:stop].split(b"\r\n")
-        if not lines[0].startswith(b"WARC/"):
-            raise ValueError(f"no record at byte {at}: {lines[0][:40]!r}")
-        head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(b":") for x in lines[1:])}
-        at = stop + 4
-        n = int(head[b"content-length"])
-        yield head, data[at : at + n]
-        at += n + 4
+def _head(data: bytes) -> tuple[dict[bytes, bytes], bytes, int]:
+    """(headers by lower-case name, what follows them, Content-Length) of a record without the start of its first line."""
+    head, _, block = data.partition(b"\r\n\r\n")
+    fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(b":") for x in head.split(b"\r\n")[1:])}
+    size = int(fields.get(b"content-length", b"none"))
+    if size < 0 or b"warc-type" not in fields or b"warc-record-id" not in fields:
+        raise ValueError("the record's head is incomplete")
+    return fields, block, size
+
+
+def parse_records(pieces: Iterator[bytes]) -> Iterator[tuple[dict[bytes, bytes], bytes, str | None]]:
+    """(headers, block, error) of each record of archives that are cut at ``CUT``. A file begins with ``WARC/1.`` itself."""
+    start, cut = CUT[4:].encode(), CUT.encode()
+    source, queue = iter(pieces), deque()
+    waiting: list[bytes] = []  # pieces of a record that declares more bytes than have come
+    upto = want = 0
+    while True:
+        if queue:
+            piece, begins = queue.popleft()
+        else:
+            piece = next(source, None)
+            begins = piece is None or piece.startswith(start)
+            piece = piece[len(start) :] if piece is not None and begins else piece
+        if waiting and not begins:
+            waiting.append(piece)
+            upto += len(cut) + len(piece)
+            if upto < want:
+                continue
+            whole = cut.join(waiting)
+            if not whole[len(whole) - (upto - want) :].strip(b"\r\n"):
+                fields, block, size = _head(whole)
+                waiting = []
+                yield fields, block[:size], None
+                continue
+        elif waiting:
+            queue.appendleft((piece, begins))
+        if waiting:  # the first piece is cut short; those after it are read for themselves
+            fields, block, size = _head(waiting[0])
+            queue.extendleft((x, False) for x in reversed(waiting[1:]))
+            waiting = []
+            yield fields, b"", f"{len(block)} bytes, the head says {size}"
+            continue
+        if piece is None:
+            return
+        try:
+            fields, block, size = _head(piece)
+        except ValueError as e:
+            yield {}, b"", f"bad record: {e}"
+            continue
+        if len(block) < size:
+            waiting, upto, want = [piece], len(block), size
+        elif block[size:].strip(b"\r\n"):
+            yield fields, b"", f"{len(block)} bytes, the head says {size}"
+        else:
+            yield fields, block[:size], None
 
 
 def decode_http(block: bytes) -> tuple[bytes | None, int | None]:
@@ -145,6 +188,8 @@ def decode_http(block: bytes) -> tuple[bytes | None, int | None]:
         stop = body.index(b"\r\n", at)
         n = int(body[at:stop].split(b";")[0], 16)
         at = stop + 2
+        if n < 0:
+            raise ValueError("a chunk of negative size")
         if n == 0:
             return b"".join(out), None
         if len(body) < at + n + 2:
@@ -153,8 +198,8 @@ def decode_http(block: bytes) -> tuple[bytes | None, int | None]:
         at += n + 2
 
 
-def _parse_batches(batches: Iterator[pa.RecordBatch], segments: bool) -> Iterator[pa.RecordBatch]:
-    """The records that are whole, or else the segments."""
+def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per record: whole ones with their payload or an error, segments with their block."""
     kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
     schema = pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in _PARSED.split(", "))])
     rows: list[tuple] = []
@@ -164,29 +209,31 @@ def _parse_batches(batches: Iterator[pa.RecordBatch], segments: bool) -> Iterato
         cols = list(zip(*rows, strict=True)) if rows else [[] for _ in schema]
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
-    for batch in batches:
-        for content in batch.column("content"):
-            data = content.as_py()
-            if data[:2] == b"\x1f\x8b":
-                data = gzip.decompress(data)
-            for head, block in parse_records(data):
-                kind, rid = head[b"warc-type"].decode(), head[b"warc-record-id"]
-                number = head.get(b"warc-segment-number")
-                if bool(number) != segments:
-                    continue
-                origin = head.get(b"warc-segment-origin-id", rid if number else None)
-                total = head.get(b"warc-segment-total-length")
-                digest = head.get(b"warc-payload-digest", b"").removeprefix(b"sha1:").decode() or None
-                payload = declared = None
-                if not number:
-                    payload, declared = decode_http(block)
-                    payload = None if kind == "revisit" else payload
-                keep = block if number else None
-                rows.append((rid.decode(), _page_of(rid), kind, _page_of(head.get(b"warc-refers-to")), digest, declared, origin.decode() if origin else None, int(number) if number else None, int(total) if total else None, keep, payload))
-                held += len(keep or b"") + len(payload or b"") + 200
-                if held > 4 << 20:
-                    yield flush()
-                    rows, held = [], 0
+    def text(value: bytes | None) -> str | None:
+        return value.decode("utf-8", "replace") if value else None
+
+    for head, block, error in parse_records(piece.as_py() for batch in batches for piece in batch.column("piece")):
+        kind, rid = text(head.get(b"warc-type")), head.get(b"warc-record-id")
+        number, total = (int(x) if (x := head.get(f"warc-segment-{name}".encode(), b"")).isdigit() else None for name in ("number", "total-length"))
+        payload = declared = keep = None
+        if error is None and number is not None:
+            keep = block
+        elif error is None:
+            try:
+                payload, declared = decode_http(block)
+                payload = None if kind == "revisit" else payload
+                if kind != "revisit" and payload is None:
+                    error = "the body isn't as long as its head says"
+            except ValueError as e:
+                error = str(e)
+        number = number if keep is not None else None
+        origin = head.get(b"warc-segment-origin-id", rid) if number is not None else None
+        digest = text(head.get(b"warc-payload-digest", b"").removeprefix(b"sha1:"))
+        rows.append((text(rid), _page_of(rid), kind, _page_of(head.get(b"warc-refers-to")), digest, declared, text(origin), number, total, keep, payload, error))
+        held += len(keep or b"") + len(payload or b"") + 200
+        if held > 4 << 20:
+            yield flush()
+            rows, held = [], 0
     yield flush()
 
 
@@ -216,32 +263,35 @@ def _join_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([*cols, pa.array(payloads, pa.binary()), pa.array(errors, pa.string())], names=names)
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
+def read_archives(spark: SparkSession, path: str, names: str = "*.txt*") -> DataFrame:
     """record_id, page_id, record_type, refers_to, digest (as the record says), declared_bytes, payload (null for revisits), error."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").load(path)
-    whole, parts = (files.select("content").mapInArrow(partial(_parse_batches, segments=s), _PARSED) for s in (False, True))
-    whole = whole.select("record_id", "page_id", "record_type", "refers_to", "digest", "declared_bytes", "payload", F.lit(None).cast("string").alias("error"))
-    one = parts.groupBy("origin").agg(
+    files = spark.read.option("lineSep", CUT).option("pathGlobFilter", names).text(path)
+    parsed = staged(map_batches(files.select(F.col("value").cast("binary").alias("piece")), _parse_batches, _PARSED), "warc-records")
+    whole = parsed.where("segment is null").select("record_id", "page_id", "record_type", "refers_to", "digest", "declared_bytes", "payload", "error")
+    one = parsed.where("segment is not null").groupBy("origin").agg(
         F.max(F.when(F.col("segment") == 1, F.struct("record_id", "page_id", "record_type", "refers_to", "digest"))).alias("first"),
         F.count(F.when(F.col("segment") == 1, 1)).alias("copies"),
         F.max("total_length").alias("total_length"),
         F.array_sort(F.collect_set(F.struct("segment", "block"))).alias("parts"),
     )
-    one = one.select("first.*", "copies", "total_length", "parts").mapInArrow(
-        _join_batches, "record_id string, page_id long, record_type string, refers_to long, digest string, copies long, payload binary, error string"
-    )
+    one = map_batches(
+        one.select("first.*", "copies", "total_length", "parts"), _join_batches,
+        "record_id string, page_id long, record_type string, refers_to long, digest string, copies long, payload binary, error string",
+    )
     one = one.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.greatest("copies", F.lit(1).cast("long")))))
     return whole.unionByName(one.drop("copies", "copy"), allowMissingColumns=True)
 
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
-    """Per record: page_id, payload_bytes, payload_digest, record_type, refers_to, error; of responses measured on the payload."""
-    r = read_archives(spark, path)
+    """Per record: page_id, payload_bytes, payload_digest, record_type, refers_to, error; of responses measured on the payload, of revisits as declared."""
+    r = read_archives(spark, path).withColumn("measured", base32_sha1(F.col("payload")))
+    r = r.withColumn("error", F.coalesce("error", F.when(F.col("measured") != F.col("digest"), "the payload's digest differs")))
+    revisit = (F.col("record_type") == "revisit") & F.col("error").isNull()
     return r.select(
         "page_id",
-        F.coalesce(F.octet_length("payload").cast("long"), "declared_bytes").alias("payload_bytes"),
-        F.coalesce(base32_sha1(F.col("payload")), "digest").alias("payload_digest"),
+        F.coalesce(F.octet_length("payload").cast("long"), F.when(revisit, F.col("declared_bytes"))).alias("payload_bytes"),
+        F.coalesce("measured", F.when(revisit, F.col("digest"))).alias("payload_digest"),
         "record_type",
         "refers_to",
-        F.coalesce("error", F.when(base32_sha1(F.col("payload")) != F.col("digest"), "the payload's digest differs")).alias("error"),
+        "error",
     )
