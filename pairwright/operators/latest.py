@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .order import positions
+
 
 def latest_wins(attempts: DataFrame, keys: list[str], seq: str) -> DataFrame:
     """The row of the greatest ``seq`` of each key: a partial aggregation, no sort. Null keys are a key."""
@@ -43,17 +45,8 @@ def merge_logs(frames: list[DataFrame], keys: list[str], seq: str) -> DataFrame:
 
 
 def shard(rows: DataFrame, order: str, count: int) -> DataFrame:
-    """``shard`` = position in the order modulo ``count``, positions counted in parallel.
-
-    A global sort by range, a count per partition and running numbers in each: no single-task window.
-    """
-    ordered = rows.orderBy(order).withColumns({"__part": F.spark_partition_id(), "__id": F.monotonically_increasing_id()})
-    ordered = ordered.withColumn("__row", F.col("__id") - F.shiftleft(F.col("__part").cast("long"), 33)).drop("__id").persist()
-    sizes = ordered.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))
-    # One row per partition: small, whatever the number of rows.
-    before = sizes.select("__part", (F.sum("n").over(Window.orderBy("__part")) - F.col("n")).alias("before"))
-    out = ordered.join(F.broadcast(before), "__part")
-    return out.withColumn("position", F.col("before") + F.col("__row")).withColumn("shard", F.col("position") % count).drop("__part", "__row", "before")
+    """``position`` in the order, counted in parallel, and ``shard`` = position modulo ``count``."""
+    return positions(rows, [], [F.col(order)]).withColumn("shard", F.col("position") % count)
 
 
 def set_differences(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

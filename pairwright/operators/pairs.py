@@ -7,6 +7,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.tails import normal_p, t_p
+from .order import average_ranks, ntile
+
 
 def paired(scores: DataFrame, unit: str, system: str, value: str, left: str, right: str, how: str = "drop") -> DataFrame:
     """unit, x (left), y (right). Incomplete pairs are dropped, or with ``how='raise'`` an error at run time."""
@@ -77,16 +80,9 @@ def holm(rows: DataFrame, p: str, by: list[str], family_size: int | None = None)
     return out.withColumn("p_holm", F.when(F.col(p).isNotNull(), running)).drop("__rank", "__step")
 
 
-def average_ranks(rows: DataFrame, by: list[str], value: str, descending: bool = True) -> DataFrame:
-    """``avg_rank``: ties share the mean of their ranks."""
-    order = F.desc(value) if descending else F.asc(value)
-    rank = F.rank().over(Window.partitionBy(*by).orderBy(order))
-    return rows.withColumn("avg_rank", rank + (F.count(F.lit(1)).over(Window.partitionBy(*by, value)) - 1) / 2.0)
-
-
 def tertiles(rows: DataFrame, value: str, key: str, by: list[str] | None = None) -> DataFrame:
-    """``tertile`` 0 to 2 by (value, key as text). Groups should be many or small: a group is sorted in one task."""
-    return rows.withColumn("tertile", F.ntile(3).over(Window.partitionBy(*(by or [])).orderBy(value, F.col(key).cast("string"))) - 1)
+    """``tertile`` 0 to 2 by (value, key as text)."""
+    return ntile(rows, 3, by or [], [F.col(value), F.col(key).cast("string")], "tertile")
 
 
 def extremes(rows: DataFrame, by: list[str], name: str, value: str, tolerance: float = 1e-12) -> DataFrame:
@@ -118,38 +114,55 @@ def inversions(ranks: np.ndarray, weight: np.ndarray) -> int:
     return total
 
 
-def tau_b(x: np.ndarray, y: np.ndarray, c: np.ndarray) -> float:
-    """Kendall's tau-b of the distinct values (x, y), each of which occurs c times; NaN where a side is constant."""
+def tau_b(x: np.ndarray, y: np.ndarray, c: np.ndarray) -> tuple[float, float]:
+    """Kendall's tau-b of the distinct values (x, y), each of which occurs c times, and its normal score; NaN where a side is constant."""
     if np.isnan(x).any() or np.isnan(y).any():
-        return np.nan
+        return np.nan, np.nan
     rx, ry = (np.unique(v, return_inverse=True)[1] for v in (x, y))
     order = np.lexsort((ry, rx))  # ties in x rise in y and so count as no inversion
     tied = lambda n: sum(k * (k - 1) // 2 for k in n.tolist())
     sums = lambda r: np.bincount(r, c).round().astype(np.int64)
-    n = int(c.sum())
-    whole, tx, ty = n * (n - 1) // 2, tied(sums(rx)), tied(sums(ry))
+    n, sx, sy = int(c.sum()), sums(rx), sums(ry)
+    whole, tx, ty = n * (n - 1) // 2, tied(sx), tied(sy)
     nx, ny = whole - tx, whole - ty
     s = whole - tx - ty + tied(c) - 2 * inversions(ry[order], c[order])
-    return s / np.sqrt(float(nx) * float(ny)) if nx and ny else np.nan
+    if not nx or not ny:
+        return np.nan, np.nan
+    # The variance of s under independence, given the ties.
+    cubed = [sum(k * (k - 1) * (k - 2) for k in v.tolist()) for v in (sx, sy)]
+    fifths = [sum(k * (k - 1) * (2 * k + 5) for k in v.tolist()) for v in (sx, sy)]
+    pairs = float(n) * (n - 1)
+    var = (pairs * (2 * n + 5) - sum(fifths)) / 18 + 2.0 * tx * ty / pairs
+    a, b = cubed
+    var += float(a) * b / (9 * pairs * (n - 2)) if n > 2 else 0.0
+    return s / np.sqrt(float(nx) * float(ny)), s / np.sqrt(var)
+
+
+def correlation_p(r: Column, n: Column) -> Column:
+    """Two-sided p of a Pearson or Spearman correlation by Student's t."""
+    t = r * F.sqrt((n - 2) / (1 - r * r))
+    return F.when(F.abs(r) >= 1, F.when(n > 2, 0.0).otherwise(1.0)).when(n > 2, t_p(t, n - 2))
 
 
 def correlations(rows: DataFrame, by: list[str], x: str, y: str, key: str) -> DataFrame:
-    """Pearson, Spearman and Kendall's tau-b of each group.
+    """Pearson, Spearman and Kendall's tau-b of each group, with two-sided p (Student's t; for tau-b the normal score given the ties).
 
     tau-b counts the distinct (x, y) of a group and then their inversions: n log n, a group's distinct values in one task.
     """
     own = rows.select(*by, F.col(key).alias("__key"), F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"))
-    ranked = average_ranks(average_ranks(own, by, "__x").withColumnRenamed("avg_rank", "rx"), by, "__y").withColumnRenamed("avg_rank", "ry")
+    ranked = average_ranks(average_ranks(own, by, "__x", name="rx"), by, "__y", name="ry")
     plain = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), pearson(F.col("__x"), F.col("__y")).alias("pearson"), pearson(F.col("rx"), F.col("ry")).alias("spearman"))
     cells = own.where("__key is not null and __x is not null and __y is not null").groupBy(*by, "__x", "__y").agg(F.count(F.lit(1)).alias("__c"))
 
     def one(c: pd.DataFrame) -> pd.DataFrame:
         got = tau_b(c["__x"].to_numpy(float), c["__y"].to_numpy(float), c["__c"].to_numpy(np.int64))
-        return c[by].head(1).assign(constant=c["__x"].nunique(dropna=False) < 2 or c["__y"].nunique(dropna=False) < 2, kendall=got)
+        return c[by].head(1).assign(constant=c["__x"].nunique(dropna=False) < 2 or c["__y"].nunique(dropna=False) < 2, kendall=got[0], __z=got[1])
 
     kinds = ", ".join(f"`{b}` {rows.schema[b].dataType.simpleString()}" for b in by)
-    tau = cells.groupBy(*by).applyInPandas(one, f"{kinds}, constant boolean, kendall double")
-    return plain.join(tau.select(*by, F.when(~F.col("constant"), F.col("kendall")).alias("kendall")), by, "left")
+    tau = cells.groupBy(*by).applyInPandas(one, f"{kinds}, constant boolean, kendall double, __z double")
+    some = ~F.col("constant")
+    out = plain.join(tau.select(*by, F.when(some, F.col("kendall")).alias("kendall"), F.when(some, normal_p(F.col("__z"))).alias("kendall_p")), by, "left")
+    return out.select(*by, "n", "pearson", correlation_p(F.col("pearson"), F.col("n")).alias("pearson_p"), "spearman", correlation_p(F.col("spearman"), F.col("n")).alias("spearman_p"), "kendall", "kendall_p")
 
 
 def contrast(scores: DataFrame, unit: str, system: str, a: str, b: str, family: list[str]) -> DataFrame:

@@ -1,12 +1,13 @@
 """Resampling inference: portable hash draws as plans, seeded numpy draws by Arrow, one seed per analysis.
 
-A hash draw is a function of (seed, draw, slot), so any engine gives the same. Draw tables hold
-draws times blocks rows of a panel and carry sums per block, never raw rows.
+A hash draw is a function of (seed, draw, unit), so any engine gives the same. A bootstrap draw gives each unit a
+Poisson(1) weight by its hash: units need no numbers, no table of draws is joined, and what a task sends on is sums per draw.
+A permutation draw turns the units' hash order by a hashed offset; places in that order are counted in parallel.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 import numpy as np
 import pandas as pd
@@ -14,66 +15,104 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import hash_rank_key
+from .order import positions
 from .pairs import pearson
 
 
-def numbered(blocks: DataFrame, order: str) -> DataFrame:
-    """``block`` 0, 1, ... in order, and their number ``n``. For panels: one task sorts them."""
-    w = Window.partitionBy()
-    return blocks.withColumns({"block": F.row_number().over(w.orderBy(order)) - 1, "n": F.count(F.lit(1)).over(w)})
+#: Weights of Poisson(1) are whole; a hash above the last bound weighs as many as there are bounds (less than once in 10**12).
+_BOUNDS = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(14)]
+_HASHES = float(16**15)
 
 
-def draws(spark_range: DataFrame, n: Column, seed: int) -> DataFrame:
-    """draw, slot, block for each draw: slots 0 to n - 1 pick a block by hash, with replacement."""
-    slots = spark_range.withColumn("slot", F.explode(F.sequence(F.lit(0), n - 1)))
-    return slots.withColumn("block", (hash_rank_key(seed, F.col("draw"), F.col("slot")) % n).cast("int"))
+def weight(seed: int, draw: Column, *unit: Column) -> Column:
+    """How often a bootstrap draw takes a unit: Poisson(1) by its hash."""
+    u = hash_rank_key(seed, draw, *unit) / F.lit(_HASHES)
+    return sum((F.when(u >= b, 1).otherwise(0) for b in _BOUNDS[1:]), F.when(u >= _BOUNDS[0], 1).otherwise(0))
+
+
+def weight_sql(u: str) -> str:
+    return "(" + " + ".join(f"({u} / {_HASHES!r}::DOUBLE >= {b!r}::DOUBLE)::INT" for b in _BOUNDS) + ")"
+
+
+def _drawn(rows: DataFrame, n_draws: int) -> DataFrame:
+    """``rows`` once for each draw: a fixed number, aggregated where they are made."""
+    return rows.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))))
+
+
+def bootstrap_interval(values: DataFrame, by: list[str], unit: str, value: str, n_draws: int, seed: int) -> DataFrame:
+    """Per group n, mean, and the percentile interval of the mean over hash draws of its units; all groups share a draw's weights."""
+    own = values.select(*by, F.col(unit).alias("__unit"), F.col(value).cast("double").alias("__x")).where("__x is not null")
+    each = _drawn(own, n_draws).withColumn("__k", weight(seed, F.col("draw"), F.col("__unit")))
+    means = each.groupBy(*by, "draw").agg(F.try_divide(F.sum(F.col("__k") * F.col("__x")), F.sum("__k")).alias("m"))
+    ci = means.groupBy(*by).agg(F.percentile("m", 0.025).alias("ci_low"), F.percentile("m", 0.975).alias("ci_high"), F.count("m").alias("n_valid"))
+    point = own.groupBy(*by).agg(F.count("__x").alias("n"), F.avg("__x").alias("mean"))
+    return point.join(ci, by) if by else point.crossJoin(ci)  # one row each
 
 
 def hash_bootstrap(values: DataFrame, unit: str, value: str, n_draws: int, seed: int) -> DataFrame:
-    """Mean of a panel's values with its percentile interval over hash draws."""
-    spark = values.sparkSession
-    own = numbered(values.select(unit, F.col(value).cast("double").alias("x")), unit).select("block", "n", "x")
-    n = own.agg(F.max("n").alias("n"))
-    d = draws(spark.range(n_draws).select(F.col("id").alias("draw")).crossJoin(F.broadcast(n)), F.col("n"), seed)  # n is one row
-    means = d.select("draw", "block").join(own.select("block", "x"), "block").groupBy("draw").agg(F.avg("x").alias("m"))
-    ci = means.agg(F.percentile("m", 0.025).alias("ci_low"), F.percentile("m", 0.975).alias("ci_high"), F.count("m").alias("n_valid"))
-    point = own.agg(F.count("x").alias("n"), F.avg("x").alias("mean"))
-    return point.crossJoin(ci)  # one row each
+    """Mean of values with its percentile interval over hash draws."""
+    return bootstrap_interval(values, [], unit, value, n_draws, seed)
 
 
 def hash_permutation(pairs: DataFrame, unit: str, x: str, y: str, n_draws: int, seed: int) -> DataFrame:
-    """Correlation of a panel with the two-sided p of hash permutations of y over units, smoothed by one."""
-    spark = pairs.sparkSession
-    own = numbered(pairs.select(unit, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")), unit).select("block", "x", "y")
-    each = spark.range(n_draws).select(F.col("id").alias("draw")).join(F.broadcast(own.select("block", "y")), how="cross")  # draws times units
-    order = F.row_number().over(Window.partitionBy("draw").orderBy(hash_rank_key(seed, F.col("draw"), F.col("block")), "block")) - 1
-    moved = each.select("draw", "y", order.alias("block")).join(own.select("block", "x"), "block")
-    r = moved.groupBy("draw").agg(pearson(F.col("x"), F.col("y")).alias("r"))
+    """Correlation of units with the two-sided p of hashed turns of y over the units' hash order, smoothed by one."""
+    own = pairs.select(F.col(unit).alias("__unit"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    own = positions(own.withColumn("__hash", hash_rank_key(seed, F.col("__unit"))), [], [F.col("__hash"), F.col("__unit")], "__place")
     point = own.agg(F.count(F.lit(1)).alias("n"), pearson(F.col("x"), F.col("y")).alias("estimate"))
+    n = F.broadcast(own.agg(F.count(F.lit(1)).alias("__n")))  # one row
+    each = _drawn(own.select("__place", "y"), n_draws).crossJoin(n)
+    turned = each.select("draw", "y", ((F.col("__place") + hash_rank_key(seed, F.col("draw"), F.lit("turn"))) % F.col("__n")).alias("__place"))
+    r = turned.join(own.select("__place", "x"), "__place").groupBy("draw").agg(pearson(F.col("x"), F.col("y")).alias("r"))
     out = r.crossJoin(F.broadcast(point)).groupBy("n", "estimate").agg(F.count("r").alias("n_valid"), F.count(F.when(F.abs("r") >= F.abs("estimate") - 1e-12, 1)).alias("extreme"))
     return out.select("n", "estimate", "n_valid", ((F.col("extreme") + 1) / (F.col("n_valid") + 1)).alias("p_perm"))
 
 
+def _draw_means(scores: DataFrame, unit: str, system: str, value: str, n_draws: int, seed: int) -> DataFrame:
+    """draw, system, m (rounded): means of hash draws of units. A row per draw and system."""
+    cell = scores.groupBy(F.col(unit).alias("__unit"), system).agg(F.avg(F.col(value).cast("double")).alias("x"))
+    each = _drawn(cell, n_draws).withColumn("k", weight(seed, F.col("draw"), F.col("__unit")))
+    return each.groupBy("draw", system).agg(F.round(F.try_divide(F.sum(F.col("k") * F.col("x")), F.sum("k")), 9).alias("m"))
+
+
 def rank_stability(scores: DataFrame, unit: str, system: str, value: str, n_draws: int, seed: int) -> DataFrame:
     """Per system the mean, its rank, and the shares of hash draws of units in which it is first or last (ties share)."""
-    spark = scores.sparkSession
-    cell = scores.groupBy(unit, system).agg(F.avg(F.col(value).cast("double")).alias("x"))
-    blocks = numbered(cell.select(unit).distinct(), unit)
-    own = cell.join(blocks, unit).select("block", system, "x")
-    n = blocks.agg(F.max("n").alias("n"))
-    d = draws(spark.range(n_draws).select(F.col("id").alias("draw")).crossJoin(F.broadcast(n)), F.col("n"), seed)  # n is one row
-    times = d.groupBy("draw", "block").agg(F.count(F.lit(1)).alias("k"))
-    means = times.join(own, "block").groupBy("draw", system).agg((F.sum(F.col("k") * F.col("x")) / F.sum("k")).alias("m"))
+    means = _draw_means(scores, unit, system, value, n_draws, seed)
     w = Window.partitionBy("draw")  # a draw has a row per system
-    means = means.withColumns({"m": F.round("m", 9)}).withColumns({"top": F.max("m").over(w), "low": F.min("m").over(w)})
+    means = means.withColumns({"top": F.max("m").over(w), "low": F.min("m").over(w)})
     means = means.withColumns({"t": (F.col("m") == F.col("top")).cast("double"), "l": (F.col("m") == F.col("low")).cast("double")})
     means = means.withColumns({"t": F.col("t") / F.sum("t").over(w), "l": F.col("l") / F.sum("l").over(w)})
     share = means.groupBy(system).agg(F.avg("t").alias("top_probability"), F.avg("l").alias("bottom_probability"), F.count(F.lit(1)).alias("n_valid"))
-    point = own.groupBy(system).agg(F.avg("x").alias("mean"))
-    point = point.withColumn("rank", F.rank().over(Window.partitionBy().orderBy(F.desc(F.round("mean", 9)))))
+    point = scores.groupBy(unit, system).agg(F.avg(F.col(value).cast("double")).alias("x")).groupBy(system).agg(F.avg("x").alias("mean"))
+    point = point.withColumn("rank", F.rank().over(Window.partitionBy().orderBy(F.desc(F.round("mean", 9)))))  # a row per system
     return point.join(share, system)
 
 
+def rank_agreement(scores: DataFrame, unit: str, system: str, first: str, second: str, n_draws: int, seed: int) -> DataFrame:
+    """Two judges' system means: Pearson and Spearman over systems, the share of draws with one top system in common, and intervals.
+
+    A draw takes the same units for both. Ties at the top share: the chance that two systems picked among them are one.
+    """
+    long = scores.select(unit, F.col(system).alias("__system"), F.explode(F.array(*[F.struct(F.lit(j).alias("judge"), F.col(c).cast("double").alias("v")) for j, c in ((1, first), (2, second))])).alias("j"))
+    long = long.select(unit, F.struct("j.judge", "__system").alias("__key"), "j.v")
+    m = _draw_means(long, unit, "__key", "v", n_draws, seed)
+    point = long.groupBy(unit, "__key").agg(F.avg("v").alias("x")).groupBy("__key").agg(F.round(F.avg("x"), 9).alias("m")).select(F.lit(-1).alias("draw"), "__key", "m")
+    wide = m.unionByName(point).groupBy("draw", F.col("__key.__system").alias("s")).agg(*[F.max(F.when(F.col("__key.judge") == j, F.col("m"))).alias(c) for j, c in ((1, "x"), (2, "y"))])
+    w = Window.partitionBy("draw")  # a row per system
+    for c in ("x", "y"):
+        rank = F.rank().over(w.orderBy(F.desc(c))) + (F.count(F.lit(1)).over(Window.partitionBy("draw", c)) - 1) / 2.0
+        top = (F.col(c) == F.max(c).over(w)).cast("double")
+        wide = wide.withColumns({f"r{c}": rank, f"t{c}": top})
+    per = wide.groupBy("draw").agg(
+        pearson(F.col("x"), F.col("y")).alias("pearson"), pearson(F.col("rx"), F.col("ry")).alias("spearman"), (F.sum(F.col("tx") * F.col("ty")) / (F.sum("tx") * F.sum("ty"))).alias("same_top"), F.count(F.lit(1)).alias("n_systems")
+    )
+    at, drawn = F.col("draw") == -1, F.col("draw") >= 0
+    out = [F.max(F.when(at, F.col("n_systems"))).alias("n_systems")]
+    for c in ("pearson", "spearman"):
+        x = F.when(drawn, F.col(c))
+        out += [F.max(F.when(at, F.col(c))).alias(c), F.percentile(x, 0.025).alias(f"{c}_low"), F.percentile(x, 0.975).alias(f"{c}_high")]
+    return per.agg(*out, F.avg(F.when(drawn, F.col("same_top"))).alias("same_top_probability"), F.count(F.when(drawn, 1)).alias("n_valid"))
+
+
 def stratified_resample(population: DataFrame, panel: DataFrame, stratum: str, key: str, value: str, n_draws: int, seed: int) -> DataFrame:
     """Whether a panel's mean is what samples of its strata counts, drawn without replacement, would give.
 
@@ -83,9 +122,18 @@ def stratified_resample(population: DataFrame, panel: DataFrame, stratum: str, k
     counts = panel.groupBy(stratum).agg(F.count(F.lit(1)).alias("k"))
     own = population.join(F.broadcast(counts), stratum).select(stratum, key, "k", F.col(value).cast("double").alias("x"))
     expected = own.groupBy(stratum, "k").agg(F.avg("x").alias("m")).agg((F.sum(F.col("k") * F.col("m")) / F.sum("k")).alias("expected"), F.sum("k").alias("n"))
-    each = own.join(F.broadcast(spark.range(n_draws).select(F.col("id").alias("draw"))), how="cross")  # a fixed number of draws
-    rank = F.row_number().over(Window.partitionBy("draw", stratum).orderBy(hash_rank_key(seed, F.col("draw"), F.col(key)), key))
-    means = each.withColumn("rank", rank).where(F.col("rank") <= F.col("k")).groupBy("draw").agg(F.avg("x").alias("m"))
+    # Of a stratum's N hashes the k lowest lie below (k + 6 sqrt(k) + 20) / N of their range but for less than once in 10**8
+    # draws; where they don't, all rows of that draw and stratum are ranked. So a draw ranks about k rows of a stratum.
+    size = own.groupBy(stratum).agg(F.count(F.lit(1)).alias("__size"))
+    own = own.join(F.broadcast(size), stratum).withColumn("__bound", (F.col("k") + 6 * F.sqrt("k") + 20) / F.col("__size") * F.lit(_HASHES))
+    each = _drawn(own, n_draws).withColumn("__hash", hash_rank_key(seed, F.col("draw"), F.col(key)))
+    low = each.where(F.col("__hash") <= F.col("__bound"))
+    every = _drawn(size.join(F.broadcast(counts), stratum), n_draws)  # draws times strata
+    enough = low.groupBy("draw", stratum).agg(F.count(F.lit(1)).alias("__found"))
+    short = every.join(enough, ["draw", stratum], "left").where(F.coalesce("__found", F.lit(0)) < F.least("k", "__size")).select("draw", stratum)
+    both = low.unionByName(each.where(F.col("__hash") > F.col("__bound")).join(F.broadcast(short), ["draw", stratum], "left_semi"))
+    rank = F.row_number().over(Window.partitionBy("draw", stratum).orderBy("__hash", key))
+    means = both.withColumn("rank", rank).where(F.col("rank") <= F.col("k")).groupBy("draw").agg(F.avg("x").alias("m"))
     seen = panel.agg(F.avg(F.col(value).cast("double")).alias("observed"))
     point = seen.crossJoin(expected)  # one row each
     out = means.crossJoin(F.broadcast(point)).groupBy("observed", "expected", "n").agg(
@@ -96,12 +144,19 @@ def stratified_resample(population: DataFrame, panel: DataFrame, stratum: str, k
     return out.select("observed", "expected", "n", "ci_low", "ci_high", "n_valid", ((F.col("extreme") + 1) / (F.col("n_valid") + 1)).alias("p_resample"), inside.alias("inside"))
 
 
+def _portions(n_draws: int, width: int) -> list[int]:
+    """Draws in portions whose matrices stay below four million cells; the generator gives the same draws in any portions."""
+    step = max(1, (1 << 22) // max(1, width))
+    return [min(step, n_draws - k) for k in range(0, n_draws, step)]
+
+
 def numpy_bootstrap(pairs: DataFrame, group: str, unit: str, n_draws: int, seed: int) -> DataFrame:
     """Percentile interval of the mean of y - x per group, by a seeded generator over units in order. Groups are panels."""
 
     def one(own: pd.DataFrame) -> pd.DataFrame:
         d = (own["y"] - own["x"])[np.argsort(own[unit].to_numpy(), kind="stable")].to_numpy()
-        means = d[np.random.default_rng(seed).integers(0, len(d), (n_draws, len(d)))].mean(1)
+        rng = np.random.default_rng(seed)
+        means = np.concatenate([d[rng.integers(0, len(d), (k, len(d)))].mean(1) for k in _portions(n_draws, len(d))])
         low, high = np.percentile(means, [2.5, 97.5])
         return pd.DataFrame({group: [own[group].iloc[0]], "n": [len(d)], "delta": [d.mean()], "ci_low": [low], "ci_high": [high]})
 
@@ -134,7 +189,8 @@ def correlation_bootstrap(rows: DataFrame, group: str, unit: str, x: str, y: str
     def one(own: pd.DataFrame) -> pd.DataFrame:
         codes, units = pd.factorize(own[unit], sort=True)
         sums = _sums(codes, len(units), *[own[c].to_numpy(float) for c in (x, y)])
-        got = _r(sums[np.random.default_rng(seed).integers(0, len(units), (n_draws, len(units)))].sum(1))
+        rng = np.random.default_rng(seed)
+        got = np.concatenate([_r(sums[rng.integers(0, len(units), (k, len(units)))].sum(1)) for k in _portions(n_draws, 6 * len(units))])
         n, low, high = _interval(got, n_draws, least_valid)
         return pd.DataFrame({group: [own[group].iloc[0]], "estimate": _r(sums.sum(0, keepdims=True)), "n_valid": [n], "ci_low": [low], "ci_high": [high]})
 
@@ -148,8 +204,9 @@ def correlation_difference(rows: DataFrame, group: str, unit: str, first: str, s
     def one(own: pd.DataFrame) -> pd.DataFrame:
         codes, units = pd.factorize(own[unit], sort=True)
         a, b = (_sums(codes, len(units), own[c].to_numpy(float), own[y].to_numpy(float)) for c in (first, second))
-        pick = np.random.default_rng(seed).integers(0, len(units), (n_draws, len(units)))
-        got = _r(b[pick].sum(1)) - _r(a[pick].sum(1))
+        rng = np.random.default_rng(seed)
+        picks = (rng.integers(0, len(units), (k, len(units))) for k in _portions(n_draws, 12 * len(units)))
+        got = np.concatenate([_r(b[p].sum(1)) - _r(a[p].sum(1)) for p in picks])
         n, low, high = _interval(got, n_draws, least_valid)
         point = _r(b.sum(0, keepdims=True)) - _r(a.sum(0, keepdims=True))
         p = difference_p(got[~np.isnan(got)]) if n else np.nan

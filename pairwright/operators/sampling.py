@@ -7,10 +7,11 @@ import string
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import hash_rank_key
+from .order import first
 
 
 def allocate(counts: DataFrame, group: str, n: int, first: str) -> DataFrame:
@@ -29,25 +30,17 @@ def allocate(counts: DataFrame, group: str, n: int, first: str) -> DataFrame:
     return own.select(group, "count", (F.col("base") + F.when((F.col("__order") <= F.col("__left")) & (F.col("base") < F.col("count")), 1).otherwise(0)).cast("long").alias("quota"))
 
 
-def _lowest(rows: DataFrame, group: str, order: Column, quota: DataFrame) -> DataFrame:
-    """The first ``quota`` rows of each group. A rank limit runs before the shuffle, so that no group is sorted whole in one task."""
-    most = quota.agg(F.max("quota")).first()[0] or 0
-    rank = F.row_number().over(Window.partitionBy(group).orderBy(order))
-    head = rows.withColumn("__rank", rank).where(F.col("__rank") <= most)
-    return head.join(F.broadcast(quota.select(group, "quota")), group).where(F.col("__rank") <= F.col("quota")).drop("__rank", "quota")
-
-
 def head_manifest(rows: DataFrame, group: str, seq: str, n: int) -> DataFrame:
     """The first rows of each group in corpus order, by quota."""
     counts = rows.groupBy(group).agg(F.count(F.lit(1)).alias("count"), F.min(seq).alias("__first"))
-    return _lowest(rows, group, F.col(seq), allocate(counts, group, n, "__first"))
+    return first(rows, group, [F.col(seq)], allocate(counts, group, n, "__first"))
 
 
 def hash_sample(rows: DataFrame, group: str, key: str, n: int, seed: int) -> DataFrame:
     """As ``head_manifest`` in the order of a hash of (seed, key)."""
     counts = rows.groupBy(group).agg(F.count(F.lit(1)).alias("count"), F.min(key).alias("__first"))
     own = rows.withColumn("__hash", hash_rank_key(seed, F.col(key)))
-    return _lowest(own, group, F.struct("__hash", key), allocate(counts, group, n, "__first")).drop("__hash")
+    return first(own, group, [F.col("__hash"), F.col(key)], allocate(counts, group, n, "__first")).drop("__hash")
 
 
 def seeded_panel(ids_by_source: list[tuple[str, list[str]]], quota: dict[str, int], seed: int) -> list[str]:

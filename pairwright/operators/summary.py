@@ -64,7 +64,7 @@ def completeness(attempts: DataFrame, expected: DataFrame, systems: DataFrame, k
     """Counters per system against the expected keys. attempts: all physical rows, with ``seq``."""
     rows = attempts.withColumn("ok", ok)
     per = rows.groupBy(system, key).agg(F.count(F.lit(1)).alias("rows"), F.max_by("ok", "seq").alias("ok"))
-    grid = systems.select(system).join(F.broadcast(expected.select(key).distinct()), how="cross").withColumn("expected", F.lit(True))
+    grid = expected.select(key).distinct().join(F.broadcast(systems.select(system).distinct()), how="cross").withColumn("expected", F.lit(True))  # a few systems
     both = grid.join(per, [system, key], "full_outer")
     count = lambda c: F.count(F.when(c, 1))
     wanted, seen = F.coalesce("expected", F.lit(False)), F.col("rows").isNotNull()
@@ -125,3 +125,10 @@ def leave_one_out(scores: DataFrame, group: str, unit: str, value: str) -> DataF
     total = per.groupBy(group).agg(F.sum("x").alias("s"), F.count(F.lit(1)).alias("n"))
     each = per.join(total, group).withColumn("shift", F.when(F.col("n") > 1, F.abs((F.col("s") - F.col("x")) / (F.col("n") - 1) - F.col("s") / F.col("n"))))
     return each.groupBy(group).agg(F.max("n").alias("n"), F.max(F.col("s") / F.col("n")).alias("mean"), F.max("shift").alias("max_shift"), F.min("shift").alias("min_shift"))
+
+
+def count_string(rows: DataFrame, by: list[str], name: str, alias: str) -> DataFrame:
+    """``k:v;k:v`` of the counts of ``name`` in each group, sorted by key."""
+    counts = rows.groupBy(*by, name).agg(F.count(F.lit(1)).alias("n"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(name, "n"))), lambda x: F.concat_ws(":", x[name], x["n"].cast("string"))), ";")
+    return counts.groupBy(*by).agg(text.alias(alias))

@@ -417,13 +417,13 @@ def w_shards(spark, d):
     return latest.shard(i.table(spark, d, "documents").select("doc_id"), "doc_id", 7).groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.sum("doc_id").alias("ids"))
 
 
-_P = f"{PANEL}, ps AS (SELECT event_type, user_id, CASE WHEN user_id % 9 = 0 THEN NULL ELSE round((a - floor(a)) / 50, 8) END AS p FROM panel WHERE user_id < 40)"
+_P = f"{PANEL}, ps AS (SELECT event_type, user_id, CASE WHEN user_id % 9 = 0 THEN NULL ELSE round((a - floor(a)) / 50, 8) END AS p FROM panel)"
 _HOLM = "SELECT event_type, user_id, p, round(CASE WHEN p IS NOT NULL THEN max(least(1.0, ({m} - k + 1) * p)) OVER (PARTITION BY event_type, p IS NULL ORDER BY k) END, 8) AS p_holm FROM (SELECT *, row_number() OVER (PARTITION BY event_type, p IS NULL ORDER BY p) AS k, count(p) OVER (PARTITION BY event_type) AS cnt FROM ps)"
 
 
-def _p_values(spark, d, where: str = "user_id < 40"):
+def _p_values(spark, d):
     p = F.round((F.col("a") - F.floor("a")) / 50, 8)
-    return i.panel(spark, d).where(where).select("event_type", "user_id", F.when(F.col("user_id") % 9 != 0, p).alias("p"))
+    return i.panel(spark, d).select("event_type", "user_id", F.when(F.col("user_id") % 9 != 0, p).alias("p"))
 
 
 @query(f"WITH {_P} {_HOLM.format(m='cnt')}")
@@ -431,23 +431,10 @@ def w_holm(spark, d):
     return rounded(pairs.holm(_p_values(spark, d), "p", ["event_type"]))
 
 
-@query(f"WITH {_P} {_HOLM.format(m='45')}")
+@query(f"WITH {_P} {_HOLM.format(m='(SELECT count(DISTINCT user_id) FROM panel)')}")
 def w_holm_declared(spark, d):
-    return rounded(pairs.holm(_p_values(spark, d), "p", ["event_type"], family_size=45))
-
-
-_P_PANEL = _P.replace(" WHERE user_id < 40", "")
-
-
-@query(f"WITH {_P_PANEL} {_HOLM.format(m='cnt')}")
-def w_holm_panel(spark, d):
-    return rounded(pairs.holm(_p_values(spark, d, "true"), "p", ["event_type"]))
-
-
-@query(f"WITH {_P_PANEL} {_HOLM.format(m='(SELECT count(DISTINCT user_id) FROM panel)')}")
-def w_holm_panel_declared(spark, d):
     users = i.panel(spark, d).agg(F.count_distinct("user_id")).first()[0]  # a test was planned for each of them
-    return rounded(pairs.holm(_p_values(spark, d, "true"), "p", ["event_type"], family_size=users))
+    return rounded(pairs.holm(_p_values(spark, d), "p", ["event_type"], family_size=users))
 
 
 _RANKED = f"{PANEL}, v AS (SELECT event_type, user_id, floor(a / 10) AS v FROM panel)"
@@ -522,26 +509,6 @@ def i_wilcoxon_p(spark, d):
     return pairs.holm(r.select("family", "n", "w", p("w", "n", "ties", "zeros").alias("p")), "p", [])
 
 
-_KENDALL = f"""{PANEL}, f AS (SELECT user_id, event_type, floor(a) AS x, floor(b / 3) AS y FROM panel WHERE user_id < 60),
-rk AS (SELECT *, rank() OVER (PARTITION BY event_type ORDER BY x) + (count(*) OVER (PARTITION BY event_type, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY event_type ORDER BY y) + (count(*) OVER (PARTITION BY event_type, y) - 1) / 2.0 AS ry FROM f),
-tau AS (SELECT l.event_type, sum(sign(l.x - r.x) * sign(l.y - r.y)) AS s, sum(abs(sign(l.x - r.x))) AS nx, sum(abs(sign(l.y - r.y))) AS ny FROM f l JOIN f r ON l.event_type = r.event_type AND l.user_id < r.user_id GROUP BY l.event_type)"""
-
-
-@query(f"WITH {_KENDALL} SELECT event_type, count(*) AS n, round(corr(x, y), 8) AS pearson, round(corr(rx::DOUBLE, ry::DOUBLE), 8) AS spearman, round(any_value(s / sqrt(nx::DOUBLE * ny)), 8) AS kendall FROM rk JOIN tau USING (event_type) GROUP BY event_type")
-def i_correlations(spark, d):
-    p = i.panel(spark, d).where("user_id < 60").select("user_id", "event_type", F.floor("a").alias("x"), F.floor(F.col("b") / 3).alias("y"))
-    return rounded(pairs.correlations(p, ["event_type"], "x", "y", "user_id"))
-
-
-_KENDALL_PANEL = _KENDALL.replace(" WHERE user_id < 60", "")
-
-
-@query(f"WITH {_KENDALL_PANEL} SELECT event_type, count(*) AS n, round(corr(x, y), 8) AS pearson, round(corr(rx::DOUBLE, ry::DOUBLE), 8) AS spearman, round(any_value(s / sqrt(nx::DOUBLE * ny)), 8) AS kendall FROM rk JOIN tau USING (event_type) GROUP BY event_type")
-def i_correlations_panel(spark, d):
-    p = i.panel(spark, d).select("user_id", "event_type", F.floor("a").alias("x"), F.floor(F.col("b") / 3).alias("y"))
-    return rounded(pairs.correlations(p, ["event_type"], "x", "y", "user_id"))
-
-
 @query(f"WITH {PANEL}, c AS (SELECT user_id, avg(b - a) FILTER (event_type IN ('view', 'click')) - avg(b - a) FILTER (event_type NOT IN ('view', 'click')) AS d FROM panel GROUP BY user_id) SELECT count(d) AS n, round(avg(d), 8) AS contrast, {_DZ.format(d='d')} FROM c")
 def i_did_contrast(spark, d):
     return rounded(pairs.contrast(i.panel(spark, d), "user_id", "event_type", "a", "b", ["view", "click"]))
@@ -551,27 +518,28 @@ _H = "('0x' || substr(sha256({s}), 1, 15))::BIGINT"
 _DRAWS = 200
 
 
-@query(f"""WITH {PANEL}, v AS (SELECT row_number() OVER (ORDER BY user_id) - 1 AS block, count(*) OVER () AS n, b - a AS x FROM panel WHERE event_type = 'view'),
-dr AS (SELECT d, {_H.format(s=f"'{SEED}:' || d || ':' || s")} % n AS block FROM range({_DRAWS}) t(d), (SELECT block AS s, n FROM v)),
-m AS (SELECT d, avg(x) AS m FROM dr JOIN v USING (block) GROUP BY d)
+_W = resample.weight_sql(_H.format(s=f"'{SEED}:' || d || ':' || user_id"))
+
+
+@query(f"""WITH {PANEL}, v AS (SELECT user_id, b - a AS x FROM panel WHERE event_type = 'view'), dr AS (SELECT d, x, {_W} AS k FROM v, range({_DRAWS}) t(d)), m AS (SELECT d, sum(k * x) / sum(k) AS m FROM dr GROUP BY d)
 SELECT (SELECT count(*) FROM v) AS n, round((SELECT avg(x) FROM v), 8) AS mean, round(quantile_cont(m, 0.025), 8) AS ci_low, round(quantile_cont(m, 0.975), 8) AS ci_high, count(m) AS n_valid FROM m""")
 def i_hash_bootstrap(spark, d):
     v = i.panel(spark, d).where("event_type = 'view'").select("user_id", (F.col("b") - F.col("a")).alias("x"))
     return rounded(resample.hash_bootstrap(v, "user_id", "x", _DRAWS, SEED))
 
 
-@query(f"""WITH {PANEL}, v AS (SELECT row_number() OVER (ORDER BY user_id) - 1 AS block, a AS x, b AS y FROM panel WHERE event_type = 'click'),
-pm AS (SELECT d, y, row_number() OVER (PARTITION BY d ORDER BY {_H.format(s=f"'{SEED}:' || d || ':' || block")}, block) - 1 AS block FROM range({_DRAWS}) t(d), v),
-r AS (SELECT d, corr(v.x, pm.y) AS r FROM pm JOIN v USING (block) GROUP BY d), e AS (SELECT count(*) AS n, corr(x, y) AS estimate FROM v)
+@query(f"""WITH {PANEL}, v AS (SELECT row_number() OVER (ORDER BY {_H.format(s=f"'{SEED}:' || user_id")}, user_id) - 1 AS place, count(*) OVER () AS n, a AS x, b AS y FROM panel WHERE event_type = 'click'),
+pm AS (SELECT d, y, (place + {_H.format(s=f"'{SEED}:' || d || ':turn'")}) % n AS place FROM range({_DRAWS}) t(d), v),
+r AS (SELECT d, corr(v.x, pm.y) AS r FROM pm JOIN v USING (place) GROUP BY d), e AS (SELECT count(*) AS n, corr(x, y) AS estimate FROM v)
 SELECT n, round(estimate, 8) AS estimate, count(r) AS n_valid, round((count(*) FILTER (abs(r) >= abs(estimate) - 1e-12) + 1) / (count(r) + 1), 8)::DOUBLE AS p_perm FROM r, e GROUP BY n, estimate""")
 def i_permutation(spark, d):
     return rounded(resample.hash_permutation(i.panel(spark, d).where("event_type = 'click'"), "user_id", "a", "b", _DRAWS, SEED))
 
 
-@query(f"""WITH {PANEL}, bl AS (SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS block, count(*) OVER () AS n FROM (SELECT DISTINCT user_id FROM panel)),
-dr AS (SELECT d, {_H.format(s=f"'{SEED}:' || d || ':' || s")} % n AS block FROM range({_DRAWS}) t(d), (SELECT block AS s, n FROM bl)),
-m AS (SELECT d, event_type, round(avg(a), 9) AS m FROM dr JOIN bl USING (block) JOIN panel USING (user_id) GROUP BY d, event_type),
-w AS (SELECT *, (m = max(m) OVER (PARTITION BY d))::INT AS t, (m = min(m) OVER (PARTITION BY d))::INT AS l FROM m),
+_DRAW_MEANS = f"""m AS (SELECT d, event_type, round(sum(k * a) / sum(k), 9) AS a, round(sum(k * b) / sum(k), 9) AS b FROM (SELECT d, event_type, a, b, {_W} AS k FROM panel, range({_DRAWS}) t(d)) GROUP BY d, event_type)"""
+
+
+@query(f"""WITH {PANEL}, {_DRAW_MEANS}, w AS (SELECT *, (a = max(a) OVER (PARTITION BY d))::INT AS t, (a = min(a) OVER (PARTITION BY d))::INT AS l FROM m),
 s AS (SELECT *, t::DOUBLE / sum(t) OVER (PARTITION BY d) AS tt, l::DOUBLE / sum(l) OVER (PARTITION BY d) AS ll FROM w),
 p AS (SELECT event_type, avg(a) AS mean FROM panel GROUP BY event_type)
 SELECT event_type, round(mean, 8) AS mean, rank() OVER (ORDER BY round(mean, 9) DESC)::INT AS rank, round(top_probability, 8) AS top_probability, round(bottom_probability, 8) AS bottom_probability, n_valid
@@ -580,6 +548,16 @@ def i_rank_stability(spark, d):
     return rounded(resample.rank_stability(i.panel(spark, d), "user_id", "event_type", "a", _DRAWS, SEED))
 
 
+@query(f"""WITH {PANEL}, {_DRAW_MEANS}, z AS (SELECT * FROM m UNION ALL SELECT -1, event_type, round(avg(a), 9), round(avg(b), 9) FROM panel GROUP BY event_type),
+w AS (SELECT *, rank() OVER (PARTITION BY d ORDER BY a DESC) + (count(*) OVER (PARTITION BY d, a) - 1) / 2.0::DOUBLE AS rx, rank() OVER (PARTITION BY d ORDER BY b DESC) + (count(*) OVER (PARTITION BY d, b) - 1) / 2.0::DOUBLE AS ry, (a = max(a) OVER (PARTITION BY d))::INT AS tx, (b = max(b) OVER (PARTITION BY d))::INT AS ty FROM z),
+p AS (SELECT d, count(*) AS n, corr(a, b) AS pearson, corr(rx, ry) AS spearman, sum(tx * ty)::DOUBLE / (sum(tx) * sum(ty)) AS same_top FROM w GROUP BY d)
+SELECT max(n) FILTER (d = -1) AS n_systems, round(max(pearson) FILTER (d = -1), 8) AS pearson, round(quantile_cont(pearson, 0.025) FILTER (d >= 0), 8) AS pearson_low, round(quantile_cont(pearson, 0.975) FILTER (d >= 0), 8) AS pearson_high,
+  round(max(spearman) FILTER (d = -1), 8) AS spearman, round(quantile_cont(spearman, 0.025) FILTER (d >= 0), 8) AS spearman_low, round(quantile_cont(spearman, 0.975) FILTER (d >= 0), 8) AS spearman_high,
+  round(avg(same_top) FILTER (d >= 0), 8) AS same_top_probability, count(*) FILTER (d >= 0) AS n_valid FROM p""")
+def i_rank_agreement(spark, d):
+    return rounded(resample.rank_agreement(i.panel(spark, d), "user_id", "event_type", "a", "b", _DRAWS, SEED))
+
+
 @query(f"""WITH pop AS (SELECT lang, doc_id, n_chars::DOUBLE AS x FROM documents), panel AS (SELECT * FROM pop WHERE doc_id % 25 = 0), k AS (SELECT lang, count(*) AS k FROM panel GROUP BY lang),
 e AS (SELECT sum(k * m) / sum(k) AS expected, sum(k)::BIGINT AS n FROM (SELECT lang, any_value(k) AS k, avg(x) AS m FROM pop JOIN k USING (lang) GROUP BY lang)), o AS (SELECT avg(x) AS observed FROM panel),
 rk AS (SELECT d, x, k, row_number() OVER (PARTITION BY d, lang ORDER BY {_H.format(s=f"'{SEED}:' || d || ':' || doc_id")}, doc_id) AS r FROM range(40) t(d), pop JOIN k USING (lang)),
@@ -615,7 +593,7 @@ _SL = f"""{PANEL}, dm AS (SELECT user_id, a - avg(a) OVER (PARTITION BY user_id)
 p AS (SELECT user_id, sum(x * y) AS xy, sum(x * x) AS xx FROM dm GROUP BY user_id), f AS (SELECT sum(xy) / sum(xx) AS b, sum(xx) AS sxx, count(*)::DOUBLE AS r FROM p), m AS (SELECT sum(pow(xy - b * xx, 2)) AS m FROM p, f), c AS (SELECT count(*)::DOUBLE AS n, count(DISTINCT event_type)::DOUBLE AS s FROM panel)"""
 
 
-@query(f"WITH {_SL} SELECT round(b, 8) AS slope, round(sqrt(m / (sxx * sxx) * r / (r - 1) * (n - 1) / (n - r - s)), 8) AS se, n::BIGINT AS n_obs, (r - 1)::BIGINT AS df FROM f, m, c")
+@query(f"WITH {_SL} SELECT round(b, 8) AS slope, round(sqrt(m / (sxx * sxx) * r / (r - 1) * (n - 1) / (n - r - s)), 8) AS se, n::BIGINT AS n_obs, (r - 1)::BIGINT AS df, round(1 - ((SELECT sum(y * y) FROM dm) - b * b * sxx) / (SELECT var_pop(a) * count(*) FROM panel), 8) AS r_squared FROM f, m, c")
 def m_fe_wordcount(spark, d):
     return rounded(models.fe_slope(i.panel(spark, d), "user_id", "event_type", "a", "b"))
 
@@ -681,16 +659,9 @@ def k_sparse_union(spark, d):
     return rounded(sparse_union(a.select(kind("mean"), "*"), b.select(kind("count"), "*"), p.agg(F.max("a").alias("top")).select(kind("top"), "*")))
 
 
-@query(f"""WITH {PANEL}, x AS (SELECT user_id, event_type, round(b, 0)::BIGINT AS b FROM panel WHERE user_id < 50)
-SELECT user_id, string_agg('| ' || event_type || ' | ' || b || '.00 |', chr(10) ORDER BY event_type) AS "table" FROM x GROUP BY user_id""")
-def k_report_table(spark, d):
-    p = i.panel(spark, d).where("user_id < 50").select("user_id", "event_type", F.round("b", 0).alias("b"))
-    return report.report(p, "user_id", "event_type", [F.col("event_type"), report.number(F.col("b"))])
-
-
 @query(f"""WITH {PANEL}, x AS (SELECT user_id, event_type, round(b, 0)::BIGINT AS b FROM panel)
 SELECT user_id, string_agg('| ' || event_type || ' | ' || b || '.00 |', chr(10) ORDER BY event_type) AS "table" FROM x GROUP BY user_id""")
-def k_report_panel(spark, d):
+def k_report_table(spark, d):
     p = i.panel(spark, d).select("user_id", "event_type", F.round("b", 0).alias("b"))
     return report.report(p, "user_id", "event_type", [F.col("event_type"), report.number(F.col("b"))])
 

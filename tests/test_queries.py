@@ -43,7 +43,7 @@ def test_runs(spark, name):
 def test_whole_panels_leave_out_no_unit(spark):
     folder = FOLDER.replace("sf0.001", "sf0.01")
     units = spark.read.parquet(f"{folder}/events.parquet").select("user_id", "event_type").distinct()
-    for name in ("w_holm_panel", "w_holm_panel_declared"):
+    for name in ("w_holm", "w_holm_declared"):
         out = catalog.queries()[name](spark, folder)
         assert out.count() == units.count() and out.where("user_id >= 40").count() > 0
 
@@ -51,6 +51,6 @@ def test_whole_panels_leave_out_no_unit(spark):
 def test_reports_and_calls_leave_out_no_row(spark):
     folder = FOLDER.replace("sf0.001", "sf0.01")
     users = spark.read.parquet(f"{folder}/events.parquet").select("user_id").distinct().count()
-    assert catalog.queries()["k_report_panel"](spark, folder).count() == users > 50
+    assert catalog.queries()["k_report_table"](spark, folder).count() == users > 50
     said = spark.read.parquet(f"{folder}/conversations.parquet").where("role = 'user'").count()
     assert catalog.queries()["s_provider_rows"](spark, folder).count() == said
