@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import analyses as _analyses  # noqa: F401  (registers its queries)
+from .plans import analyses as _analyses, small as _small  # noqa: F401  (they register their queries)
 from .plans.queries import ORACLE, QUERIES
 
 

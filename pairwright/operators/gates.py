@@ -115,3 +115,35 @@ def release_files(names: list[str], expected: set[str]) -> dict[str, list[str]]:
         "not_csv": sorted(n for n in names if not n.lower().endswith(".csv")),
         "forbidden": sorted(n for n in names if re.search(FORBIDDEN_FILE, n)),
     }
+
+
+def one_layer(rows: DataFrame, layer: str = "layer") -> DataFrame:
+    """A layer's table isn't empty and names one layer."""
+    n = rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(layer).alias("l"), F.count(F.when(F.col(layer).isNull(), 1)).alias("blank"))
+    checks = {"empty_layer": F.col("n") == 0, "several_layers": F.col("l") > 1, "no_layer": (F.col("blank") > 0) | ((F.col("n") > 0) & (F.col("l") == 0))}
+    return n.select(F.explode(F.array(*[F.struct(F.lit(k).alias("check"), c.cast("long").alias("n")) for k, c in checks.items()])).alias("x")).select("x.*")
+
+
+def merged_layers(layers: dict[str, DataFrame], identity: list[str], layer: str = "layer") -> tuple[DataFrame, DataFrame]:
+    """(the layers' tables under one another, violations): each holds its own layer's rows alone, and no row twice."""
+    found = []
+    for name, t in layers.items():
+        missing = [c for c in identity if c not in t.columns]
+        if missing:
+            raise GateError(f"{name}: no columns {missing}")
+        wrong = t.agg(F.count(F.when(~F.col(layer).eqNullSafe(F.lit(name)), 1)).alias("n")).select(F.lit(f"{name}_wrong_layer").alias("check"), "n")
+        found += [wrong, duplicates(t, identity, f"{name}_duplicates")]
+    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), layers.values())
+    return both, union(*found, duplicates(both, identity, "duplicates_across_layers"))
+
+
+def missing_columns(rows: DataFrame, names: list[str]) -> DataFrame:
+    """Columns that a table should have and hasn't."""
+    n = len([c for c in names if c not in rows.columns])
+    return rows.sparkSession.range(1).select(F.lit("missing_columns").alias("check"), F.lit(n).cast("long").alias("n"))
+
+
+def numeric_kinds(rows: DataFrame, column: str) -> DataFrame:
+    """JSON texts that stand for a number but are none: booleans and quoted numbers."""
+    raw = F.trim(F.col(column))
+    return row_checks(rows, {f"{column}_boolean": ~F.lower(raw).isin("true", "false"), f"{column}_quoted": ~raw.rlike('^".*"$')})

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -121,3 +123,39 @@ def token_number(raw: Column, field: str) -> Column:
     """A token count of a JSON usage object: details first, then the object."""
     nested = F.get_json_object(raw, f"$.completion_tokens_details.{field}")
     return F.coalesce(nested, F.get_json_object(raw, f"$.{field}")).try_cast("double")
+
+
+#: What two kinds of judge services are asked with: fixed values of their protocols.
+SERVICES = {
+    "plain": {"temperature": 0.0, "max_tokens": 8192, "stream": False, "thinking": {"type": "disabled"}},
+    "reasoning": {"reasoning_effort": "high", "stream": False, "response_format": {"type": "json_object"}, "max_completion_tokens": 8192},
+}
+
+
+def request(prompt_text: Column, model: str, service: str) -> Column:
+    """The JSON body that asks a judge of a kind of service."""
+    head = json.dumps({"model": model}, ensure_ascii=False)[:-1]
+    tail = json.dumps(SERVICES[service])[1:]
+    body = F.to_json(F.array(F.struct(F.lit("user").alias("role"), text(prompt_text).alias("content"))))
+    return F.concat(F.lit(head + ', "messages": '), body, F.lit(", " + tail))
+
+
+def answer(response: Column) -> Column:
+    """(content, reasoning, model, input and output tokens) of a service's JSON response; missing parts are empty or null."""
+    get = lambda path: F.get_json_object(response, path)
+    return F.struct(
+        text(get("$.choices[0].message.content")).alias("content"), text(get("$.choices[0].message.reasoning_content")).alias("reasoning"), get("$.model").alias("model"),
+        get("$.usage.prompt_tokens").try_cast("long").alias("input_tokens"), get("$.usage.completion_tokens").try_cast("long").alias("output_tokens"),
+    )
+
+
+def run(prompts: DataFrame, record: str, ask, done: DataFrame | None = None) -> DataFrame:
+    """Judge what isn't judged yet. prompts: record, candidates, expected (letters), mapping; ``ask`` gives ``raw`` answers to ``candidates``.
+
+    An answer whose JSON is broken or isn't about the expected candidates keeps its row, with status ``invalid``.
+    """
+    work = prompts if done is None else prompts.join(done.where("status = 'ok'").select(record), record, "left_anti")
+    asked = parse(ask(work), "raw")
+    named = F.transform("answer.candidate_scores", lambda c: c["candidate_id"])
+    good = F.col("answer").isNotNull() & F.coalesce(F.array_sort(named) == F.array_sort("expected"), F.lit(False))
+    return asked.withColumn("status", F.when(good, "ok").otherwise("invalid"))

@@ -57,3 +57,31 @@ def set_differences(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return both.select(F.col("l").isNotNull().alias("l"), F.col("r").isNotNull().alias("r")).agg(
         count(F.col("l") & ~F.col("r")).alias("only_left"), count(~F.col("l") & F.col("r")).alias("only_right"), count(F.col("l") & F.col("r")).alias("common")
     )
+
+
+def with_values(pairs: DataFrame, values: DataFrame, keys: list[str]) -> DataFrame:
+    """Every pair with its values, null where there are none. Two rows of values for one pair are an error at run time."""
+    rest = [c for c in values.columns if c not in keys]
+    one = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.first(F.struct(*rest)).alias("__v"))
+    single = F.when(F.col("__n") > 1, F.raise_error(F.lit("several values for one pair"))).otherwise(F.col("__v"))
+    one = one.select(*keys, single.alias("__v"))
+    return pairs.join(one, keys, "left").select(*pairs.columns, *[F.col(f"__v.{c}").alias(c) for c in rest])
+
+
+def joined_whole(rows: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """An inner join that may lose no row: one without a partner is an error at run time."""
+    tagged = other.withColumn("__here", F.lit(True))
+    out = rows.join(tagged, keys, "left")
+    whole = F.when(F.col("__here").isNull(), F.raise_error(F.concat(F.lit("no partner for "), F.concat_ws("/", *[F.col(k).cast("string") for k in keys])))).otherwise(F.col(keys[0]))
+    return out.withColumn(keys[0], whole).drop("__here")
+
+
+def looked_up(cases: DataFrame, tables: dict[str, DataFrame], key: str) -> DataFrame:
+    """A few curated cases with a JSON object of their row in each table, ``{}`` where there is none. Tables are read for these cases alone."""
+    out = cases
+    few = F.broadcast(cases.select(key).distinct())  # curated by hand
+    for name, t in tables.items():
+        rest = [c for c in t.columns if c != key]
+        own = t.join(few, key, "left_semi").groupBy(key).agg(F.max(F.struct(*rest)).alias("__r"))
+        out = out.join(own, key, "left").withColumn(name, F.coalesce(F.to_json("__r"), F.lit("{}"))).drop("__r")
+    return out

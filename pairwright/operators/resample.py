@@ -128,7 +128,7 @@ def stratified_resample(population: DataFrame, panel: DataFrame, stratum: str, k
     own = own.join(F.broadcast(size), stratum).withColumn("__bound", (F.col("k") + 6 * F.sqrt("k") + 20) / F.col("__size") * F.lit(_HASHES))
     each = _drawn(own, n_draws).withColumn("__hash", hash_rank_key(seed, F.col("draw"), F.col(key)))
     low = each.where(F.col("__hash") <= F.col("__bound"))
-    every = _drawn(size.join(F.broadcast(counts), stratum), n_draws)  # draws times strata
+    every = _drawn(size.join(F.broadcast(counts.select(stratum, "k")), stratum), n_draws)  # draws times strata
     enough = low.groupBy("draw", stratum).agg(F.count(F.lit(1)).alias("__found"))
     short = every.join(enough, ["draw", stratum], "left").where(F.coalesce("__found", F.lit(0)) < F.least("k", "__size")).select("draw", stratum)
     both = low.unionByName(each.where(F.col("__hash") > F.col("__bound")).join(F.broadcast(short), ["draw", stratum], "left_semi"))

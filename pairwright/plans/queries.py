@@ -787,12 +787,3 @@ def i_alignment(spark, d):
 def i_correlation_difference(spark, d):
     p = i.panel(spark, d).withColumn("y", F.col("a") + F.col("b") / 3)
     return rounded(resample.correlation_difference(p, "event_type", "user_id", "a", "b", "y", 2000, resample.analysis_seed(SEED, "difference")))
-
-
-_CONFIG = '{"seed": 7, "systems": [{"id": "one", "shards": 24, "tags": ["a", "b"]}, {"id": "two", "shards": 3, "tags": []}]}'
-
-
-@query("""SELECT * FROM (VALUES (7::BIGINT, 'one', 24::BIGINT, 2), (7, 'two', 3, 0)) t(seed, id, shards, n_tags)""")
-def s_config(spark, d):
-    own = spark.createDataFrame([(_CONFIG,)], "raw string").select(F.from_json("raw", "seed long, systems array<struct<id:string,shards:long,tags:array<string>>>").alias("c"))
-    return own.select("c.seed", F.explode("c.systems").alias("s")).select("seed", "s.id", "s.shards", F.size("s.tags").alias("n_tags"))
