@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import ngram, report, special, ter
+from ..functions import ngram, report, ter
 from ..functions import text as t
+from ..functions.tails import signed_rank_p, signed_rank_p_sql
 from ..operators import gates, judge, latest, models, pairs, providers, resample, sampling, scoring, stages, summary
+from ..sources.staging import shared_path
 from . import inputs as i
 from .inputs import ATT, DIMS, PAIR, PANEL, RATE, rounded
 
@@ -502,11 +502,10 @@ def i_wilcoxon_pratt(spark, d):
     return pairs.signed_ranks(_families(spark, d), ["family"], "pratt", decimals=1)
 
 
-@query()
+@query(f"WITH s AS ({_wilcoxon_sql('true')}), p AS (SELECT family, n, w, {signed_rank_p_sql('w', 'n', 'ties', 'zeros')} AS p FROM s) SELECT family, n, w, round(p, 8) AS p, round(max(least(1.0, (cnt - k + 1) * p)) OVER (ORDER BY k), 8) AS p_holm FROM (SELECT *, row_number() OVER (ORDER BY p) AS k, count(*) OVER () AS cnt FROM p)")
 def i_wilcoxon_p(spark, d):
-    p = F.udf(lambda w, n, ties, zeros: special.wilcoxon_p(w, n, ties, zeros), "double")  # a row per family
-    r = pairs.signed_ranks(_families(spark, d), ["family"], "wilcox")
-    return pairs.holm(r.select("family", "n", "w", p("w", "n", "ties", "zeros").alias("p")), "p", [])
+    r = pairs.signed_ranks(_families(spark, d), ["family"], "pratt", decimals=1)
+    return rounded(pairs.holm(r.select("family", "n", "w", signed_rank_p(F.col("w"), F.col("n"), F.col("ties"), F.col("zeros")).alias("p")), "p", []))
 
 
 @query(f"WITH {PANEL}, c AS (SELECT user_id, avg(b - a) FILTER (event_type IN ('view', 'click')) - avg(b - a) FILTER (event_type NOT IN ('view', 'click')) AS d FROM panel GROUP BY user_id) SELECT count(d) AS n, round(avg(d), 8) AS contrast, {_DZ.format(d='d')} FROM c")
@@ -666,19 +665,18 @@ def k_report_table(spark, d):
     return report.report(p, "user_id", "event_type", [F.col("event_type"), report.number(F.col("b"))])
 
 
-@query()
+@query("SELECT conv_id, 'ok' AS status, CASE WHEN contains(text, 'the') THEN 3 ELSE 1 END AS attempts, CASE WHEN contains(text, 'the') THEN 'second' ELSE 'first' END AS client, length(coalesce(text, ''))::INT AS n_chars FROM conversations WHERE role = 'user'")
 def s_provider_rows(spark, d):
     rows = i.table(spark, d, "conversations").where("role = 'user'").select("conv_id", "text")
     out = providers.call(rows, "text", providers.Retry([providers.EchoClient("first", "the"), providers.EchoClient("second")], times=2))
     return out.select("conv_id", "status", "attempts", "client", F.length("output_text").alias("n_chars"))
 
 
-@query()
+@query("SELECT event_id, user_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1")
 def s_stream_attempts(spark, d):
     from ..streaming import attempts as stream
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="pairwright-")
-    name = f"{base.rstrip('/')}/pairwright/stream-{uuid.uuid4().hex}"
+    name = shared_path(spark, "stream")
     events = i.table(spark, d, "events").select("event_id", "user_id", "event_type", "value")
     events.write.mode("overwrite").parquet(f"{name}/log")
     q = stream.upsert_latest(stream.read_log(spark, f"{name}/log", events.schema), f"{name}/state", f"{name}/checkpoint", ["user_id", "event_type"], "event_id")
