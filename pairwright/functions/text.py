@@ -24,6 +24,8 @@ CONTAMINATION = [
     r"\bbefore\s+translat(?:ing|e)\b",
     r"\bfinal\s+english\s+poem\b",
 ]
+#: What a text must hold for each of them: a search that is far cheaper than the pattern.
+_NEEDED = ["internal", "understanding", "planning", "emotion", "poeticity", "#", "i'll", "through", "before", "poem"]
 
 
 def text(c: Column) -> Column:
@@ -67,9 +69,9 @@ def count_words(c: Column) -> Column:
 
 def contaminated(c: Column) -> Column:
     """Whether any workflow pattern occurs, in any case, ``^`` at every line."""
-    out = F.lit(False)
-    for p in CONTAMINATION:
-        out = out | text(c).rlike(f"(?im){p}")
+    low, out = F.lower(text(c)), F.lit(False)
+    for p, needed in zip(CONTAMINATION, _NEEDED, strict=True):
+        out = out | (low.contains(needed) & text(c).rlike(f"(?im){p}"))
     return out
 
 
@@ -137,3 +139,8 @@ def retryable(status: Column, body: Column) -> Column:
     """Whether to try again: not when the account is out of balance, else for busy and broken answers."""
     broke = F.lower(text(body)).rlike("insufficient|balance|quota|arrears")
     return ~broke & status.isin(408, 409, 425, 429, 500, 502, 503, 504)
+
+
+def first_filled(*names: Column) -> Column:
+    """The first of a column and its aliases that isn't empty; blanks count as filled."""
+    return F.coalesce(*[F.when(text(c) != "", c) for c in names], F.lit(""))

@@ -85,3 +85,26 @@ def looked_up(cases: DataFrame, tables: dict[str, DataFrame], key: str) -> DataF
         own = t.join(few, key, "left_semi").groupBy(key).agg(F.max(F.struct(*rest)).alias("__r"))
         out = out.join(own, key, "left").withColumn(name, F.coalesce(F.to_json("__r"), F.lit("{}"))).drop("__r")
     return out
+
+
+def head(rows: DataFrame, order: str, n: int) -> DataFrame:
+    """The first ``n`` rows in the order: the limit of a manifest, before it is dealt to shards."""
+    return rows.orderBy(order).limit(n)
+
+
+def head_outputs(manifest: DataFrame, outputs: DataFrame, key: str, order: str, n: int, ok) -> DataFrame:
+    """The latest usable output (``ok``) of each system for the first ``n`` manifest rows. outputs: system_id, ``key``, seq, ..."""
+    rows = latest_wins(in_manifest(outputs, head(manifest, order, n), key), ["system_id", key], "seq")
+    return rows.where(ok)
+
+
+def joined_one_to_one(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """An inner join of tables that each have a key once: a key that occurs twice on a side is an error at run time."""
+    sides = []
+    for name, t in (("left", left), ("right", right)):
+        rest = [c for c in t.columns if c not in keys]
+        one = t.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.first(F.struct(*rest)).alias("__v"))
+        twice = F.raise_error(F.concat(F.lit(f"{name} has a key twice: "), F.concat_ws("/", *[F.col(k).cast("string") for k in keys])))
+        one = one.withColumn("__v", F.when(F.col("__n") > 1, twice).otherwise(F.col("__v")))
+        sides.append(one.select(*keys, *[F.col(f"__v.{c}").alias(c) for c in rest]))
+    return sides[0].join(sides[1], keys)

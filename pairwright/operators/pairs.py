@@ -29,8 +29,11 @@ def families(scores: DataFrame, unit: str, system: str, value: str, of: dict[str
     return rows.groupBy("family", unit).agg(pick("__a").alias("x"), pick("__b").alias("y")).where("x is not null and y is not null")
 
 
-def cohen_dz(d: Column) -> Column:
+def cohen_dz(d: Column, zero_variance: float | None = None) -> Column:
+    """Mean over deviation; where all differences are equal and not zero: null, or ``zero_variance``."""
     s = F.stddev_samp(d)
+    if zero_variance is not None:
+        return F.when(s > 0, F.avg(d) / s).otherwise(zero_variance)
     return F.when(F.max(F.abs(d)) == 0, 0.0).when(s > 0, F.avg(d) / s)
 
 
@@ -39,11 +42,11 @@ def dz_status(d: Column) -> Column:
     return F.when(F.max(F.abs(d)) == 0, "all_zero").when(s > 0, "ok").otherwise("zero_variance_nonzero")
 
 
-def effects(pairs: DataFrame, by: list[str]) -> DataFrame:
+def effects(pairs: DataFrame, by: list[str], zero_variance: float | None = None) -> DataFrame:
     """Means, delta (y - x), direction and standardised effect of pairs."""
     d = F.col("y") - F.col("x")
     out = pairs.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean_x"), F.avg("y").alias("mean_y"), F.avg(d).alias("delta"), cohen_dz(d).alias("dz"), dz_status(d).alias("dz_status")
+        F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean_x"), F.avg("y").alias("mean_y"), F.avg(d).alias("delta"), cohen_dz(d, zero_variance).alias("dz"), dz_status(d).alias("dz_status")
     )
     return out.withColumn("direction", F.when(F.col("delta") > 0, "up").when(F.col("delta") < 0, "down").otherwise("tie"))
 

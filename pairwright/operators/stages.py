@@ -62,3 +62,13 @@ def system_paths(specs: list[str]) -> dict[str, str]:
             raise ValueError(f"not SYSTEM=PATH, or twice: {s!r}")
         out[name] = path
     return out
+
+
+def ranking_faults(parsed: DataFrame, mapping: DataFrame, record: str = "record_id") -> DataFrame:
+    """Records whose parsed answer ranks or scores other candidates than its mapping names. parsed: record, answer."""
+    named = mapping.groupBy(record).agg(F.array_sort(F.collect_set("candidate_id")).alias("__named"))
+    own = parsed.select(record, F.array_sort("answer.ranking").alias("__ranked"), F.array_sort(F.transform("answer.candidate_scores", lambda c: c["candidate_id"])).alias("__scored"))
+    both = own.join(named, record, "full_outer")
+    bad = lambda c: F.count(F.when(~F.coalesce(F.col(c) == F.col("__named"), F.lit(False)), 1))
+    one = both.agg(bad("__ranked").alias("ranking_differs"), bad("__scored").alias("candidates_differ"))
+    return one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("check"), F.col(k).alias("n")) for k in ("ranking_differs", "candidates_differ")])).alias("x")).select("x.*")

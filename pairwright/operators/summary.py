@@ -132,3 +132,31 @@ def count_string(rows: DataFrame, by: list[str], name: str, alias: str) -> DataF
     counts = rows.groupBy(*by, name).agg(F.count(F.lit(1)).alias("n"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(name, "n"))), lambda x: F.concat_ws(":", x[name], x["n"].cast("string"))), ";")
     return counts.groupBy(*by).agg(text.alias(alias))
+
+
+def cell_means(ratings: DataFrame, item: list[str], score: str) -> DataFrame:
+    """Per item the mean over all its cells, whoever rated what."""
+    return ratings.groupBy(*item).agg(F.count(score).alias("cells"), F.avg(F.col(score).cast("double")).alias("mean"))
+
+
+def against_targets(latest: DataFrame, targets: DataFrame, system: str, ok: Column) -> DataFrame:
+    """Per system of ``targets`` (system, target) the latest ok and failed rows, and whether the target is reached. A row per system."""
+    per = latest.groupBy(system).agg(F.count(F.when(ok, 1)).alias("ok_count"), F.count(F.when(~ok, 1)).alias("failed_count"))
+    out = targets.join(per, system, "left")
+    count = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    return out.select(system, "target", count("ok_count").alias("ok_count"), count("failed_count").alias("failed_count"), (count("ok_count") >= F.col("target")).alias("reached"))
+
+
+def source_metrics(rows: DataFrame, source: str, system: str, fields: list[str], seconds: float) -> DataFrame:
+    """``system_summary`` per source and system; a system's scoring time is shared by its sources' ok rows."""
+    per = system_summary(rows, [source, system], fields)
+    whole = F.sum("n_ok").over(Window.partitionBy(system))  # a row per source
+    systems = per.groupBy(system).agg((F.sum("n_ok") > 0).cast("int").alias("some")).agg(F.sum("some").alias("__systems"))  # one row
+    out = per.withColumn("__whole", whole).crossJoin(F.broadcast(systems))
+    return out.withColumn("scoring_seconds", F.when(F.col("n_ok") > 0, F.lit(seconds) / F.col("__systems") * F.col("n_ok") / F.col("__whole")).otherwise(0.0)).drop("__whole", "__systems")
+
+
+def matrix(ratings: DataFrame, by: list[str], rater: str, score: str, raters: list) -> DataFrame:
+    """Per group the scores of all ``raters`` in their order, null where one is missing."""
+    cells = F.map_from_entries(F.collect_list(F.struct(rater, score)))
+    return ratings.groupBy(*by).agg(cells.alias("__m")).select(*by, F.array(*[F.element_at("__m", F.lit(r).cast(ratings.schema[rater].dataType)) for r in raters]).alias("scores"))

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..operators import gates, judge, latest, registry, stages
+from ..operators import gates, judge, latest, pairs, registry, stages, summary
 from ..sources import files
 from ..sources.staging import shared_path
 from . import inputs as i
@@ -167,3 +167,85 @@ def s_config(spark, d):
     spark.createDataFrame([(json.dumps(_CONFIG, indent=1),)], "value string").coalesce(1).write.option("lineSep", "\n").text(path)
     own = files.read_config(spark, path)
     return own.select("seed", F.explode("systems").alias("s")).select("seed", "s.id", "s.shards", F.size("s.tags").alias("n_tags"))
+
+
+@query(f"WITH {ATT}, m AS (SELECT DISTINCT record_id FROM att ORDER BY record_id LIMIT 7) SELECT system_id, record_id, seq FROM latest WHERE record_id IN (SELECT record_id FROM m) AND status = 'ok' AND trim(output_text) <> ''")
+def s_head_outputs(spark, d):
+    a = i.attempts(spark, d)
+    ok = (F.col("status") == "ok") & (F.trim("output_text") != "")
+    return latest.head_outputs(a.select("record_id").distinct(), a, "record_id", "record_id", 7, ok).select("system_id", "record_id", "seq")
+
+
+@query(f"WITH {PANEL} SELECT user_id, event_type, round(a, 8) AS human, round(b, 8) AS judge FROM panel WHERE user_id % 4 <> 0 AND user_id % 5 <> 0")
+def j10_one_to_one(spark, d):
+    p = i.panel(spark, d)
+    human, own = p.where("user_id % 4 <> 0").select("user_id", "event_type", F.col("a").alias("human")), p.where("user_id % 5 <> 0").select("user_id", "event_type", F.col("b").alias("judge"))
+    return rounded(latest.joined_one_to_one(human, own, ["user_id", "event_type"]))
+
+
+@query(f"""WITH {PANEL}, prs AS (SELECT x.user_id % 7 AS g, x.a AS x, CASE WHEN x.user_id % 7 < 2 THEN x.a + x.user_id % 7 ELSE y.a END AS y FROM panel x JOIN panel y ON x.user_id = y.user_id AND x.event_type = 'view' AND y.event_type = 'click')
+SELECT g, count(*) AS n, round(CASE WHEN stddev_samp(round(y - x, 9)) > 0 THEN avg(round(y - x, 9)) / stddev_samp(round(y - x, 9)) ELSE 0 END, 8) AS dz FROM prs GROUP BY g""")
+def i_dz_zero(spark, d):
+    p = pairs.paired(i.panel(spark, d), "user_id", "event_type", "a", "view", "click").withColumn("g", F.col("user_id") % 7)
+    y = F.when(F.col("g") < 2, F.col("x") + F.col("g")).otherwise(F.col("y"))
+    whole = p.select("g", F.lit(0.0).alias("x"), F.round(y - F.col("x"), 9).alias("y"))
+    return rounded(pairs.effects(whole, ["g"], zero_variance=0.0).select("g", "n", "dz"))
+
+
+@query(f"WITH {RATE} SELECT item, count(score) AS cells, round(avg(score), 8) AS mean FROM rate GROUP BY item")
+def a_cell_means(spark, d):
+    return rounded(summary.cell_means(i.ratings(spark, d), ["item"], "score"))
+
+
+@query(f"WITH {ATT}, t(system_id, target) AS (VALUES ('view', 1), ('click', 1000000), ('none', 1)), c AS (SELECT system_id, count(*) FILTER (status = 'ok') AS o, count(*) FILTER (status <> 'ok') AS f FROM latest GROUP BY system_id) SELECT system_id, target, coalesce(o, 0) AS ok_count, coalesce(f, 0) AS failed_count, coalesce(o, 0) >= target AS reached FROM t LEFT JOIN c USING (system_id)")
+def a_against_targets(spark, d):
+    rows = latest.latest_wins(i.attempts(spark, d), ["system_id", "record_id"], "seq")
+    targets = spark.createDataFrame([("view", 1), ("click", 1_000_000), ("none", 1)], "system_id string, target int")
+    return summary.against_targets(rows, targets, "system_id", F.col("status") == "ok")
+
+
+_STAT = "round(avg(x), 8) AS {p}mean, round(CASE WHEN count(x) = 1 THEN 0.0 ELSE stddev_samp(x) END, 8) AS {p}sd, round(CASE WHEN count(x) = 1 THEN 0.0 ELSE 1.96 * stddev_samp(x) / sqrt(count(x)) END, 8) AS {p}ci95"
+
+
+@query(f"""WITH {ATT}, x AS (SELECT *, record_id % 3 AS source, CASE WHEN status = 'ok' AND trim(output_text) <> '' THEN k::DOUBLE END AS x FROM latest),
+s AS (SELECT source, system_id, count(*) AS n_total, count(*) FILTER (status = 'ok' AND trim(output_text) <> '') AS n_ok, count(*) FILTER (status <> 'ok') AS n_failed,
+  coalesce(string_agg(DISTINCT nullif(prompt_version, ''), ';' ORDER BY nullif(prompt_version, '')), '') AS prompt_version, round(sum(latency_seconds), 8) AS runtime_seconds_total, {_STAT.format(p='k_')}, min_by(error, seq) FILTER (status <> 'ok') AS fe FROM x GROUP BY source, system_id)
+SELECT * EXCLUDE fe, CASE WHEN n_ok > 0 THEN 'ok' ELSE 'not_available_or_failed' END AS status, CASE WHEN n_ok > 0 THEN '' ELSE coalesce(fe, '') END AS metric_errors,
+  round(CASE WHEN n_ok > 0 THEN 10.0::DOUBLE / (SELECT count(*) FROM (SELECT system_id FROM s GROUP BY system_id HAVING sum(n_ok) > 0)) * n_ok / sum(n_ok) OVER (PARTITION BY system_id) ELSE 0 END, 8) AS scoring_seconds FROM s""")
+def a_source_metrics(spark, d):
+    rows = latest.latest_wins(i.attempts(spark, d), ["system_id", "record_id"], "seq").withColumn("source", F.col("record_id") % 3)
+    return rounded(summary.source_metrics(rows, "source", "system_id", ["k"], 10.0))
+
+
+@query("SELECT shard, count(*) AS n, max(doc_id) AS last FROM (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) % 4 AS shard FROM (SELECT doc_id FROM documents ORDER BY doc_id LIMIT 50)) GROUP BY shard")
+def w_limit_before_shards(spark, d):
+    rows = latest.head(i.table(spark, d, "documents").select("doc_id"), "doc_id", 50)
+    return latest.shard(rows, "doc_id", 4).groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last"))
+
+
+@query(f"WITH {RATE} SELECT dim, item, string_agg(coalesce(score::VARCHAR, '-'), ',' ORDER BY r) AS scores FROM (SELECT * FROM (SELECT DISTINCT dim, item FROM rate), range(1, 9) t(r)) LEFT JOIN (SELECT dim, item, rater AS r, score FROM rate) q USING (dim, item, r) GROUP BY dim, item")
+def v_item_rater(spark, d):
+    m = summary.matrix(i.ratings(spark, d), ["dim", "item"], "rater", "score", list(range(1, 9)))
+    return m.select("dim", "item", F.array_join(F.transform("scores", lambda x: F.coalesce(x.cast("string"), F.lit("-"))), ",").alias("scores"))
+
+
+@query("SELECT doc_id, CASE WHEN coalesce(x, '') <> '' THEN x ELSE coalesce(text, '') END AS chosen FROM (SELECT doc_id, text, CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN ' ' END AS x FROM documents)")
+def p_aliases(spark, d):
+    x = F.when(F.col("doc_id") % 3 == 0, "").when(F.col("doc_id") % 3 == 1, " ")
+    return i.table(spark, d, "documents").select("doc_id", t.first_filled(x, F.col("text")).alias("chosen"))
+
+
+@query(f"WITH {PANEL}, n AS (SELECT count(DISTINCT user_id) FILTER (user_id % 5 IN (3, 4)) AS r, count(DISTINCT user_id) FILTER (user_id % 5 = 4) AS c FROM panel) SELECT 'ranking_differs' AS \"check\", r AS n FROM n UNION ALL SELECT 'candidates_differ', c FROM n")
+def q_ranking(spark, d):
+    a = i.answers(spark, d, faults=True).withColumnRenamed("user_id", "record_id")
+    mapping = a.select("record_id", F.explode("mapping").alias("m")).select("record_id", "m.candidate_id")
+    return stages.ranking_faults(judge.parse(a, "raw").select("record_id", "answer"), mapping)
+
+
+@query("SELECT 'k_boolean' AS \"check\", count(*) FILTER (event_id % 6 = 0) AS n FROM events UNION ALL SELECT 'k_quoted', count(*) FILTER (event_id % 6 = 1) FROM events UNION ALL SELECT 'tokens_not_finite', count(*) FILTER (event_id % 6 IN (0, 1)) FROM events UNION ALL SELECT 'missing_columns', 1")
+def q_resource_fields(spark, d):
+    """Token fields as services give them: booleans and quoted numbers aren't numbers."""
+    e = i.table(spark, d, "events")
+    rows = e.select(F.when(F.col("event_id") % 6 == 0, "true").when(F.col("event_id") % 6 == 1, '"12"').otherwise("12").alias("k"))
+    number = rows.select(F.when(F.col("k").rlike(r"^-?[0-9.]+$"), F.col("k").cast("double")).alias("tokens"))
+    return gates.union(gates.numeric_kinds(rows, "k"), gates.row_checks(number, {"tokens_not_finite": gates.finite("tokens")}), gates.missing_columns(rows, ["k", "usage"]))
