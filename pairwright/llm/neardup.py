@@ -2,15 +2,15 @@
 
 Documents are sets of word shingles. Rows of equal sets form a class, represented by its least
 doc_id; the forest holds representatives alone. Each tree orders them by its own sequence of minhash
-values: four that a region has in common, then four more. Within a region the depth adapts: rows are compared with all
-others of the longest prefix that at most ``NEAR + 1`` rows share, and with the next row in the order,
-which no other row's prefix exceeds. Pairs whose one-bit sketches are close are candidates.
+values: four that a region has in common, then four more. Rows of a region of at most ``NEAR + 1`` rows are compared
+with all others of it. In a crowded region the depth adapts to each row: it is compared with those next to it in the order,
+one of which has the longest prefix in common with it. Pairs whose one-bit sketches are close are candidates.
 
 Candidates are confirmed on full shingle sets in rounds: first the best of each document, whose links
 already join most components, then four times as many, until no candidate has its ends in two
 components.
 
-Deeper prefixes miss links that the four common values would hold, so regions of more than ``NEAR + 1`` rows that
+Deeper prefixes miss links that the four common values would hold, so crowded regions that
 still have several components are completed exactly (``rest``): of the shingles of each of their rows the rarest fifth
 and one (for a similarity of 0.8) are its keys, and two similar rows share a key, at a place that leaves
 enough shingles behind it. Rows of different components that share such a key are candidates too. Keys that many
@@ -51,6 +51,8 @@ FAR = 34
 ONE_TASK = 500_000
 #: Rows of one key that a task compares with as many others.
 PIECE = 8192
+#: Bytes of sets of one component that a task compares with as many of rows that ask.
+PIECE_BYTES = 8 << 20
 #: Keys of up to this many rows are compared whole, many at once.
 SMALL = 64
 #: Shingles are ordered by counts in so many buckets, whatever their number.
@@ -190,30 +192,18 @@ def _neighbours(rows: np.ndarray, near: int) -> np.ndarray:
     found = [np.zeros((0, 3), np.int64)]
     if len(rows) < 2:
         return found[0]
-    key, deeper, sketch, ids = rows[:, 0], rows[:, 1].view(np.uint64), rows[:, 2:4].view(np.uint64), rows[:, 4]
-    # What each row and the next have in common: 0 nothing, 1 the region, and one more for each deeper value.
-    x = deeper[1:] ^ deeper[:-1]
-    common = np.ones(len(x), np.int64)
-    for lane in range(LANES):
-        common += x >> _U(16 * lane) == 0
-    common[key[1:] != key[:-1]] = 0
-    # The least depth at which a row's run is small; where none is, rows next to each other alone are compared.
-    depth = np.full(len(rows), LANES + 2)
-    for level in range(LANES + 1, 0, -1):
-        cut = np.flatnonzero(np.concatenate([[True], common < level, [True]]))
-        size = np.diff(cut)
-        depth[np.repeat(size <= near + 1, size)] = level
-    shared = common
-    for step in range(1, near + 1):
-        if step > 1:
-            shared = np.minimum(shared[:-1], common[step - 1 :])
-        i = np.flatnonzero((shared >= depth[:-step]) | ((step == 1) & (shared > 0)))
-        if i.size:
-            d = _differ(sketch[i], sketch[i + step])
-            close, j = d <= FAR, i + step
-            found.append(np.stack([np.minimum(ids[i], ids[j])[close], np.maximum(ids[i], ids[j])[close], d[close]], 1))
-        if len(shared) < 2:
+    key, sketch, ids = rows[:, 0], rows[:, 2:4].view(np.uint64), rows[:, 4]
+    # Rows of a small region meet all others of it. In a crowded one the depth adapts to each row: of those next to it in
+    # the order one has the longest prefix in common with it, however long that is, and they alone are compared.
+    cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+    small = np.repeat(np.diff(cut) <= near + 1, np.diff(cut))
+    for step in range(1, min(near, len(rows) - 1) + 1):
+        i = np.flatnonzero((key[step:] == key[:-step]) & (small[step:] | (step == 1)))
+        if not i.size:
             break
+        d = _differ(sketch[i], sketch[i + step])
+        close, j = d <= FAR, i + step
+        found.append(np.stack([np.minimum(ids[i], ids[j])[close], np.maximum(ids[i], ids[j])[close], d[close]], 1))
     return np.concatenate(found)
 
 
@@ -365,70 +355,109 @@ def _keys(batches: Iterator[pa.RecordBatch], commonness: np.ndarray, percent: in
             yield out.slice(k, 1 << 16)
 
 
-def _close(rows: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
-    """Which pairs (i, j) of rows of one key may be links between components: by size, by what the key's places leave, by sketch."""
+def _asked(rows: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """(id, component) of pairs of rows of one key that may be a link: a row that asks and the component of the other.
+
+    A pair may be one by its sizes, by what the key's places leave, and by its sketches; where both ask, the greater id does.
+    """
     si, sj = rows["size"][i], rows["size"][j]
     left = np.minimum(si - rows["place"][i], sj - rows["place"][j])
     fit = (rows["comp"][i] != rows["comp"][j]) & (rows["asks"][i] | rows["asks"][j])
     fit &= (100 * np.minimum(si, sj) >= percent * np.maximum(si, sj)) & ((100 + percent) * left >= percent * (si + sj))
     k = np.flatnonzero(fit)
-    d = _differ(rows["sketch"][i[k]], rows["sketch"][j[k]])
-    k, d = k[d <= FAR], d[d <= FAR]
-    a, b = rows["id"][i[k]], rows["id"][j[k]]
-    return np.stack([np.minimum(a, b), np.maximum(a, b), d], 1)
+    k = k[_differ(rows["sketch"][i[k]], rows["sketch"][j[k]]) <= FAR]
+    i, j = i[k], j[k]
+    swap = rows["asks"][j] & (~rows["asks"][i] | (rows["id"][j] > rows["id"][i]))
+    i, j = np.where(swap, j, i), np.where(swap, i, j)
+    return np.unique(np.stack([rows["id"][i], rows["comp"][j]], 1), axis=0)
 
 
-def _meet(batches: Iterator[pa.RecordBatch], percent: int, most: int) -> Iterator[pa.RecordBatch]:
-    """(a, b, differ): the pairs of each group (token, piece, block) that may be links. Rows come sorted by group."""
+def _whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """(rows, where groups begin and end) of rows that come sorted by ``keys``, never a part of a group."""
     held: list[pa.RecordBatch] = []
 
-    def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        rows = {c: table.column(c).to_numpy().astype(np.int64) for c in ("token", "piece", "block", "id", "comp", "size", "place")}
+    def out() -> tuple[pa.Table, np.ndarray]:
+        table = pa.Table.from_batches(held)
+        same = np.ones(max(0, table.num_rows - 1), bool)
+        for c in keys:
+            x = table.column(c).to_numpy()
+            same &= x[1:] == x[:-1]
+        return table, np.flatnonzero(np.concatenate([[True], ~same, [True]]))
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in keys], 1)
+        last = np.flatnonzero((key != key[-1]).any(1))
+        stop = int(last[-1]) + 1 if last.size else 0  # the batch's last group may go on in the next one
+        if stop or (held and any(held[-1].column(c)[-1].as_py() != key[0, k] for k, c in enumerate(keys))):
+            if stop:
+                held.append(batch.slice(0, stop))
+            yield out()
+            held = []
+        held.append(batch.slice(stop))
+    if held:
+        yield out()
+
+
+def _meet(batches: Iterator[pa.RecordBatch], percent: int, most: int) -> Iterator[pa.RecordBatch]:
+    """(id, comp): which rows may have a link to which other component, of every group (token, piece, block)."""
+    for table, cut in _whole_groups(batches, ["token", "piece", "block"]):
+        rows = {c: table.column(c).to_numpy().astype(np.int64) for c in ("id", "comp", "size", "place")}
         rows["asks"] = table.column("asks").to_numpy()
         rows["sketch"] = np.stack([table.column(c).to_numpy() for c in ("sketch_a", "sketch_b")], 1).view(np.uint64)
-        same = np.ones(max(0, table.num_rows - 1), bool)
-        for c in ("token", "piece", "block"):
-            same &= rows[c][1:] == rows[c][:-1]
-        cut = np.flatnonzero(np.concatenate([[True], ~same, [True]]))
         n = np.diff(cut)
-        group, left = np.repeat(np.arange(len(n)), n), np.repeat(cut[1:], n)
+        left = np.repeat(cut[1:], n)
         few = np.repeat(n <= most, n)
-        found = []
+        found = [np.zeros((0, 2), np.int64)]
         for step in range(1, int(n[n <= most].max(initial=1))):
-            i = np.flatnonzero(few & (np.arange(len(group)) + step < left))
+            i = np.flatnonzero(few & (np.arange(len(left)) + step < left))
             if not i.size:
                 break
-            found.append(_close(rows, i, i + step, percent))
+            found.append(_asked(rows, i, i + step, percent))
         for g in np.flatnonzero(n > most).tolist():
             every = np.arange(cut[g], cut[g + 1])
             asking = every[rows["asks"][every]]
             step = max(1, (1 << 20) // len(every))
             for k in range(0, len(asking), step):
                 some = asking[k : k + step]
-                found.append(_close(rows, np.repeat(some, len(every)), np.tile(every, len(some)), percent))
-        out = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1]), pa.array(out[:, 2].astype(np.int32))], names=["a", "b", "differ"])
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        key = np.stack([batch.column(c).to_numpy() for c in ("token", "piece", "block")], 1).astype(np.int64)
-        last = np.flatnonzero((key != key[-1]).any(1))
-        # The batch's last group may go on in the next one.
-        stop = int(last[-1]) + 1 if last.size else 0
-        begins = held and any(held[0].column(c)[0].as_py() != key[0, k] for k, c in enumerate(("token", "piece", "block")))
-        if begins or stop:
-            if stop:
-                held.append(batch.slice(0, stop))
-            yield from pairs(pa.Table.from_batches(held))
-            held = []
-        held.append(batch.slice(stop))
-    if held:
-        yield from pairs(pa.Table.from_batches(held))
+                found.append(_asked(rows, np.repeat(some, len(every)), np.tile(every, len(some)), percent))
+        out = np.unique(np.concatenate(found), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["id", "comp"])
 
 
-def rest(rows: DataFrame, percent: int, small: int = SMALL, piece: int = PIECE) -> DataFrame:
-    """a, b, differ: pairs of ``rows`` (id, comp, sketch_a, sketch_b, items; staged) of different components; all whose sets are similar enough are among them. Staged."""
+def _answers(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """(a, b, c_a, c_b): the first link of each row that asks among the rows of a component, of every group (comp, piece, block)."""
+    for table, cut in _whole_groups(batches, ["comp", "piece", "block"]):
+        asks, ids, own, comp = (table.column(c).to_numpy() for c in ("asks", "id", "own", "comp"))
+        items = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("items")]
+        found = []
+        for lo, hi in zip(cut.tolist(), cut[1:].tolist(), strict=False):
+            held = lo + np.flatnonzero(~asks[lo:hi])
+            if not held.size or held.size == hi - lo:
+                continue
+            size = np.array([len(items[h]) for h in held.tolist()])
+            starts = np.cumsum(size) - size
+            distinct, codes = np.unique(np.concatenate([items[h] for h in held.tolist()]), return_inverse=True)
+            mark = np.zeros(len(distinct), np.int64)
+            for q in (lo + np.flatnonzero(asks[lo:hi])).tolist():
+                at = np.searchsorted(distinct, items[q])
+                at = at[(at < len(distinct)) & (distinct[np.minimum(at, len(distinct) - 1)] == items[q])]
+                mark[at] = 1
+                inter = np.add.reduceat(mark[codes], starts)
+                mark[at] = 0
+                hit = np.flatnonzero(100 * inter >= percent * (size + len(items[q]) - inter))
+                if hit.size:
+                    found.append((ids[q], ids[held[hit[0]]], own[q], comp[q]))
+        rows = np.array(found, np.int64).reshape(-1, 4)
+        yield pa.RecordBatch.from_arrays([pa.array(rows[:, k]) for k in range(4)], names=["a", "b", "c_a", "c_b"])
+
+
+def rest(rows: DataFrame, percent: int, small: int = SMALL, piece: int = PIECE, piece_bytes: int = PIECE_BYTES) -> DataFrame:
+    """a, b, c_a, c_b: links between the components of ``rows`` (id, comp, sketch_a, sketch_b, items; staged), so that every two with a link have one. Staged.
+
+    First keys tell which rows may have a link to which components, then full sets say which have.
+    """
     spark = rows.sparkSession
     counts = map_batches(rows.select("items"), _bucket_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # at most BUCKETS rows
     commonness = np.zeros(BUCKETS, np.uint16)
@@ -443,15 +472,26 @@ def rest(rows: DataFrame, percent: int, small: int = SMALL, piece: int = PIECE)
     both = keyed.join(staged(groups, "mixed-keys"), "token")
     names = ["token", "piece", "block", "id", "comp", "size", "place", "sketch_a", "sketch_b", "asks"]
     zero, yes, dealt = F.lit(0), F.lit(True), lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(zero, F.col(n) - 1))
     few = both.where(F.col("n") <= small).withColumns({"piece": zero, "block": zero, "asks": yes}).select(*names)
     large = both.where(F.col("n") > small)
-    asks = large.where("comp <> most").withColumns({"block": dealt("blocks"), "piece": F.explode(F.sequence(zero, F.col("pieces") - 1)), "asks": yes}).select(*names)
-    held = large.withColumns({"piece": dealt("pieces"), "block": F.explode(F.sequence(zero, F.col("blocks") - 1)), "asks": ~yes}).select(*names)
+    asks = large.where("comp <> most").withColumns({"block": dealt("blocks"), "piece": every("pieces"), "asks": yes}).select(*names)
+    held = large.withColumns({"piece": dealt("pieces"), "block": every("blocks"), "asks": ~yes}).select(*names)
     met = few.unionByName(asks).unionByName(held).repartition("token", "piece", "block").sortWithinPartitions("token", "piece", "block")
-    pairs = map_batches(met, lambda it: _meet(it, percent, small), "a long, b long, differ int")
-    out = staged(pairs.groupBy("a", "b").agg(F.min("differ").alias("differ")), "rest")
+    asked = staged(map_batches(met, lambda it: _meet(it, percent, small), "id long, comp long").distinct(), "asked")
     drop_staged(keyed)
-    return out
+    # Rows that ask a component and its own rows, in blocks and pieces of bounded bytes.
+    own = rows.select("id", F.col("comp").alias("own"), "items")
+    size = F.sum(F.octet_length("items"))
+    width = lambda c: F.ceil(F.col(c) / piece_bytes).cast("int")
+    queries = asked.join(own, "id")
+    sizes = queries.groupBy("comp").agg(size.alias("q")).join(own.groupBy(F.col("own").alias("comp")).agg(size.alias("h")), "comp")
+    sizes = staged(sizes.select("comp", width("h").alias("pieces"), width("q").alias("blocks")), "asked-sizes")
+    names = ["comp", "piece", "block", "id", "own", "items", "asks"]
+    asks = queries.join(sizes, "comp").withColumns({"block": dealt("blocks"), "piece": every("pieces"), "asks": yes}).select(*names)
+    held = own.withColumn("comp", F.col("own")).join(sizes, "comp").withColumns({"piece": dealt("pieces"), "block": every("blocks"), "asks": ~yes}).select(*names)
+    met = asks.unionByName(held).repartition("comp", "piece", "block").sortWithinPartitions("comp", "piece", "block", "asks", "id")
+    return staged(map_batches(met, lambda it: _answers(it, percent), "a long, b long, c_a long, c_b long"), "rest")
 
 
 # -- components ------------------------------------------------------------------------------
@@ -507,7 +547,7 @@ def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
 
 
 def cluster(docs: DataFrame, words: int = 5, percent: int = 80, **sizes: int) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``docs``. ``sizes``: near, small, piece.
+    """doc_id, n_shingles, component_id, kept for every row of ``docs``. ``sizes``: near, small, piece, piece_bytes.
 
     Of rows without a doc_id one of each component is kept that has no doc_id at all.
     """
@@ -534,7 +574,7 @@ def _settled(comp: DataFrame, pairs: DataFrame, sets: DataFrame, percent: int) -
     return comp
 
 
-def _cluster(docs: DataFrame, words: int, percent: int, near: int = NEAR, small: int = SMALL, piece: int = PIECE) -> DataFrame:
+def _cluster(docs: DataFrame, words: int, percent: int, near: int = NEAR, small: int = SMALL, piece: int = PIECE, piece_bytes: int = PIECE_BYTES) -> DataFrame:
     """The same where every row has a doc_id of its own."""
     spark = docs.sparkSession
     signed = staged(signatures(docs, words), "minhash")
@@ -560,7 +600,7 @@ def _cluster(docs: DataFrame, words: int, percent: int, near: int = NEAR, small:
     if not apart.isEmpty():
         sets = full_sets(docs, apart.select("id"), words).dropDuplicates(["id"])
         rows = staged(apart.join(sets, "id"), "crowded-sets")
-        comp = _settled(comp, rest(rows, percent, small, piece), rows.select("id", "items"), percent)
+        comp = _merged(comp, rest(rows, percent, small, piece, piece_bytes))
         drop_staged(rows)
     drop_staged(entries, crowded)
     classes = classes.join(comp.withColumnRenamed("id", "rep"), "rep", "left")
