@@ -6,7 +6,7 @@ are cut into a first record and continuation records (WARC-Segment-Origin-ID, -N
 last, -Total-Length). Pages whose payload another page has too are written once in full, under the
 largest page_id; the others are revisit records without payload.
 
-``read_archives`` reads them with Spark's text reader, which unzips as it goes and cuts at what stands between two
+``read_archives`` reads them with Spark's text reader, which unzips as it goes and cuts at the start of
 records, so that a task holds a record and not an archive, however large; a payload that holds such a cut is put together
 again by its Content-Length. It parses each record once, groups segments by origin, orders them by number, checks
 the total length, and decodes the chunked framing.
@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from .common import map_batches, shared_dir, staged
 
 CRLF = "\r\n"
-#: What stands before the minor version of every record but a file's first.
-CUT = "\r\n\r\nWARC/1."
+#: What every record begins with. (No part of it is its own start: readers lose cuts at the edges of their buffers else.)
+CUT = "WARC/1."
 _HEX, _B32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _PARSED = "record_id string, page_id long, record_type string, refers_to long, digest string, declared_bytes long, origin string, segment int, total_length long, block binary, payload binary, error string"
 
@@ -129,9 +129,9 @@ def _head(data: bytes) -> tuple[dict[bytes, bytes], bytes, int]:
     return fields, block, size
 
 
-def parse_records(pieces: Iterator[bytes]) -> Iterator[tuple[dict[bytes, bytes], bytes, str | None]]:
-    """(headers, block, error) of each record of archives that are cut at ``CUT``. A file begins with ``WARC/1.`` itself."""
-    start, cut = CUT[4:].encode(), CUT.encode()
+def parse_records(pieces: Iterator[tuple[str, bytes]]) -> Iterator[tuple[dict[bytes, bytes], bytes, str | None]]:
+    """(headers, block, error) of each record of archives that are cut at ``CUT``. pieces: (file, what follows a cut), in order."""
+    cut, file = CUT.encode(), None
     source, queue = iter(pieces), deque()
     waiting: list[bytes] = []  # pieces of a record that declares more bytes than have come
     upto = want = 0
@@ -139,9 +139,8 @@ def parse_records(pieces: Iterator[bytes]) -> Iterator[tuple[dict[bytes, bytes],
         if queue:
             piece, begins = queue.popleft()
         else:
-            piece = next(source, None)
-            begins = piece is None or piece.startswith(start)
-            piece = piece[len(start) :] if piece is not None and begins else piece
+            name, piece = next(source, (None, None))
+            begins, file = name != file, name
         if waiting and not begins:
             waiting.append(piece)
             upto += len(cut) + len(piece)
@@ -163,6 +162,8 @@ def parse_records(pieces: Iterator[bytes]) -> Iterator[tuple[dict[bytes, bytes],
             continue
         if piece is None:
             return
+        if not piece.strip():  # what stands before a file's first record
+            continue
         try:
             fields, block, size = _head(piece)
         except ValueError as e:
@@ -212,7 +213,7 @@ def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     def text(value: bytes | None) -> str | None:
         return value.decode("utf-8", "replace") if value else None
 
-    for head, block, error in parse_records(piece.as_py() for batch in batches for piece in batch.column("piece")):
+    for head, block, error in parse_records((f, p.as_py()) for b in batches for f, p in zip(b.column("file").to_pylist(), b.column("piece"), strict=True)):
         kind, rid = text(head.get(b"warc-type")), head.get(b"warc-record-id")
         number, total = (int(x) if (x := head.get(f"warc-segment-{name}".encode(), b"")).isdigit() else None for name in ("number", "total-length"))
         payload = declared = keep = None
@@ -266,7 +267,7 @@ def _join_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def read_archives(spark: SparkSession, path: str, names: str = "*.txt*") -> DataFrame:
     """record_id, page_id, record_type, refers_to, digest (as the record says), declared_bytes, payload (null for revisits), error."""
     files = spark.read.option("lineSep", CUT).option("pathGlobFilter", names).text(path)
-    parsed = staged(map_batches(files.select(F.col("value").cast("binary").alias("piece")), _parse_batches, _PARSED), "warc-records")
+    parsed = staged(map_batches(files.select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("piece")), _parse_batches, _PARSED), "warc-records")
     whole = parsed.where("segment is null").select("record_id", "page_id", "record_type", "refers_to", "digest", "declared_bytes", "payload", "error")
     one = parsed.where("segment is not null").groupBy("origin").agg(
         F.max(F.when(F.col("segment") == 1, F.struct("record_id", "page_id", "record_type", "refers_to", "digest"))).alias("first"),

@@ -73,6 +73,13 @@ def test_warc_damage_is_told():
         warc.decode_http(b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n9\r\nabc")
 
 
+def test_warc_many_records_come_back(spark):
+    """Records end wherever a reader's buffers do."""
+    df = spark.range(6000).selectExpr("id AS page_id", "'u' AS url", "concat(repeat('ab ', cast(id % 97 AS int)), id, repeat('\r\n', cast(id % 5 AS int))) AS html")
+    got = {r["page_id"]: bytes(r["payload"]).decode() for r in warc.read_archives(spark, warc.write_archives(df.coalesce(1))).collect() if not r["error"]}
+    assert got == {r["page_id"]: r["html"] for r in df.collect()}
+
+
 def test_warc_damaged_files_are_read_on(spark, tmp_path):
     import gzip
 
