@@ -51,13 +51,21 @@ def effects(pairs: DataFrame, by: list[str], zero_variance: float | None = None)
     return out.withColumn("direction", F.when(F.col("delta") > 0, "up").when(F.col("delta") < 0, "down").otherwise("tie"))
 
 
+def nearest(c: Column, decimals: int) -> Column:
+    """``c`` to so many decimals, halves away from zero, as SQL engines round doubles: the scaled value decides, not the shortest decimal form."""
+    scale = F.lit(10.0**decimals)
+    scaled = F.abs(c * scale)
+    even = F.rint(scaled)
+    return F.signum(c) * F.when(scaled - even == 0.5, even + 1).otherwise(even) / scale
+
+
 def signed_ranks(pairs: DataFrame, by: list[str], zeros: str = "wilcox", decimals: int = 9) -> DataFrame:
     """Per group: pairs that count, rank sums of rises and falls, the statistic W, and the tie and zero terms.
 
     ``wilcox`` drops zero differences before ranking, ``pratt`` ranks them and drops their ranks.
     Differences are rounded first, so that ties don't hang on the last bit.
     """
-    d = pairs.select(*by, F.round(F.col("y") - F.col("x"), decimals).alias("d"))
+    d = pairs.select(*by, nearest(F.col("y") - F.col("x"), decimals).alias("d"))
     d = d if zeros == "pratt" else d.where("d <> 0")
     # Ties are counted before ranks are taken: windows see one row per distinct difference.
     each = d.groupBy(*by, F.abs("d").alias("a")).agg(

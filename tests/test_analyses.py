@@ -129,3 +129,12 @@ def test_judge_requests_and_answers(spark):
     import json
 
     assert json.loads(one["r"])["messages"] == [{"role": "user", "content": 'say "hi"\n'}]
+
+
+def test_differences_round_by_their_scaled_value(spark):
+    # 25.849999999999998 * 10 is 258.5: SQL's round gives 25.9, the shortest decimal form 25.8.
+    rows = [(x,) for x in (25.849999999999998, 25.85, 0.05, -0.05, 0.04, 2.5, -0.0, 1e300, 0.24999999999999997)]
+    import duckdb
+
+    got = [r[0] for r in spark.createDataFrame(rows, "x double").select(pairs.nearest(F.col("x"), 1)).collect()]
+    assert got == [duckdb.execute("SELECT round(?::DOUBLE, 1)", [x]).fetchall()[0][0] for (x,) in rows]
