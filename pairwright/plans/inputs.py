@@ -82,7 +82,8 @@ def answers(spark: SparkSession, sf_dir: str, faults: bool = False) -> DataFrame
     w = Window.partitionBy("user_id").orderBy("system_id")  # a record has five systems
     p = p.withColumn("candidate_id", F.chr(F.lit(64) + F.row_number().over(w)))
     x = F.least(F.lit(10.0), F.floor(F.col("a") / 5) / 2)
-    off = F.when(F.lit(faults) & (F.col("user_id") % 5 == 1) & (F.col("candidate_id") == "B"), 0.25).otherwise(0.0)
+    quarter = F.when(x < 10, 0.25).otherwise(-0.25)  # off the steps, not out of the range as well
+    off = F.when(F.lit(faults) & (F.col("user_id") % 5 == 1) & (F.col("candidate_id") == "B"), quarter).otherwise(0.0)
     scores = F.create_map(F.lit("form"), x + off, F.lit("sense"), F.lit(10.0) - x)
     reasons = F.create_map(F.lit("form"), F.when(F.lit(faults) & (F.col("user_id") % 5 == 2), " ").otherwise("good"), F.lit("sense"), F.lit("fine"))
     one = F.struct("candidate_id", scores.alias("scores"), reasons.alias("reasons"), F.lit(0.0).alias("average_score"), F.array(F.lit("none")).alias("major_errors"))
