@@ -35,7 +35,7 @@ def log(spark, tmp_path_factory):
     return str(folder), sql
 
 
-@pytest.mark.parametrize("name", ["i_wilcoxon_pratt", "q_judge_json", "v_judge_explode", "w_average_rank", "w_extremes", "w_holm"])
+@pytest.mark.parametrize("name", ["i_wilcoxon_pratt", "q_judge_json", "v_judge_explode", "w_average_rank", "w_extremes", "w_holm", "w_holm_declared"])
 def test_equals_sql_at_the_steps(spark, log, name):
     folder, sql = log
     df = catalog.queries()[name](spark, folder)
