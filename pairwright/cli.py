@@ -40,7 +40,7 @@ def main(argv: list[str] | None = None) -> int:
         df.write.mode("overwrite").parquet(args.to) if args.to else df.show(50, False)
     elif args.command == "score":
         manifest = files.read_jsonl(spark, args.manifest, "record_id string, source_id string, source string, reference string", missing_ok=False)
-        scored = scoring.score_rows(files.read_jsonl(spark, args.outputs, log, missing_ok=False), manifest, args.profile).persist()
+        scored = scoring.score_rows(files.read_jsonl(spark, args.outputs, log, missing_ok=False), manifest, args.profile, counts=True).persist()
         files.write_all_or_none({f"{args.to}/systems": scoring.score_systems(scored), f"{args.to}/sources": scoring.score_systems(scored, by=["source_id", "system_id"])})
     elif args.command == "merge":
         files.write_jsonl(latest.merge_logs([files.read_jsonl(spark, x, log, missing_ok=False) for x in args.logs], ["system_id", "record_id"], "seq"), args.to)

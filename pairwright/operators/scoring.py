@@ -44,9 +44,11 @@ def model_scores(rows: DataFrame, name: str, load: Callable[[], Scorer] | None)
     return rows.mapInPandas(run, schema)
 
 
-def score_rows(outputs: DataFrame, manifest: DataFrame, profile: str = "light", loaders: dict[str, Callable[[], Scorer]] | None = None) -> DataFrame:
+def score_rows(outputs: DataFrame, manifest: DataFrame, profile: str = "light", loaders: dict[str, Callable[[], Scorer]] | None = None, counts: bool = False) -> DataFrame:
     """A row per (system, record) of the manifest with all diagnostics and metrics; metrics are null for rows that aren't ok.
 
+    With ``counts`` the column of that name keeps what they were made of, so that corpus scores don't count again.
+
     outputs: system_id, record_id, seq, status, output_text, ...; manifest: record_id, source_id, source, reference.
     """
     rows = enrich(latest_wins(in_manifest(outputs, manifest, "record_id"), ["system_id", "record_id"], "seq"), manifest, "record_id")
@@ -56,14 +58,10 @@ def score_rows(outputs: DataFrame, manifest: DataFrame, profile: str = "light",
         {"line_count_diff": t.line_count_difference(h, r), "length_ratio": t.length_ratio(h, r), "english_ratio": t.english_ratio(h), "empty_output": t.empty_output(h), "ok": (F.col("status") == "ok") & (h != "")}
     )
     keys = ["system_id", "record_id"]
-    ok = rows.where("ok").select(*keys, "hypothesis", "reference")
-    own = [
-        ngram.statistics(ok, keys, "hypothesis", "reference", ngram.BLEU_ORDERS).select(*keys, ngram.bleu(True).alias("bleu")),
-        ngram.statistics(ok, keys, "hypothesis", "reference", ngram.CHRF_ORDERS).select(*keys, ngram.chrf().alias("chrf")),
-        ter.line_edits(ok, keys, t.line_pairs(h, r)).select(*keys, ter.ter(F.col("edits"), F.col("ref_words")).alias("ter")),
-    ]
-    for metric in own:
-        rows = rows.join(metric, keys, "left")
+    rows, ok = _counted(rows, keys), F.col("ok")
+    scores = {"bleu": ngram.bleu(True, "counts.bleu."), "chrf": ngram.chrf(at="counts.chrf."), "ter": ter.ter(F.col("counts.edits"), F.col("counts.ref_words"))}
+    rows = rows.withColumns({k: F.when(ok, c) for k, c in scores.items()})
+    rows = rows if counts else rows.drop("counts")
     for name in ("semantic", "learned"):
         if name in PROFILES[profile]:
             rows = model_scores(rows, name, (loaders or {}).get(name))
@@ -72,14 +70,30 @@ def score_rows(outputs: DataFrame, manifest: DataFrame, profile: str = "light",
     return rows
 
 
+def _counted(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with ``counts``: n-gram counts for BLEU and chrF++, word edits and reference words; of rows that aren't ok, of empty texts."""
+    own = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    own = own.withColumns({"__h": F.when(F.col("ok"), F.col("hypothesis")), "__r": F.when(F.col("ok"), F.col("reference"))})
+    own = ngram.counted(ngram.counted(own, "__h", "__r", ngram.BLEU_ORDERS, "__bleu"), "__h", "__r", ngram.CHRF_ORDERS, "__chrf")
+    edits = ter.line_edits(rows.where("ok"), keys, t.line_pairs(F.col("hypothesis"), F.col("reference"))).select(*keys, F.col("edits").alias("__edits"), F.col("ref_words").alias("__ref_words"))
+    parts = F.struct(*[F.col(f"__{c}").alias(c) for c in ("bleu", "chrf", "edits", "ref_words")])
+    return own.join(edits, keys, "left").select(*rows.columns, parts.alias("counts"))
+
+
 def corpus_scores(scored: DataFrame, by: list[str]) -> DataFrame:
-    """Corpus BLEU, chrF++ and TER over the ok rows of each group: summed statistics, not means of scores."""
-    keys = [*by, *[k for k in ("system_id", "record_id") if k not in by]]
-    ok = scored.where("ok").select(*keys, "hypothesis", "reference")
-    bleu = ngram.add_up(ngram.statistics(ok, keys, "hypothesis", "reference", ngram.BLEU_ORDERS), by, keys).select(*by, ngram.bleu(False).alias("bleu_corpus"))
-    chrf = ngram.add_up(ngram.statistics(ok, keys, "hypothesis", "reference", ngram.CHRF_ORDERS), by, keys).select(*by, ngram.chrf().alias("chrf_corpus"))
-    edits = ter.line_edits(ok, by, t.line_pairs(F.col("hypothesis"), F.col("reference")))
-    return bleu.join(chrf, by).join(edits.select(*by, ter.ter(F.col("edits"), F.col("ref_words")).alias("ter_corpus")), by)
+    """Corpus BLEU, chrF++ and TER over the ok rows of each group: summed statistics, not means of scores.
+
+    Rows with ``counts`` (see ``score_rows``) are only summed.
+    """
+    ok = scored.where("ok")
+    if "counts" not in scored.columns:
+        keys = [*by, *[k for k in ("system_id", "record_id") if k not in by]]
+        ok = _counted(ok.select(*keys, "ok", "hypothesis", "reference"), keys)
+    own = lambda fields: ngram.add_up(ok.select(*by, *fields), by, [])
+    bleu = own(["counts.bleu.*"]).select(*by, ngram.bleu(False).alias("bleu_corpus"))
+    chrf = own(["counts.chrf.*"]).select(*by, ngram.chrf().alias("chrf_corpus"))
+    edits = own(["counts.edits", "counts.ref_words"]).select(*by, ter.ter(F.col("edits"), F.col("ref_words")).alias("ter_corpus"))
+    return bleu.join(chrf, by).join(edits, by)
 
 
 FIELDS = ["bleu", "chrf", "ter", "line_count_diff", "length_ratio", "english_ratio", "empty_output"]

@@ -702,7 +702,7 @@ def _pair_log(spark, d):
 @query()
 def a_score_systems(spark, d):
     outputs, manifest = _pair_log(spark, d)
-    return rounded(scoring.score_systems(scoring.score_rows(outputs, manifest).persist(), 1.0))
+    return rounded(scoring.score_systems(scoring.score_rows(outputs, manifest, counts=True).persist(), 1.0))
 
 
 @query(f"""WITH {PAIR} SELECT system AS system_id, count(*) AS n, count(*) FILTER (conv_id % 7 <> 0) AS n_ok, NULL::DOUBLE AS semantic, 'semantic is not available: no model is installed' AS semantic_error, 'learned is not in profile semantic' AS learned_error FROM pair GROUP BY system""")
