@@ -39,10 +39,17 @@ def _drawn(rows: DataFrame, n_draws: int) -> DataFrame:
     return rows.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))))
 
 
+def _weighed(rows: DataFrame, columns: list[str], n_draws: int, seed: int) -> DataFrame:
+    """draw, ``columns`` and __k, the weight of the row's __unit: hashed once for a unit and draw, not for each of its few rows."""
+    units = rows.groupBy("__unit").agg(F.collect_list(F.struct(*columns)).alias("__rows"))
+    each = _drawn(units, n_draws).withColumn("__k", weight(seed, F.col("draw"), F.col("__unit")))
+    return each.select("draw", "__k", F.explode("__rows").alias("__row")).select("draw", "__k", "__row.*")
+
+
 def bootstrap_interval(values: DataFrame, by: list[str], unit: str, value: str, n_draws: int, seed: int) -> DataFrame:
     """Per group n, mean, and the percentile interval of the mean over hash draws of its units; all groups share a draw's weights."""
     own = values.select(*by, F.col(unit).alias("__unit"), F.col(value).cast("double").alias("__x")).where("__x is not null")
-    each = _drawn(own, n_draws).withColumn("__k", weight(seed, F.col("draw"), F.col("__unit")))
+    each = _weighed(own, [*by, "__x"], n_draws, seed)
     means = each.groupBy(*by, "draw").agg(F.try_divide(F.sum(F.col("__k") * F.col("__x")), F.sum("__k")).alias("m"))
     ci = means.groupBy(*by).agg(F.percentile("m", 0.025).alias("ci_low"), F.percentile("m", 0.975).alias("ci_high"), F.count("m").alias("n_valid"))
     point = own.groupBy(*by).agg(F.count("__x").alias("n"), F.avg("__x").alias("mean"))
@@ -70,8 +77,8 @@ def hash_permutation(pairs: DataFrame, unit: str, x: str, y: str, n_draws: int,
 def _draw_means(scores: DataFrame, unit: str, system: str, value: str, n_draws: int, seed: int) -> DataFrame:
     """draw, system, m (rounded): means of hash draws of units. A row per draw and system."""
     cell = scores.groupBy(F.col(unit).alias("__unit"), system).agg(F.avg(F.col(value).cast("double")).alias("x"))
-    each = _drawn(cell, n_draws).withColumn("k", weight(seed, F.col("draw"), F.col("__unit")))
-    return each.groupBy("draw", system).agg(F.round(F.try_divide(F.sum(F.col("k") * F.col("x")), F.sum("k")), 9).alias("m"))
+    each = _weighed(cell, [system, "x"], n_draws, seed)
+    return each.groupBy("draw", system).agg(F.round(F.try_divide(F.sum(F.col("__k") * F.col("x")), F.sum("__k")), 9).alias("m"))
 
 
 def rank_stability(scores: DataFrame, unit: str, system: str, value: str, n_draws: int, seed: int) -> DataFrame:

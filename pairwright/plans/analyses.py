@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.tails import normal_p_sql, signed_rank_p_sql, t_p_sql
 from ..operators import analyses, models, pairs, resample, summary
+from ..sources.staging import written
 from . import inputs as i
 from .inputs import PANEL, RATE, rounded
 from .queries import _DRAWS, _DZ, _FE, _H, _PART, _SL, FAMILIES, FAMILY_SQL, MDE, SEED, query
@@ -224,7 +225,8 @@ def i_alignment_tests(spark, d):
 
 @query()
 def i_cross_judge(spark, d):
-    tables = analyses.cross_judge(i.panel(spark, d), "user_id", "event_type", "a", "b", ["view", "click"], FAMILIES, _DRAWS, SEED)
+    panel = written(i.panel(spark, d), "panel")  # seven tables read it
+    tables = analyses.cross_judge(panel, "user_id", "event_type", "a", "b", ["view", "click"], FAMILIES, _DRAWS, SEED)
     return rounded(analyses.long_form(tables, ["scope", "judge", "family", "event_type"]))
 
 

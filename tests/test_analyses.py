@@ -138,3 +138,19 @@ def test_differences_round_by_their_scaled_value(spark):
 
     got = [r[0] for r in spark.createDataFrame(rows, "x double").select(pairs.nearest(F.col("x"), 1)).collect()]
     assert got == [duckdb.execute("SELECT round(?::DOUBLE, 1)", [x]).fetchall()[0][0] for (x,) in rows]
+
+
+def test_judges_are_compared_over_one_panel(spark):
+    from pairwright import catalog
+
+    read = catalog.queries()["i_cross_judge"](spark, "/root/testdata/sf0.001").inputFiles()
+    assert read and not [f for f in read if "events.parquet" in f]
+
+
+def test_weights_of_a_unit_are_hashed_once(spark, capsys):
+    df = spark.createDataFrame([(u, s, float(u)) for u in range(5) for s in "ab"], "__unit int, s string, x double")
+    out = resample._weighed(df, ["s", "x"], 3, 7)
+    want = {(r["draw"], r["s"], r["x"]): r["k"] for r in df.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(2)))).withColumn("k", resample.weight(7, F.col("draw"), F.col("__unit"))).collect()}
+    assert {(r["draw"], r["s"], r["x"]): r["__k"] for r in out.collect()} == want
+    out.explain()
+    assert capsys.readouterr().out.count("collect_list") > 0
