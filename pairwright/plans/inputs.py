@@ -21,11 +21,12 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A mean's last bit hangs on the order of its sum, and floors, ranks and roundings hang on that bit: values are added in
     the order of the log, however its rows are split, as an engine that reads the log from its start adds them. The window
-    reads a cell's rows one by one and spills; a cell is one user's events of one type.
+    reads a cell's rows one by one and spills; a cell is one user's events of one type. Its frame is the whole cell, so that
+    each row has the cell's sum: ids may stand more than once or be null.
     """
-    w = Window.partitionBy("user_id", "event_type").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy("user_id", "event_type").orderBy("event_id", "value").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     own = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value").withColumn("__sum", F.sum("value").over(w))
-    return own.groupBy("user_id", "event_type").agg((F.max_by("__sum", "event_id") / F.count("value")).alias("a"), F.max("value").alias("b"))
+    return own.groupBy("user_id", "event_type").agg((F.max("__sum") / F.count("value")).alias("a"), F.max("value").alias("b"))
 
 
 PANEL = "panel AS (SELECT user_id, event_type, avg(value) AS a, max(value) AS b FROM events GROUP BY user_id, event_type)"
