@@ -58,7 +58,7 @@ def odd_ids(spark, tmp_path_factory):
     return str(folder), sql
 
 
-@pytest.mark.parametrize("name", ["v_judge_explode", "w_average_rank", "w_extremes", "w_holm"])
+@pytest.mark.parametrize("name", ["v_judge_explode", "w_average_rank", "w_extremes", "w_holm", "w_holm_declared"])
 def test_cells_are_whole_where_ids_repeat(spark, odd_ids, name):
     folder, sql = odd_ids
     df = catalog.queries()[name](spark, folder)
