@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -29,6 +29,11 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.groupBy("user_id", "event_type").agg((F.max("__sum") / F.count("value")).alias("a"), F.max("value").alias("b"))
 
 
+def floored(c: Column) -> Column:
+    """SQL's floor of a double, a double: Spark's is a long, in which NaN, infinities and large values have no place. From 2**53 on all are whole."""
+    return F.when(F.abs(c) < 2.0**53, F.floor(c).cast("double")).otherwise(c)
+
+
 PANEL = "panel AS (SELECT user_id, event_type, avg(value) AS a, max(value) AS b FROM events GROUP BY user_id, event_type)"
 
 

@@ -442,7 +442,7 @@ _RANKED = f"{PANEL}, v AS (SELECT event_type, user_id, floor(a / 10) AS v FROM p
 
 @query(f"WITH {_RANKED} SELECT event_type, user_id, v::DOUBLE AS v, (rank() OVER (PARTITION BY event_type ORDER BY v DESC) + (count(*) OVER (PARTITION BY event_type, v) - 1) / 2.0)::DOUBLE AS avg_rank FROM v")
 def w_average_rank(spark, d):
-    return pairs.average_ranks(i.panel(spark, d).select("event_type", "user_id", F.floor(F.col("a") / 10).cast("double").alias("v")), ["event_type"], "v")
+    return pairs.average_ranks(i.panel(spark, d).select("event_type", "user_id", i.floored(F.col("a") / 10).alias("v")), ["event_type"], "v")
 
 
 @query(f"""WITH {_RANKED}, x AS (SELECT *, max(v) OVER (PARTITION BY user_id) AS hi, min(v) OVER (PARTITION BY user_id) AS lo FROM v)

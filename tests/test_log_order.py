@@ -65,3 +65,27 @@ def test_cells_are_whole_where_ids_repeat(spark, odd_ids, name):
     want = sql.sql(catalog.oracle_sql()[name])
     at = [want.columns.index(c) for c in df.columns]
     assert sorted(map(str, map(tuple, df.collect()))) == sorted(str(tuple(r[k] for k in at)) for r in want.fetchall())
+
+
+@pytest.fixture(scope="module")
+def odd_values(spark, tmp_path_factory):
+    """40 users; some cells hold NaN, an infinity, values beyond a long or less than nothing, or no value at all."""
+    rng = random.Random(1)
+    rows = [(k, u, t, rng.randrange(1, 9000) / 100) for k, (u, t) in enumerate((u, t) for u in range(40) for t in TYPES for _ in range(3))]
+    odd = {(4, "view"): None, (5, "click"): float("nan"), (6, "click"): float("inf"), (7, "click"): -12.5, (8, "error"): 1e30, (10, "error"): -1e300}
+    rows = [(k, u, t, None if u == 3 else float("nan") if u == 12 else odd.get((u, t), v)) for k, u, t, v in rows]
+    folder = tmp_path_factory.mktemp("odd_values")
+    df = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").withColumn("props", F.lit('{"k": 3}'))
+    df.repartition(5).write.parquet(f"{folder}/events.parquet")
+    sql = duckdb.connect(config={"threads": 1})
+    sql.execute(f"CREATE TABLE events AS SELECT * FROM read_parquet('{folder}/events.parquet/*.parquet') ORDER BY event_id")
+    return str(folder), sql
+
+
+@pytest.mark.parametrize("name", ["w_average_rank"])
+def test_equals_sql_on_odd_values(spark, odd_values, name):
+    folder, sql = odd_values
+    df = catalog.queries()[name](spark, folder)
+    want = sql.sql(catalog.oracle_sql()[name])
+    at = [want.columns.index(c) for c in df.columns]
+    assert sorted(map(str, map(tuple, df.collect()))) == sorted(str(tuple(r[k] for k in at)) for r in want.fetchall())
