@@ -97,12 +97,17 @@ def tertiles(rows: DataFrame, value: str, key: str, by: list[str] | None = None)
 
 
 def extremes(rows: DataFrame, by: list[str], name: str, value: str, tolerance: float = 1e-12) -> DataFrame:
-    """Names at the top and at the bottom, ties joined by ``|``, and the weight each of them gets."""
+    """Names at the top and at the bottom, ties joined by ``|``, and the weight each of them gets.
+
+    Equal values are tied whatever they are: infinities and NaN have no distance. Without any value there are no names, and the weight is 1 / 0.
+    """
     w = Window.partitionBy(*by)
     own = rows.withColumns({"__top": F.max(value).over(w), "__low": F.min(value).over(w)})
-    at = lambda c: F.abs(F.col(value) - F.col(c)) <= tolerance
-    joined = lambda c: F.array_join(F.array_sort(F.collect_set(F.when(at(c), F.col(name)))), "|")
-    return own.groupBy(*by).agg(joined("__top").alias("top"), joined("__low").alias("bottom"), (1 / F.count(F.when(at("__top"), 1))).alias("top_weight"))
+    at = lambda c: (F.col(value) == F.col(c)) | (F.abs(F.col(value) - F.col(c)) <= tolerance)
+    names = lambda c: F.array_sort(F.collect_set(F.when(at(c), F.col(name))))
+    joined = lambda c: F.when(F.size(names(c)) > 0, F.array_join(names(c), "|"))
+    n = F.count(F.when(at("__top"), 1))
+    return own.groupBy(*by).agg(joined("__top").alias("top"), joined("__low").alias("bottom"), F.when(n > 0, 1 / n).otherwise(float("inf")).alias("top_weight"))
 
 
 def pearson(x: Column, y: Column) -> Column:

@@ -448,7 +448,7 @@ def w_average_rank(spark, d):
 @query(f"""WITH {_RANKED}, x AS (SELECT *, max(v) OVER (PARTITION BY user_id) AS hi, min(v) OVER (PARTITION BY user_id) AS lo FROM v)
 SELECT user_id, string_agg(CASE WHEN v = hi THEN event_type END, '|' ORDER BY event_type) AS top, string_agg(CASE WHEN v = lo THEN event_type END, '|' ORDER BY event_type) AS bottom, round(1.0::DOUBLE / count(*) FILTER (v = hi), 8) AS top_weight FROM x GROUP BY user_id""")
 def w_extremes(spark, d):
-    return rounded(pairs.extremes(i.panel(spark, d).select("event_type", "user_id", F.floor(F.col("a") / 10).cast("double").alias("v")), ["user_id"], "event_type", "v"))
+    return rounded(pairs.extremes(i.panel(spark, d).select("event_type", "user_id", i.floored(F.col("a") / 10).alias("v")), ["user_id"], "event_type", "v"))
 
 
 @query("SELECT source, tertile, count(*) AS n, round(avg(n_chars), 8) AS mean_chars FROM (SELECT *, (ntile(3) OVER (PARTITION BY source ORDER BY n_chars, doc_id::VARCHAR) - 1)::INT AS tertile FROM documents) GROUP BY source, tertile")
