@@ -82,7 +82,7 @@ def odd_values(spark, tmp_path_factory):
     return str(folder), sql
 
 
-@pytest.mark.parametrize("name", ["w_average_rank", "w_extremes", "w_holm"])
+@pytest.mark.parametrize("name", ["w_average_rank", "w_extremes", "w_holm", "w_holm_declared"])
 def test_equals_sql_on_odd_values(spark, odd_values, name):
     folder, sql = odd_values
     df = catalog.queries()[name](spark, folder)
