@@ -84,7 +84,7 @@ def signed_ranks(pairs: DataFrame, by: list[str], zeros: str = "wilcox", decimal
 def holm(rows: DataFrame, p: str, by: list[str], family_size: int | None = None) -> DataFrame:
     """``p_holm``: step-down adjusted p of the non-null values of each family, by a declared or counted size."""
     rank = F.row_number().over(Window.partitionBy(*by, F.col(p).isNull()).orderBy(p))
-    m = F.lit(family_size) if family_size else F.count(p).over(Window.partitionBy(*by))
+    m = F.lit(family_size) if family_size is not None else F.count(p).over(Window.partitionBy(*by))
     step = F.least(F.lit(1.0), (m - rank + 1) * F.col(p))
     running = F.max("__step").over(Window.partitionBy(*by, F.col(p).isNull()).orderBy("__rank").rowsBetween(Window.unboundedPreceding, 0))
     out = rows.withColumns({"__rank": rank, "__step": step})

@@ -34,6 +34,12 @@ def floored(c: Column) -> Column:
     return F.when(F.abs(c) < 2.0**53, F.floor(c).cast("double")).otherwise(c)
 
 
+def rounding(c: Column, digits: int = 8) -> Column:
+    """SQL's round of a double: the product with 10**digits is rounded. Spark rounds the shortest decimal instead, by which ties fall otherwise."""
+    whole = F.round(c * 10.0**digits) / 10.0**digits
+    return F.when(F.abs(whole) < float("inf"), whole).otherwise(c)
+
+
 PANEL = "panel AS (SELECT user_id, event_type, avg(value) AS a, max(value) AS b FROM events GROUP BY user_id, event_type)"
 
 

@@ -89,3 +89,37 @@ def test_equals_sql_on_odd_values(spark, odd_values, name):
     want = sql.sql(catalog.oracle_sql()[name])
     at = [want.columns.index(c) for c in df.columns]
     assert sorted(map(str, map(tuple, df.collect()))) == sorted(str(tuple(r[k] for k in at)) for r in want.fetchall())
+
+
+def written_log(spark, folder, cells):
+    """A log of (user_id, event_type, value), shuffled, and DuckDB on one thread over it."""
+    rows = [(k, *r) for k, r in enumerate(random.Random(2).sample(cells, len(cells)))]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").withColumn("props", F.lit('{"k": 3}'))
+    df.repartition(3).write.parquet(f"{folder}/events.parquet")
+    sql = duckdb.connect(config={"threads": 1})
+    sql.execute(f"CREATE TABLE events AS SELECT * FROM read_parquet('{folder}/events.parquet/*.parquet') ORDER BY event_id")
+    return sql
+
+
+def small_logs():
+    """Rows without a user, with users or alone; p-values at the half of the last decimal, from single values and from cells of 64 rows."""
+    rng = random.Random(5)
+    cells = lambda users, n, value: [(u, t, value()) for u in users for t in TYPES for _ in range(n)]
+    cents = lambda: rng.randrange(9000) / 100
+    return {
+        "null user": cells([None, *range(40)], 5, cents),
+        "null user alone": cells([None], 5, cents),
+        "ties": cells(range(100), 1, lambda: (2 * rng.randrange(2_000_000) + 1) * 2.5e-7),
+        "ties above one": cells(range(100), 1, lambda: rng.randrange(50) + (2 * rng.randrange(2_000_000) + 1) * 2.5e-7),
+        "cells of 64": cells(range(60), 64, lambda: rng.randrange(100) / 100),
+    }
+
+
+@pytest.mark.parametrize("case", sorted(small_logs()))
+@pytest.mark.parametrize("name", ["w_holm", "w_holm_declared"])
+def test_p_values_equal_sql(spark, tmp_path, name, case):
+    sql = written_log(spark, tmp_path, small_logs()[case])
+    df = catalog.queries()[name](spark, str(tmp_path))
+    want = sql.sql(catalog.oracle_sql()[name])
+    at = [want.columns.index(c) for c in df.columns]
+    assert sorted(map(str, map(tuple, df.collect()))) == sorted(str(tuple(r[k] for k in at)) for r in want.fetchall())
