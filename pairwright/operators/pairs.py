@@ -52,11 +52,15 @@ def effects(pairs: DataFrame, by: list[str], zero_variance: float | None = None)
 
 
 def nearest(c: Column, decimals: int) -> Column:
-    """``c`` to so many decimals, halves away from zero, as SQL engines round doubles: the scaled value decides, not the shortest decimal form."""
+    """``c`` to so many decimals, halves away from zero, as SQL engines round doubles: the scaled value decides, not the shortest decimal form.
+
+    What is too large to be scaled stays as it is.
+    """
     scale = F.lit(10.0**decimals)
     scaled = F.abs(c * scale)
     even = F.rint(scaled)
-    return F.signum(c) * F.when(scaled - even == 0.5, even + 1).otherwise(even) / scale
+    out = F.signum(c) * F.when(scaled - even == 0.5, even + 1).otherwise(even) / scale
+    return F.when(scaled < float("inf"), out).otherwise(c)
 
 
 def signed_ranks(pairs: DataFrame, by: list[str], zeros: str = "wilcox", decimals: int = 9) -> DataFrame:

@@ -6,14 +6,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from ..operators.pairs import nearest
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def rounded(df: DataFrame, digits: int = 8) -> DataFrame:
-    """Doubles to so many decimals: sums hang on their order in the last bits."""
-    return df.select(*[F.round(f.name, digits).alias(f.name) if isinstance(f.dataType, DoubleType) else f.name for f in df.schema])
+    """Doubles to so many decimals, ties as in SQL, no zero below nothing: sums hang on their order in the last bits."""
+    return df.select(*[(nearest(F.col(f.name), digits) + 0.0).alias(f.name) if isinstance(f.dataType, DoubleType) else f.name for f in df.schema])
 
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,12 +36,6 @@ def floored(c: Column) -> Column:
     return F.when(F.abs(c) < 2.0**53, F.floor(c).cast("double")).otherwise(c)
 
 
-def rounding(c: Column, digits: int = 8) -> Column:
-    """SQL's round of a double: the product with 10**digits is rounded. Spark rounds the shortest decimal instead, by which ties fall otherwise."""
-    whole = F.round(c * 10.0**digits) / 10.0**digits
-    return F.when(F.abs(whole) < float("inf"), whole).otherwise(c)
-
-
 PANEL = "panel AS (SELECT user_id, event_type, avg(value) AS a, max(value) AS b FROM events GROUP BY user_id, event_type)"
 
 

@@ -422,7 +422,7 @@ _HOLM = "SELECT event_type, user_id, p, round(CASE WHEN p IS NOT NULL THEN max(l
 
 
 def _p_values(spark, d):
-    p = i.rounding((F.col("a") - i.floored(F.col("a"))) / 50)
+    p = pairs.nearest((F.col("a") - i.floored(F.col("a"))) / 50, 8)
     return i.panel(spark, d).select("event_type", "user_id", F.when(F.col("user_id") % 9 == 0, None).otherwise(p).alias("p"))  # a null id has a p
 
 

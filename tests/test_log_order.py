@@ -123,3 +123,13 @@ def test_p_values_equal_sql(spark, tmp_path, name, case):
     want = sql.sql(catalog.oracle_sql()[name])
     at = [want.columns.index(c) for c in df.columns]
     assert sorted(map(str, map(tuple, df.collect()))) == sorted(str(tuple(r[k] for k in at)) for r in want.fetchall())
+
+
+@pytest.mark.parametrize("name", ["v_pair_pivot", "j12_joined_whole"])
+def test_results_are_rounded_as_by_sql(spark, tmp_path, name):
+    rng = random.Random(6)
+    sql = written_log(spark, tmp_path, [(u, t, (2 * rng.randrange(2_000_000) + 1) * 0.5e-8) for u in range(60) for t in TYPES] + [(60, t, 1e301) for t in TYPES])
+    df = catalog.queries()[name](spark, str(tmp_path))
+    want = sql.sql(catalog.oracle_sql()[name])
+    at = [want.columns.index(c) for c in df.columns]
+    assert sorted(tuple(df.collect())) == sorted(tuple(r[k] for k in at) for r in want.fetchall())
